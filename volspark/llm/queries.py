@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash_dedup, token_output
+from . import packing, quality_classifier, quality_rules, simhash_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op2_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(token_output.write_shards(_table(spark, sf_dir, "documents")))
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *[F.col(f"s.{c}").alias(c) for c in counts], "base_failed", "kept")
+
+
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(_table(spark, sf_dir, "documents")))
 
@@ -27,10 +34,17 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_elias_fano_tokens": op2_elias_fano_tokens,
+    "op3_decision_list": op3_decision_list,
     "op4_length_buckets": op4_length_buckets,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_boosted_trees": op10_boosted_trees,
 }
 
 SQL: dict[str, str] = {}
