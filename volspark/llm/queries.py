@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_classifier, quality_rules, simhash_dedup, token_output
+from . import packing, quality_classifier, quality_rules, simhash_dedup, token_output, url_filter, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return va_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(token_output.write_shards(_table(spark, sf_dir, "documents")))
 
@@ -29,6 +34,10 @@ def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(_table(spark, sf_dir, "documents")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -40,11 +49,26 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_va_search": op1_va_search,
     "op2_elias_fano_tokens": op2_elias_fano_tokens,
     "op3_decision_list": op3_decision_list,
     "op4_length_buckets": op4_length_buckets,
+    "op5_url_filter": op5_url_filter,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_boosted_trees": op10_boosted_trees,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_va_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
