@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_classifier, quality_rules, simhash_dedup, token_output, url_filter, va_search
+from . import chat_format, html_extract, packing, quality_classifier, quality_rules, simhash_dedup, token_output, url_filter, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(_table(spark, sf_dir, "conversations"))
+
+
+def op7_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -54,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
     "op4_length_buckets": op4_length_buckets,
     "op5_url_filter": op5_url_filter,
+    "op6_snapshot_collapse": op6_snapshot_collapse,
+    "op7_consensus_html": op7_consensus_html,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op10_boosted_trees": op10_boosted_trees,
 }
@@ -61,7 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_va_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
             FROM embeddings
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
@@ -71,4 +82,23 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op6_snapshot_collapse": r"""
+        WITH t AS (
+            SELECT conv_id, turn, chr(10) AS nl, coalesce(role, '<null>') || chr(0) || coalesce(text, '<null>') AS raw,
+                   '<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line, role, text
+            FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+        ), c AS (
+            SELECT conv_id, count(*) AS n, list(raw ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+                   list(line ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS lines
+            FROM t GROUP BY conv_id
+        ), kept AS (
+            SELECT * FROM c WHERE NOT EXISTS (
+                SELECT 1 FROM c AS o WHERE o.turns[1] = c.turns[1] AND (o.n > c.n OR o.n = c.n AND o.conv_id < c.conv_id)
+                AND o.turns[1:c.n] = c.turns
+            )
+        )
+        SELECT conv_id, CAST(p AS BIGINT) AS part, CAST(least(256, n - 256 * p) AS BIGINT) AS n_turns,
+               array_to_string(lines[256 * p + 1 : 256 * p + 256], '') AS text
+        FROM kept, LATERAL unnest(range((n + 255) // 256)) AS u(p)
+    """,
 }
