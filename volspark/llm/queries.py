@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, packing, quality_classifier, quality_rules, simhash_dedup, token_output, url_filter, va_search
+from . import chat_format, html_extract, packing, quality_classifier, quality_rules, simhash_dedup, sp_sampling, token_output, url_filter, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sp_sampling.sample_segmentations(_table(spark, sf_dir, "documents"))
+    packed = F.crc32(F.concat_ws(" ", F.col("ids").cast("array<string>")))
+    return found.select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), packed.alias("ids_crc32"), "logp", "perturbed", "inclusion",
+    )
+
+
 def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_snapshot_collapse": op6_snapshot_collapse,
     "op7_consensus_html": op7_consensus_html,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_gumbel_segmentations": op9_gumbel_segmentations,
     "op10_boosted_trees": op10_boosted_trees,
 }
 

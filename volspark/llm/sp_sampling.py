@@ -12,12 +12,12 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,150 +35,245 @@ class Lattices:
     piece is one edge of byte pieces. At most ``most`` units are held; then the arrays start afresh.
     """
 
-    def __init__(self, path: str, alpha: float = 1.0, most: int = 300_000):
+    def __init__(self, path: str, alpha: float = 1.0, most: int = 200_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.most, self.alpha = most, alpha
         self.piece: dict[str, tuple[int, float]] = {}
-        self.longest = 1
         for i in range(self.sp.get_piece_size()):
             if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i)):
                 s = self.sp.id_to_piece(i)
                 self.piece[s] = (i, -alpha * math.log(2.7 + max(0.0, -self.sp.get_score(i))))
-                self.longest = max(self.longest, len(s))
+        self.prefix: dict[str, tuple[int, float]] = {}  # of pieces; -1 where it is none itself
+        for x, p in self.piece.items():
+            for n in range(1, len(x)):
+                self.prefix.setdefault(x[:n], (-1, 0.0))
+            self.prefix[x] = p
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.low = -alpha * math.log(1e6)
         self.clear()
 
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
-        self.first = array("q")  # of a node: its first edge
-        self.cum = array("d")  # of an edge: its node + the cumulative probability up to it
-        self.logp, self.to, self.ids = array("d"), array("q"), array("q")
+        self.n_nodes = self.n_edges = 0
+        self._first = np.zeros(1 << 16, np.int64)  # of a node: its first edge; one more entry ends the last
+        self._cum = np.zeros(1 << 16)  # of an edge: its node + the probability of the edges up to it
+        self._logp = np.zeros(1 << 16)
+        self._to = np.zeros(1 << 16, np.int64)
+        self._ids = np.zeros(1 << 16, np.int64)
         self.long: dict[int, list[int]] = {}  # edges of several byte pieces
 
-    def add(self, unit: str) -> int:
-        """The unit's first node; its last node has no edges."""
-        n, base = len(unit), len(self.first)
-        out: list[list[tuple[int, int, float, list[int] | None]]] = []
-        for i in range(n):
-            edges = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = self.piece.get(unit[i:j])
-                if p:
-                    edges.append((j, p[0], p[1], None))
-            if not edges or edges[0][0] != i + 1:
-                raw = [self.bytes[b] for b in unit[i].encode("utf-8", "replace")]
-                edges.append((i + 1, raw[0], self.low * len(raw), raw if len(raw) > 1 else None))
-            out.append(edges)
-        back = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            top = max(w + back[j] for j, _, w, _ in out[i])
-            back[i] = top + math.log(sum(math.exp(w + back[j] - top) for j, _, w, _ in out[i]))
-        for i, edges in enumerate(out):
-            self.first.append(len(self.cum))
-            total = 0.0
-            for k, (j, piece, w, raw) in enumerate(edges):
-                lp = w + back[j] - back[i]
-                total += math.exp(lp)
-                if raw:
-                    self.long[len(self.cum)] = raw
-                self.cum.append(base + i + (1.0 if k == len(edges) - 1 else min(total, 1.0)))
-                self.logp.append(min(lp, 0.0))
-                self.to.append(base + j)
-                self.ids.append(piece)
-        self.first.append(len(self.cum))
-        self.unit[unit] = base
-        return base
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """first, cum, logp, to."""
+        n = self.n_edges
+        return self._first[: self.n_nodes + 1], self._cum[:n], self._logp[:n], self._to[:n]
+
+    def ids(self) -> np.ndarray:
+        return self._ids[: self.n_edges]
+
+    def _grow(self, name: str, size: int) -> None:
+        old = getattr(self, name)
+        if size > len(old):
+            new = np.zeros(max(size, 2 * len(old)), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+
+    def add(self, units: list[str]) -> None:
+        """Lattices of new units. A unit has a node for each position, the last without edges; backward
+        sums are made for all units at once, one distance from the end after another."""
+        node, to, weight, ids = [], [], [], []
+        prefix, low, base, edge = self.prefix, self.low, self.n_nodes, self.n_edges
+        at = base
+        lengths = []
+        for unit in units:
+            self.unit[unit] = at
+            n = len(unit)
+            lengths.append(n)
+            for i in range(n):
+                here = len(node)
+                for j in range(i + 1, n + 1):
+                    p = prefix.get(unit[i:j])
+                    if p is None:
+                        break
+                    if p[0] >= 0:
+                        node.append(at + i)
+                        to.append(at + j)
+                        ids.append(p[0])
+                        weight.append(p[1])
+                if len(node) == here or to[here] != at + i + 1:
+                    raw = [self.bytes[b] for b in unit[i].encode("utf-8", "replace")]
+                    if len(raw) > 1:
+                        self.long[edge + len(node)] = raw
+                    node.append(at + i)
+                    to.append(at + i + 1)
+                    ids.append(raw[0])
+                    weight.append(low * len(raw))
+            at += n + 1
+        if at == base:
+            return
+        e_node, e_to, w = np.array(node, np.int64) - base, np.array(to, np.int64) - base, np.array(weight)
+        size = np.array(lengths, np.int64) + 1
+        total = at - base
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        left = np.repeat(begin + size - 1, size) - np.arange(total)  # positions to the unit's end
+        order = np.argsort(left[e_node], kind="stable")
+        level = left[e_node][order]
+        back = np.zeros(total)
+        for d in range(1, int(level[-1]) + 1 if len(level) else 0):
+            a, b = np.searchsorted(level, [d, d + 1])
+            if a < b:
+                o = order[a:b]
+                own = e_node[o]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                back[own[starts]] = np.logaddexp.reduceat(w[o] + back[e_to[o]], starts)
+        lp = np.minimum(w + back[e_to] - back[e_node], 0.0)
+        first = np.searchsorted(e_node, np.arange(total + 1))
+        run = np.cumsum(np.exp(lp))
+        prior = np.concatenate([[0.0], run])[first[e_node]]
+        share = np.clip(run - prior, 0.0, 1.0)
+        share[first[1:][first[1:] > first[:-1]] - 1] = 1.0
+        for name, new, n in (("_cum", e_node + base + share, edge), ("_logp", lp, edge), ("_to", e_to + base, edge), ("_ids", np.array(ids), edge), ("_first", first + edge, base)):
+            self._grow(name, n + len(new) + 1)
+            getattr(self, name)[n : n + len(new)] = new
+        self.n_nodes, self.n_edges = at, edge + len(node)
 
     def units(self, text: str) -> list[str]:
         return _UNITS.findall(self.sp.normalize(text)) if text else []
 
 
+_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finishing steps of the splitmix64 generator."""
+    x = (x ^ (x >> np.uint64(30))) * _C[1]
+    x = (x ^ (x >> np.uint64(27))) * _C[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def _stream(key: np.ndarray, *numbers: np.ndarray | int) -> np.ndarray:
+    """Independent 64-bit streams named by a row's key and numbers."""
+    for n in numbers:
+        key = _mix(key + _C[0] * (np.atleast_1d(n).astype(np.uint64) + np.uint64(1)))
+    return key
+
+
+def _uniform(stream: np.ndarray) -> np.ndarray:
+    """In (0, 1)."""
+    return ((stream >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 class _Path:
     """A segmentation: edges in text order, the unit of each, and log-probability sums before each."""
 
+    __slots__ = ("before", "edges", "unit")
+
     def __init__(self, edges: np.ndarray, unit: np.ndarray, logp: np.ndarray):
         self.edges, self.unit = edges, unit
         self.before = np.concatenate([[0.0], np.cumsum(logp[edges])])
 
 
-def _walk(nodes: np.ndarray, first: np.ndarray, cum: np.ndarray, to: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Draw a path for each start node at once: (edges, which start), in order."""
-    at, who = nodes, np.arange(len(nodes))
-    edges, owner = [], []
+def _walk(nodes: np.ndarray, streams: np.ndarray, lat: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Draw a path from each node to its unit's end, all at once: (edges, which start), in order."""
+    first, cum, _, to = lat
+    at, who, s = nodes, np.arange(len(nodes)), streams
+    edges, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = 0
     while len(at):
         open_ = first[at] < first[at + 1]
-        at, who = at[open_], who[open_]
-        if not len(at):
-            break
-        e = np.searchsorted(cum, at + rng.random(len(at)), side="right")
+        at, who, s = at[open_], who[open_], s[open_]
+        e = np.searchsorted(cum, at + _uniform(_stream(s, step)), side="right")
         e = np.clip(e, first[at], first[at + 1] - 1)
         edges.append(e)
         owner.append(who)
         at = to[e]
-    if not edges:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        step += 1
     e, o = np.concatenate(edges), np.concatenate(owner)
     order = np.argsort(o, kind="stable")
     return e[order], o[order]
 
 
-def sample(starts: np.ndarray, lat: tuple[np.ndarray, ...], k: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, float, float]]:
-    """(edges, log-probability, perturbed log-probability) of the k + 1 largest, in falling order.
+def _truncated(mu: np.ndarray, bound: np.ndarray | float, streams: np.ndarray) -> np.ndarray:
+    """Gumbel variables of location ``mu``, each given that it is at most ``bound``."""
+    with np.errstate(all="ignore"):
+        # mu - log(exp(mu - bound) + E), in logarithms
+        return mu - np.logaddexp(mu - bound, np.log(-np.log(_uniform(streams))))
 
-    ``starts``: first node of each unit. ``lat``: first, cum, logp, to (``first`` with one more entry).
-    """
-    first, cum, logp, to = lat
 
-    def rest(path: _Path, begin: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """At each step from ``begin``: the largest perturbed value of all that leave the path there."""
-        mass = -np.expm1(logp[path.edges[begin:]])
+def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarray, ...], k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text: (edges, log-probability, perturbed log-probability) of its k + 1 largest, falling.
+
+    ``starts``: first nodes of the text's units. Round r opens the best partition of every text: a
+    partition holds the segmentations that share a path's steps before i and avoid some edges there.
+    Texts go through a round together, but each draws from its own streams.
+    """
+    first, _, logp, _ = lat
+    heaps: list[list] = [[] for _ in starts]
+    out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in starts]
+    keys = keys.astype(np.uint64)
+    serial = iter(range(1 << 62))
+    top = -np.log(-np.log(_uniform(_stream(keys, 0, 0))))
+    todo = [(i, np.zeros(0, np.int64), np.zeros(0, np.int64), -1, s, 0, float(top[i])) for i, s in enumerate(starts)]
+    for r in range(k + 1):
+        # Walk the open ends of all texts: (text, edges and units before, shut edge's step, nodes, first unit).
+        sizes = np.array([len(t[4]) for t in todo], np.int64)
+        ends = np.cumsum(sizes)
+        local = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        unit = local + np.repeat(np.array([t[5] for t in todo], np.int64), sizes)
+        own = np.repeat(keys[[t[0] for t in todo]], sizes) if todo else keys[:0]
+        nodes = np.concatenate([t[4] for t in todo]) if todo else np.zeros(0, np.int64)
+        e, o = _walk(nodes, _stream(own, r, 1, unit), lat)
+        cut = np.searchsorted(o, np.concatenate([[0], ends])) if todo else [0]
+        paths, lens = [], []
+        for n, (i, edges, units, _, _, _, g) in enumerate(todo):
+            new = slice(cut[n], cut[n + 1])
+            path = _Path(np.concatenate([edges, e[new]]), np.concatenate([units, unit[o[new]]]), logp)
+            paths.append(path)
+            lens.append(len(path.edges) - len(edges))
+            out[i].append((path.edges, float(path.before[-1]), g))
+        if r == k or not todo:
+            break
+        # The best that leaves each path at each new step.
+        mass = -np.expm1(logp[np.concatenate([p.edges[len(p.edges) - n :] for p, n in zip(paths, lens)])])
+        mu = np.concatenate([p.before[len(p.edges) - n : -1] for p, n in zip(paths, lens)])
         with np.errstate(divide="ignore"):
-            mu = path.before[begin:-1] + np.log(np.maximum(mass, 0.0))
-        return mu, _truncated(mu, bound, rng)
-
-    def offer(path: _Path, begin: int, bound: float) -> None:
-        mu, g = rest(path, begin, bound)
-        best = np.argpartition(-g, min(k, len(g)) - 1)[: k + 1] if len(g) > k + 1 else np.arange(len(g))
-        for i in best.tolist():
-            if mu[i] > -40 + path.before[begin + i] and np.isfinite(g[i]):
-                heapq.heappush(heap, (-float(g[i]), next(count), path, begin + i, (int(path.edges[begin + i]),)))
-
-    heap: list = []
-    count = iter(range(1 << 62))
-    e, o = _walk(starts, first, cum, to, rng)
-    path = _Path(e, o, logp)
-    top = -math.log(rng.standard_exponential())
-    yield path.edges, float(path.before[-1]), top
-    offer(path, 0, top)
-    for _ in range(k):
-        if not heap:
-            return
-        g, _, old, i, shut = heapq.heappop(heap)
-        g = -g
-        node = int(np.searchsorted(first, old.edges[i], side="right")) - 1
-        own = np.arange(first[node], first[node + 1])
-        p = np.where(np.isin(own, shut), 0.0, np.exp(logp[own]))
-        pick = int(own[min(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right"), int(np.flatnonzero(p)[-1]))])
-        u = int(old.unit[i])
-        e, o = _walk(np.concatenate([[to[pick]], starts[u + 1 :]]), first, cum, to, rng)
-        new = _Path(np.concatenate([old.edges[:i], [pick], e]), np.concatenate([old.unit[:i], [u], o + u]), logp)
-        yield new.edges, float(new.before[-1]), g
-        left = float(p.sum() - np.exp(logp[pick]))
-        shut = (*shut, pick)
-        if len(shut) < len(own) and left > 1e-15:
-            mu = np.array([new.before[i] + math.log(left)])
-            heapq.heappush(heap, (-float(_truncated(mu, g, rng)[0]), next(count), new, i, shut))
-        offer(new, i + 1, g)
-
-
-def _truncated(mu: np.ndarray, bound: float, rng: np.random.Generator) -> np.ndarray:
-    """Gumbel variables of location ``mu``, each given that it is at most ``bound``."""
-    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        # mu - log(exp(mu - bound) + E), in logarithms
-        return mu - np.logaddexp(mu - bound, np.log(rng.standard_exponential(len(mu))))
+            mu = mu + np.log(mass)
+        n_new = np.array(lens)
+        off = np.cumsum(n_new) - n_new
+        step = np.arange(len(mu)) - np.repeat(off, n_new)
+        g = _truncated(mu, np.repeat([t[6] for t in todo], n_new), _stream(np.repeat(keys[[t[0] for t in todo]], n_new), r, 2, step))
+        g[mass < 1e-15] = -np.inf
+        want = k - r
+        for n, (t, path) in enumerate(zip(todo, paths)):
+            part = g[off[n] : off[n] + lens[n]]
+            best = np.argpartition(-part, want - 1)[:want] if len(part) > want else np.arange(len(part))
+            begin = len(path.edges) - lens[n]
+            for b in best.tolist():
+                if part[b] > -np.inf:
+                    heapq.heappush(heaps[t[0]], (-float(part[b]), next(serial), path, begin + b, (int(path.edges[begin + b]),)))
+        # Open the best partition of each text.
+        todo = []
+        for i, heap in enumerate(heaps):
+            if not heap:
+                continue
+            g0, _, old, at, shut = heapq.heappop(heap)
+            node = int(np.searchsorted(first, old.edges[at], side="right")) - 1
+            edges = np.arange(first[node], first[node + 1])
+            p = np.where(np.isin(edges, shut), 0.0, np.exp(logp[edges]))
+            draw = _uniform(_stream(keys[i : i + 1], r, 3, [0, 1]))
+            some = np.flatnonzero(p)
+            pick = int(edges[min(int(np.searchsorted(np.cumsum(p), draw[0] * p.sum(), side="right")), int(some[-1]))])
+            shut = (*shut, pick)
+            left = float(p.sum() - np.exp(logp[pick]))
+            u = int(old.unit[at])
+            head, units = np.append(old.edges[:at], pick), np.append(old.unit[:at], u)
+            if len(shut) < len(edges) and left > 1e-15:
+                mu = np.array([old.before[at] + math.log(left)])
+                again = _truncated(mu, -g0, _stream(keys[i : i + 1], r, 3, 1))
+                heapq.heappush(heap, (-float(again[0]), next(serial), _Path(head, units, logp), at, shut))
+            todo.append((i, head, units, at, np.concatenate([[lat[3][pick]], starts[i][u + 1 :]]), u, -g0))
+    return out
 
 
 def inclusion(logp: float, threshold: float) -> float:
@@ -195,32 +290,34 @@ def _lattices(path: str, alpha: float) -> Lattices:
     return _held[path, alpha]
 
 
-def sample_text(lattices: Lattices, text: str, k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float, float]]:
-    """(piece ids, log-probability, perturbed value, inclusion score) of up to k distinct segmentations."""
-    return _sample_units(lattices, lattices.units(text), k, rng)
-
-
-def _sample_units(lattices: Lattices, units: list[str], k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float, float]]:
+def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[list[int], float, float, float]]]:
+    """For each text (piece ids, log-probability, perturbed value, inclusion score) of up to k distinct
+    segmentations; ``keys``: 64-bit keys that name the draws."""
+    units = [lattices.units(t) for t in texts]
     if len(lattices.unit) > lattices.most:
         lattices.clear()
     known = lattices.unit
-    starts = np.array([known[u] if u in known else lattices.add(u) for u in units], np.int64)
-    if not len(starts):
-        return [([], 0.0, -math.log(rng.standard_exponential()), 1.0)]
-    first, to, ids = (np.frombuffer(a, np.int64) for a in (lattices.first, lattices.to, lattices.ids))
-    cum, logp = (np.frombuffer(a, np.float64) for a in (lattices.cum, lattices.logp))
-    first = np.append(first, len(cum)) if first[-1] != len(cum) else np.append(first, first[-1])
-    found = list(sample(starts, (first, cum, logp, to), k, rng))
-    last = found[k][2] if len(found) > k else -math.inf
-    out = []
-    for edges, lp, g in found[:k]:
-        pieces = ids[edges].tolist()
-        if lattices.long:
-            pieces = [x for e, p in zip(edges.tolist(), pieces) for x in lattices.long.get(e, (p,))]
-        out.append((pieces, lp, g, 1.0 if last == -math.inf else inclusion(lp, last)))
+    lattices.add(list({u: None for us in units for u in us if u not in known}))
+    starts = [np.array([known[u] for u in us], np.int64) for us in units]
+    ids, out = lattices.ids(), []
+    for found in sample_many(starts, keys, lattices.arrays(), k):
+        last = found[k][2] if len(found) > k else -math.inf
+        rows = []
+        for edges, lp, g in found[:k]:
+            pieces = ids[edges].tolist()
+            if lattices.long:
+                pieces = [x for e, p in zip(edges.tolist(), pieces) for x in lattices.long.get(e, (p,))]
+            rows.append((pieces, lp, g, 1.0 if last == -math.inf else inclusion(lp, last)))
+        out.append(rows)
     return out
 
 
+def row_key(seed: int, doc_id: int | None, text: bytes | None) -> int:
+    """The key of a row's draws: of the seed and the doc_id, or of the text where that is null."""
+    own = f"null {zlib.crc32(text or b'')}" if doc_id is None else str(doc_id)
+    return xxhash.xxh64_intdigest(own, seed)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -283,11 +380,12 @@ def sample_segmentations(docs: DataFrame, k: int = 3, seed: int = 0, alpha: floa
             keys = batch.column(0).to_pylist()
             for first, texts in text_slices(batch, "text"):
                 cols: list[list] = [[] for _ in wanted]
-                for key, raw in zip(keys[first:], texts):
-                    own = [2, zlib.crc32(raw or b"")] if key is None else [1, key & (1 << 64) - 1]
-                    rng = np.random.default_rng([seed, *own])
-                    for i, (ids, lp, g, inc) in enumerate(sample_text(lattices, (raw or b"").decode("utf-8", "replace"), k, rng)):
-                        for col, x in zip(cols, (key, i + 1, ids, lp, g, inc)):
+                own = keys[first : first + len(texts)]
+                seeds = np.array([row_key(seed, d, t) for d, t in zip(own, texts)], np.uint64)
+                found = sample_texts(lattices, [(t or b"").decode("utf-8", "replace") for t in texts], seeds, k)
+                for key, rows in zip(own, found):
+                    for i, row in enumerate(rows):
+                        for col, x in zip(cols, (key, i + 1, *row)):
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, wanted)], schema=wanted)
 
