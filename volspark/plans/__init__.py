@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with its DuckDB oracle where SQL can express it."""
 
-from . import core, models, positions, tables
+from . import core, models, positions, routes, streams, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "models", "positions", "tables"]
+__all__ = ["ORACLES", "QUERIES", "core", "models", "positions", "routes", "streams", "tables"]
