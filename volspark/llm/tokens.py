@@ -17,8 +17,8 @@ class WordEncoder:
     """Encodes UTF-8 texts; ids come as little-endian bytes of ``dtype``.
 
     Where the tokenizer splits on white space, each distinct word is encoded once by the library and
-    kept in a cache of at most ``cache_words`` words, which is emptied when full (results do not
-    depend on it). Words with characters beyond Latin, with control characters or with a special
+    kept in a cache of two generations, each of at most half of ``cache_words`` words (results do not
+    depend on it): a full one becomes the old one, and words still in use return from there. Words with characters beyond Latin, with control characters or with a special
     token's text take the library's full path. For any other tokenizer whole texts are encoded.
     """
 
@@ -41,6 +41,7 @@ class WordEncoder:
         self.marks = [t["content"][:2] for t in conf["added_tokens"]]
         self.cache_words = cache_words
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         if self.by_word:
             self.bare = Tokenizer.from_file(path)
@@ -53,9 +54,7 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Put the ids of words that the cache lacks into it."""
-        if len(self.words) + len(new) > self.cache_words:
-            self.words.clear()
-        if len(self.pieces) > self.cache_words:
+        if len(self.pieces) > self.cache_words // 4:
             self.pieces.clear()
         parts: list[tuple[bytes, list[str]]] = []
         odd: list[tuple[bytes, str]] = []
@@ -92,12 +91,16 @@ class WordEncoder:
         if not self.by_word:
             return self._whole([(t or b"").decode("utf-8", "replace") for t in texts])
         split = [(t or b"").split() for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.words)
-        held = self.words
+        if len(self.words) > self.cache_words // 2:
+            self.old, self.words = self.words, {}
+        new, held, old = [], self.words, self.old
+        for w in set(chain.from_iterable(split)).difference(held):
+            if (ids := old.get(w)) is None:
+                new.append(w)
+            else:
+                held[w] = ids
         if new:
-            if len(held) + len(new) > self.cache_words:
-                new = set(chain.from_iterable(split))
-            self._learn(list(new))
+            self._learn(new)
         return [b"".join(map(held.__getitem__, ws)) for ws in split]
 
     def counts(self, texts: list[bytes | None]) -> list[int]:
@@ -107,13 +110,14 @@ class WordEncoder:
 _held: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each tokenizer file and Python worker."""
+def encoder(path: str, cache_words: int = 1_000_000) -> WordEncoder:
+    """One encoder for each tokenizer file and Python worker; its cache has the size asked for last."""
     if path not in _held:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _held[path] = WordEncoder(path)
+        _held[path] = WordEncoder(path, cache_words)
+    _held[path].cache_words = cache_words
     return _held[path]
 
 
