@@ -196,7 +196,8 @@ def page_text(source: str, winner: str | None) -> str:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, score: every page's three best container paths."""
+    """host, path, score: every page's three best container paths, scored against its best, so that a
+    long page has no more say than others."""
     out = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())])
     wanted = arrow_schema(out)
 
@@ -207,8 +208,9 @@ def votes(pages: DataFrame) -> DataFrame:
             for first, sources in text_slices(batch, "html"):
                 for host, source in zip(hosts[first:], sources):
                     s = scores(*blocks((source or b"").decode("utf-8", "replace")))
-                    for path in sorted(s, key=lambda p: (-s[p], p))[:3]:
-                        for col, x in zip(cols, (host, path, s[path])):
+                    ranked = sorted(s, key=lambda p: (-s[p], p))[:3]
+                    for path in ranked:
+                        for col, x in zip(cols, (host, path, s[path] / s[ranked[0]])):
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, wanted)], schema=wanted)
 
@@ -218,7 +220,7 @@ def votes(pages: DataFrame) -> DataFrame:
 def winners(pages: DataFrame) -> DataFrame:
     """(host, path): the path of the largest summed score per host; ties to the lesser path. Votes
     are summed where they are cast, so a hot host sends a row for each path and task."""
-    total = votes(pages).groupBy("host", "path").agg(F.sum(F.round("score").cast("long")).alias("s"))
+    total = votes(pages).groupBy("host", "path").agg(F.sum(F.round(1e6 * F.col("score")).cast("long")).alias("s"))
     return total.groupBy("host").agg(F.min_by("path", F.struct(-F.col("s"), "path")).alias("path"))
 
 

@@ -40,8 +40,8 @@ PREFIXES = ("", "www.", "blog.", "m.")
 
 #: Rules in force: verdict, host and its subdomains, path prefix.
 RULES = (
-    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"), ("block", "org", "/es/"),
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
 )
 
 
@@ -65,7 +65,7 @@ def fit(rows: list[tuple[str, str, int]], epochs: int = 60, rate: float = 0.5, l
     """(weights, bias) by AdaGrad over the labelled rows in a fixed order."""
     w, b = np.zeros(BUCKETS), 0.0
     g2, b2 = np.full(BUCKETS, 1e-8), 1e-8
-    feats = [(np.unique(grams(h, p)), y) for h, p, y in rows]
+    feats = [(np.unique(np.array(grams(h, p), np.int64)), y) for h, p, y in rows]
     order = sorted(range(len(rows)), key=lambda i: zlib.crc32(repr(rows[i]).encode()))
     for _ in range(epochs):
         for i in order:
@@ -81,7 +81,7 @@ def fit(rows: list[tuple[str, str, int]], epochs: int = 60, rate: float = 0.5, l
 
 
 def probability(host: str, path: str, w: np.ndarray, b: float) -> float:
-    f = np.unique(grams(host, path))
+    f = np.unique(np.array(grams(host, path), np.int64))
     return float(1 / (1 + np.exp(-(w[f].sum() / max(len(f), 1) ** 0.5 + b))))
 
 
