@@ -78,13 +78,12 @@ def regime_mix(ledger: DataFrame, labels: DataFrame, keys: Keys, order: str, reg
     past = labelled_past(when, ledger, labels, keys, order, regime, months)
     by = [*keys, "as_of", regime]
     table = train_metrics(past, [*by, "pair"], order, "ret", "vol", "weight", "r", 0.10)
+    turn = F.col("turnover")
     objectives = {
-        "sharpe": (F.col("sharpe") - 0.5 * F.col("turnover"), True), "drawdown": (F.col("drawdown") + 0.04 * F.col("turnover"), False), "cvar": (F.col("tail_loss"), False),
+        "sharpe": -F.round(F.col("sharpe") - 0.5 * turn, 9), "drawdown": F.round(F.col("drawdown") + 0.04 * turn, 9), "cvar": F.round(F.col("tail_loss"), 9),
     }
-    out = None
-    for name, (value, largest) in objectives.items():
-        part = best_of(table, by, F.round(value, 9), largest=largest).select(*by, F.lit(name).alias("objective"), "pair")
-        out = part if out is None else out.unionByName(part)
+    best = table.groupBy(*by).agg(*[F.min_by("pair", F.when(v.isNotNull(), F.struct(v, "pair"))).alias(n) for n, v in objectives.items()])
+    out = best.unpivot(by, list(objectives), "objective", "pair").where("pair IS NOT NULL")
     rounded = table.withColumns({c: F.round(c, 9) for c in ("turnover", "drawdown", "sharpe")})
     last = tolerance_cascade(rounded, by, [("turnover", 0.01, True), ("drawdown", 0.01, True), ("sharpe", 0.0, False)])
     return out.unionByName(last.select(*by, F.lit("ultimate").alias("objective"), "pair"))
