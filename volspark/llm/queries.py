@@ -54,9 +54,8 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sp_sampling.sample_segmentations(_table(spark, sf_dir, "documents"))
-    packed = F.crc32(F.concat_ws(" ", F.col("ids").cast("array<string>")))
     return found.select(
-        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), packed.alias("ids_crc32"), "logp", "perturbed", "inclusion",
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "logp", "perturbed", "inclusion",
     )
 
 

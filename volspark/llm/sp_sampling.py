@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from .common import arrow_schema, has_columns, text_slices
 
 SPACE = "▁"
-_UNITS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Odd 64-bit multipliers of the splitmix64 generator, also used for substring hashes.
+_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Lattices:
@@ -35,7 +37,7 @@ class Lattices:
     piece is one edge of byte pieces. At most ``most`` units are held; then the arrays start afresh.
     """
 
-    def __init__(self, path: str, alpha: float = 1.0, most: int = 200_000):
+    def __init__(self, path: str, alpha: float = 1.0, most: int = 400_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,11 +47,17 @@ class Lattices:
             if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i)):
                 s = self.sp.id_to_piece(i)
                 self.piece[s] = (i, -alpha * math.log(2.7 + max(0.0, -self.sp.get_score(i))))
-        self.prefix: dict[str, tuple[int, float]] = {}  # of pieces; -1 where it is none itself
-        for x, p in self.piece.items():
-            for n in range(1, len(x)):
-                self.prefix.setdefault(x[:n], (-1, 0.0))
-            self.prefix[x] = p
+        # Sorted hashes of the pieces' prefixes, for each length: piece id (-1: none) and weight.
+        self.prefix: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, max(map(len, self.piece)) + 1):
+            some = sorted({x[:n] for x in self.piece if len(x) >= n})
+            found = [self.piece.get(x, (-1, 0.0)) for x in some]
+            h = np.zeros(len(some), np.uint64)
+            codes = np.array([[ord(c) for c in x] for x in some], np.uint64)
+            for j in range(n):
+                h = h * _C[0] + codes[:, j] + np.uint64(1)
+            order = np.argsort(h)
+            self.prefix.append((h[order], np.array([f[0] for f in found], np.int64)[order], np.array([f[1] for f in found])[order]))
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.low = -alpha * math.log(1e6)
         self.clear()
@@ -62,7 +70,7 @@ class Lattices:
         self._logp = np.zeros(1 << 16)
         self._to = np.zeros(1 << 16, np.int64)
         self._ids = np.zeros(1 << 16, np.int64)
-        self.long: dict[int, list[int]] = {}  # edges of several byte pieces
+        self.long: list[list[int]] = []  # several byte pieces of an edge, whose id is -1 - the place here
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """first, cum, logp, to."""
@@ -80,40 +88,53 @@ class Lattices:
             setattr(self, name, new)
 
     def add(self, units: list[str]) -> None:
-        """Lattices of new units. A unit has a node for each position, the last without edges; backward
-        sums are made for all units at once, one distance from the end after another."""
-        node, to, weight, ids = [], [], [], []
-        prefix, low, base, edge = self.prefix, self.low, self.n_nodes, self.n_edges
-        at = base
-        lengths = []
-        for unit in units:
-            self.unit[unit] = at
-            n = len(unit)
-            lengths.append(n)
-            for i in range(n):
-                here = len(node)
-                for j in range(i + 1, n + 1):
-                    p = prefix.get(unit[i:j])
-                    if p is None:
-                        break
-                    if p[0] >= 0:
-                        node.append(at + i)
-                        to.append(at + j)
-                        ids.append(p[0])
-                        weight.append(p[1])
-                if len(node) == here or to[here] != at + i + 1:
-                    raw = [self.bytes[b] for b in unit[i].encode("utf-8", "replace")]
-                    if len(raw) > 1:
-                        self.long[edge + len(node)] = raw
-                    node.append(at + i)
-                    to.append(at + i + 1)
-                    ids.append(raw[0])
-                    weight.append(low * len(raw))
-            at += n + 1
-        if at == base:
+        """Lattices of new units. A unit has a node for each position, the last without edges. Edges are
+        found for all positions at once, one length after another; backward sums likewise, one
+        distance from the end after another."""
+        if not units:
             return
-        e_node, e_to, w = np.array(node, np.int64) - base, np.array(to, np.int64) - base, np.array(weight)
-        size = np.array(lengths, np.int64) + 1
+        base, edge = self.n_nodes, self.n_edges
+        text = "".join(units)
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        lengths = np.array([len(u) for u in units], np.int64)
+        ends = np.cumsum(lengths)
+        whose = np.repeat(np.arange(len(units)), lengths)
+        end = ends[whose]
+        alive, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        plain = np.zeros(len(codes), bool)
+        got: list[tuple[np.ndarray, ...]] = []
+        for n, (hashes, ids, weights) in enumerate(self.prefix, 1):
+            inside = alive + n <= end[alive]
+            alive, h = alive[inside], h[inside]
+            if not len(alive):
+                break
+            h = h * _C[0] + codes[alive + n - 1] + np.uint64(1)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[at] == h
+            alive, h, at = alive[hit], h[hit], at[hit]
+            whole = ids[at] >= 0
+            if n == 1:
+                plain[alive[whole]] = True
+            got.append((alive[whole], np.full(int(whole.sum()), n), ids[at[whole]], weights[at[whole]]))
+        bare = np.flatnonzero(~plain)
+        raws = [[self.bytes[b] for b in text[i].encode("utf-8", "replace")] for i in bare.tolist()]
+        got.append((bare, np.ones(len(bare), np.int64), np.array([r[0] for r in raws], np.int64), self.low * np.array([len(r) for r in raws], np.float64)))
+        start, step, e_ids, w = (np.concatenate(c) for c in zip(*got))
+        order = np.argsort(start * 64 - step, kind="stable")  # of a node, longer pieces first
+        start, step, e_ids, w = start[order], step[order], e_ids[order], w[order]
+        if len(bare):
+            where = np.flatnonzero(order >= len(order) - len(bare))
+            for x, k in zip(where.tolist(), (order[where] - (len(order) - len(bare))).tolist()):
+                if len(raws[k]) > 1:
+                    e_ids[x] = -1 - len(self.long)
+                    self.long.append(raws[k])
+        e_node = start + whose[start]
+        e_to = e_node + step
+        firsts = ends - lengths + np.arange(len(units))
+        self.unit.update(zip(units, (firsts + base).tolist()))
+        at = base + len(codes) + len(units)
+        node = e_node
+        size = lengths + 1
         total = at - base
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         left = np.repeat(begin + size - 1, size) - np.arange(total)  # positions to the unit's end
@@ -133,7 +154,7 @@ class Lattices:
         prior = np.concatenate([[0.0], run])[first[e_node]]
         share = np.clip(run - prior, 0.0, 1.0)
         share[first[1:][first[1:] > first[:-1]] - 1] = 1.0
-        for name, new, n in (("_cum", e_node + base + share, edge), ("_logp", lp, edge), ("_to", e_to + base, edge), ("_ids", np.array(ids), edge), ("_first", first + edge, base)):
+        for name, new, n in (("_cum", e_node + base + share, edge), ("_logp", lp, edge), ("_to", e_to + base, edge), ("_ids", e_ids, edge), ("_first", first + edge, base)):
             self._grow(name, n + len(new) + 1)
             getattr(self, name)[n : n + len(new)] = new
         self.n_nodes, self.n_edges = at, edge + len(node)
@@ -142,9 +163,6 @@ class Lattices:
         return _UNITS.findall(self.sp.normalize(text)) if text else []
 
 
-_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of the splitmix64 generator."""
     x = (x ^ (x >> np.uint64(30))) * _C[1]
@@ -178,20 +196,28 @@ def _walk(nodes: np.ndarray, streams: np.ndarray, lat: tuple[np.ndarray, ...]) -
     """Draw a path from each node to its unit's end, all at once: (edges, which start), in order."""
     first, cum, _, to = lat
     at, who, s = nodes, np.arange(len(nodes)), streams
-    edges, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found = []
+    taken = np.zeros(len(nodes), np.int64)
     step = 0
     while len(at):
         open_ = first[at] < first[at + 1]
-        at, who, s = at[open_], who[open_], s[open_]
-        e = np.searchsorted(cum, at + _uniform(_stream(s, step)), side="right")
-        e = np.clip(e, first[at], first[at + 1] - 1)
-        edges.append(e)
-        owner.append(who)
+        if not open_.all():
+            at, who, s = at[open_], who[open_], s[open_]
+        u = at + _uniform(_stream(s, step))
+        e = first[at]
+        more = np.flatnonzero(cum[e] <= u)
+        while len(more):  # likely edges come first, so few rows stay
+            e[more] += 1
+            more = more[cum[e[more]] <= u[more]]
+        found.append((who, e))
+        taken[who] += 1
         at = to[e]
         step += 1
-    e, o = np.concatenate(edges), np.concatenate(owner)
-    order = np.argsort(o, kind="stable")
-    return e[order], o[order]
+    ends = np.cumsum(taken)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    for i, (who, e) in enumerate(found):
+        out[ends[who] - taken[who] + i] = e
+    return out, np.repeat(np.arange(len(nodes)), taken)
 
 
 def _truncated(mu: np.ndarray, bound: np.ndarray | float, streams: np.ndarray) -> np.ndarray:
@@ -202,7 +228,8 @@ def _truncated(mu: np.ndarray, bound: np.ndarray | float, streams: np.ndarray) -
 
 
 def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarray, ...], k: int) -> list[list[tuple[np.ndarray, float, float]]]:
-    """For each text: (edges, log-probability, perturbed log-probability) of its k + 1 largest, falling.
+    """For each text: (edges, log-probability, perturbed log-probability) of its k largest, falling, and
+    the perturbed value alone of the next.
 
     ``starts``: first nodes of the text's units. Round r opens the best partition of every text: a
     partition holds the segmentations that share a path's steps before i and avoid some edges there.
@@ -215,15 +242,15 @@ def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarra
     serial = iter(range(1 << 62))
     top = -np.log(-np.log(_uniform(_stream(keys, 0, 0))))
     todo = [(i, np.zeros(0, np.int64), np.zeros(0, np.int64), -1, s, 0, float(top[i])) for i, s in enumerate(starts)]
-    for r in range(k + 1):
+    for r in range(k):
         # Walk the open ends of all texts: (text, edges and units before, shut edge's step, nodes, first unit).
         sizes = np.array([len(t[4]) for t in todo], np.int64)
         ends = np.cumsum(sizes)
         local = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
         unit = local + np.repeat(np.array([t[5] for t in todo], np.int64), sizes)
-        own = np.repeat(keys[[t[0] for t in todo]], sizes) if todo else keys[:0]
+        mine = keys[[t[0] for t in todo]] if todo else keys[:0]
         nodes = np.concatenate([t[4] for t in todo]) if todo else np.zeros(0, np.int64)
-        e, o = _walk(nodes, _stream(own, r, 1, unit), lat)
+        e, o = _walk(nodes, _stream(np.repeat(_stream(mine, r, 1), sizes), unit), lat)
         cut = np.searchsorted(o, np.concatenate([[0], ends])) if todo else [0]
         paths, lens = [], []
         for n, (i, edges, units, _, _, _, g) in enumerate(todo):
@@ -232,7 +259,7 @@ def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarra
             paths.append(path)
             lens.append(len(path.edges) - len(edges))
             out[i].append((path.edges, float(path.before[-1]), g))
-        if r == k or not todo:
+        if not todo:
             break
         # The best that leaves each path at each new step.
         mass = -np.expm1(logp[np.concatenate([p.edges[len(p.edges) - n :] for p, n in zip(paths, lens)])])
@@ -242,7 +269,7 @@ def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarra
         n_new = np.array(lens)
         off = np.cumsum(n_new) - n_new
         step = np.arange(len(mu)) - np.repeat(off, n_new)
-        g = _truncated(mu, np.repeat([t[6] for t in todo], n_new), _stream(np.repeat(keys[[t[0] for t in todo]], n_new), r, 2, step))
+        g = _truncated(mu, np.repeat([t[6] for t in todo], n_new), _stream(np.repeat(_stream(mine, r, 2), n_new), step))
         g[mass < 1e-15] = -np.inf
         want = k - r
         for n, (t, path) in enumerate(zip(todo, paths)):
@@ -252,6 +279,8 @@ def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarra
             for b in best.tolist():
                 if part[b] > -np.inf:
                     heapq.heappush(heaps[t[0]], (-float(part[b]), next(serial), path, begin + b, (int(path.edges[begin + b]),)))
+        if r == k - 1:
+            break
         # Open the best partition of each text.
         todo = []
         for i, heap in enumerate(heaps):
@@ -259,13 +288,17 @@ def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarra
                 continue
             g0, _, old, at, shut = heapq.heappop(heap)
             node = int(np.searchsorted(first, old.edges[at], side="right")) - 1
-            edges = np.arange(first[node], first[node + 1])
-            p = np.where(np.isin(edges, shut), 0.0, np.exp(logp[edges]))
-            draw = _uniform(_stream(keys[i : i + 1], r, 3, [0, 1]))
-            some = np.flatnonzero(p)
-            pick = int(edges[min(int(np.searchsorted(np.cumsum(p), draw[0] * p.sum(), side="right")), int(some[-1]))])
+            edges = range(int(first[node]), int(first[node + 1]))
+            p = [(e, math.exp(logp[e])) for e in edges if e not in shut]
+            draw = float(_uniform(_stream(keys[i : i + 1], r, 3, 0))[0]) * sum(x for _, x in p)
+            pick = p[-1][0]
+            for e, x in p:
+                draw -= x
+                if draw < 0:
+                    pick = e
+                    break
             shut = (*shut, pick)
-            left = float(p.sum() - np.exp(logp[pick]))
+            left = sum(x for e, x in p if e != pick)
             u = int(old.unit[at])
             head, units = np.append(old.edges[:at], pick), np.append(old.unit[:at], u)
             if len(shut) < len(edges) and left > 1e-15:
@@ -273,6 +306,9 @@ def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarra
                 again = _truncated(mu, -g0, _stream(keys[i : i + 1], r, 3, 1))
                 heapq.heappush(heap, (-float(again[0]), next(serial), _Path(head, units, logp), at, shut))
             todo.append((i, head, units, at, np.concatenate([[lat[3][pick]], starts[i][u + 1 :]]), u, -g0))
+    for some, heap in zip(out, heaps):
+        if heap and len(some) == k:
+            some.append((np.zeros(0, np.int64), math.nan, -heap[0][0]))
     return out
 
 
@@ -290,7 +326,7 @@ def _lattices(path: str, alpha: float) -> Lattices:
     return _held[path, alpha]
 
 
-def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[list[int], float, float, float]]]:
+def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text (piece ids, log-probability, perturbed value, inclusion score) of up to k distinct
     segmentations; ``keys``: 64-bit keys that name the draws."""
     units = [lattices.units(t) for t in texts]
@@ -304,9 +340,9 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
         last = found[k][2] if len(found) > k else -math.inf
         rows = []
         for edges, lp, g in found[:k]:
-            pieces = ids[edges].tolist()
-            if lattices.long:
-                pieces = [x for e, p in zip(edges.tolist(), pieces) for x in lattices.long.get(e, (p,))]
+            pieces = ids[edges]
+            if len(pieces) and pieces.min() < 0:
+                pieces = np.array([x for p in pieces.tolist() for x in (lattices.long[-1 - p] if p < 0 else (p,))], np.int64)
             rows.append((pieces, lp, g, 1.0 if last == -math.inf else inclusion(lp, last)))
         out.append(rows)
     return out
@@ -379,14 +415,14 @@ def sample_segmentations(docs: DataFrame, k: int = 3, seed: int = 0, alpha: floa
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for first, texts in text_slices(batch, "text"):
-                cols: list[list] = [[] for _ in wanted]
                 own = keys[first : first + len(texts)]
                 seeds = np.array([row_key(seed, d, t) for d, t in zip(own, texts)], np.uint64)
                 found = sample_texts(lattices, [(t or b"").decode("utf-8", "replace") for t in texts], seeds, k)
-                for key, rows in zip(own, found):
-                    for i, row in enumerate(rows):
-                        for col, x in zip(cols, (key, i + 1, *row)):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, wanted)], schema=wanted)
+                rows = [(key, i + 1, *row) for key, some in zip(own, found) for i, row in enumerate(some)]
+                key, number, ids, *rest = zip(*rows)
+                ends = np.cumsum([0, *map(len, ids)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                cols = [pa.array(key, pa.int64()), pa.array(number, pa.int32()), ids.cast(wanted.field("ids").type), *[pa.array(c, pa.float64()) for c in rest]]
+                yield pa.RecordBatch.from_arrays(cols, schema=wanted)
 
     return has_columns(docs, "doc_id", "text").mapInArrow(run, SAMPLES)
