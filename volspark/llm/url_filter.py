@@ -3,6 +3,7 @@ from a small labelled table of URLs."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Sequence
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 
 #: The labelled table: hosts (each with the paths of PATHS) that are to be blocked or allowed.
 BLOCKED = (
@@ -45,6 +46,9 @@ RULES = (
 )
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def table() -> list[tuple[str, str, int]]:
     """(host, path, 1 to block) rows to train on."""
     named = [(h, 1) for h in BLOCKED] + [(h, 0) for h in ALLOWED]
@@ -52,10 +56,11 @@ def table() -> list[tuple[str, str, int]]:
 
 
 def grams(host: str, path: str, sizes: Sequence[int] = (3, 4, 5)) -> list[int]:
-    """Hashed character n-grams of the host (without its top-level name) and of the path."""
+    """Hashed character n-grams of the host (without its top-level name) and of the path, where every
+    digit counts as 0."""
     name = host.rpartition(".")[0] or host
     out = []
-    for mark, s in (("h", f"^{name}$"), ("p", f"^{path}$")):
+    for mark, s in (("h", f"^{name}$"), ("p", f"^{_DIGIT.sub('0', path)}$")):
         for n in sizes:
             out += [zlib.crc32(f"{mark}{s[i : i + n]}".encode()) % BUCKETS for i in range(len(s) - n + 1)]
     return out
