@@ -60,8 +60,9 @@ def _stats(texts: pa.Array) -> pa.Array:
 
 
 def stats(text: str = "text") -> Column:
-    """The struct of STATS of a text column."""
-    return _stats(F.col(f"`{text}`"))
+    """The struct of STATS of a text column. It is marked as not deterministic so that Spark runs it once
+    for all expressions that read its fields, instead of once in each."""
+    return _stats.asNondeterministic()(F.col(f"`{text}`"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
