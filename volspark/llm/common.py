@@ -16,16 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, one machine) a
-    temporary folder is made and set.
+    temporary folder is made, one for each application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _own[app]
     return base.rstrip("/")
 
 
+_own: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage ends in a table
     that survives lost executors."""
