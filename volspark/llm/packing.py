@@ -18,7 +18,7 @@ from .tokens import default_path, encoder
 EXACT_LENGTHS = 1024
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens of every whole text, with one end id (a null or empty text: 1). Workers hold
     ``cache_words`` words at most."""
     path = tokenizer or default_path()
@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, cache_words: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, cache_words)
         for batch in batches:
-            n = [c + 1 for _, texts in text_slices(batch, "text") for c in enc.counts(texts)]
+            n = [c + 1 for _, texts in text_slices(batch, "text", 4 << 20) for c in enc.counts(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64())], schema=wanted)
 
     return has_columns(docs, "doc_id", "text").mapInArrow(count, out)

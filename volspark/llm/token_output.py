@@ -108,7 +108,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, texts in text_slices(batch, "text"):
+            for first, texts in text_slices(batch, "text", 4 << 20):
                 for k, x in zip(keys[first:], enc.encode(texts)):
                     ids.append(x + end)
                     names.append(k)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from itertools import chain
 
 import numpy as np
-import regex
 
 #: A pre-tokenizer of this pattern drops white space, so words between ASCII spaces are encoded alone.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PIECES = regex.compile(WORD_PATTERN)
+#: The same for words of printable ASCII and Latin letters, ...
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: ... that is, without these: anything else, numerals that aren't digits, the mark of special tokens.
+_ODD = re.compile(r"[^!-~\u00a1-\u024f]|[\u00ad\u00b2\u00b3\u00b9\u00bc-\u00be]|<\|")
 
 
 class WordEncoder:
@@ -30,20 +33,25 @@ class WordEncoder:
         conf = json.load(open(path, encoding="utf-8"))
         steps = (conf.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         norms = [n["type"] for n in (conf.get("normalizer") or {}).get("normalizers") or []]
+        suffix = conf["model"].get("end_of_word_suffix")
         plain = {"lstrip": False, "rstrip": False, "single_word": False, "normalized": False}
         self.by_word = (
             steps[0].get("pattern", {}).get("Regex") == WORD_PATTERN
             and steps[0].get("behavior") == "Removed"
             and [s["type"] for s in steps[1:]] == ["ByteLevel"]
+            and bool(suffix)
             and norms == ["NFC", "Replace", "Lowercase"]
+            and all(t["content"].startswith("<|") for t in conf["added_tokens"])
             and all(t.get(k) == v for t in conf["added_tokens"] for k, v in plain.items())
         )
-        self.marks = [t["content"][:2] for t in conf["added_tokens"]]
         self.cache_words = cache_words
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         if self.by_word:
+            self.last = np.zeros(self.full.get_vocab_size(), bool)  # ids of tokens that end a word
+            for token, i in self.full.get_vocab().items():
+                self.last[i] = token.endswith(suffix)
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = normalizers.Sequence([])
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -54,37 +62,36 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Put the ids of words that the cache lacks into it."""
-        if len(self.pieces) > self.cache_words // 4:
-            self.pieces.clear()
-        parts: list[tuple[bytes, list[str]]] = []
-        odd: list[tuple[bytes, str]] = []
-        wanted: dict[str, None] = {}
-        for w in new:
-            s = w.decode("utf-8", "replace")
+        held, pieces = self.words, self.pieces
+        if len(pieces) > self.cache_words // 4:
+            pieces.clear()
+        one: list[bytes] = []
+        only: list[str] = []
+        many: list[tuple[bytes, list[str]]] = []
+        odd: list[bytes] = []
+        for w, s in zip(new, b" ".join(new).decode("utf-8", "replace").lower().split(" ")):
             if s.isascii() and s.isalpha():
-                p = [s.lower()]
-            elif not s.isprintable() or max(s) >= "ɐ" or any(m in s for m in self.marks):
-                odd.append((w, s))
-                continue
+                one.append(w)
+                only.append(s)
+            elif _ODD.search(s):
+                odd.append(w)
+            elif s.isalpha():
+                one.append(w)
+                only.append(s)
             else:
-                low = s.lower()
-                p = [low] if low.isalpha() else _PIECES.findall(low)
-            parts.append((w, p))
-            for x in p:
-                if x not in self.pieces:
-                    wanted[x] = None
+                many.append((w, _PIECES.findall(s)))
+        wanted = list(dict.fromkeys(x for x in chain(only, chain.from_iterable(p for _, p in many)) if x not in pieces))
         if wanted:
-            names = list(wanted)
-            e = self.bare.encode(names, is_pretokenized=True, add_special_tokens=False)
-            ends = np.cumsum(np.bincount(e.word_ids, minlength=len(names))) * self.dtype.itemsize
-            raw, at = np.asarray(e.ids, self.dtype).tobytes(), 0
-            for x, end in zip(names, ends.tolist()):
-                self.pieces[x] = raw[at:end]
-                at = end
-        for w, p in parts:
-            self.words[w] = self.pieces[p[0]] if len(p) == 1 else b"".join(map(self.pieces.__getitem__, p))
-        for (w, _), ids in zip(odd, self._whole([s for _, s in odd]) if odd else ()):
-            self.words[w] = ids
+            e = self.bare.encode_batch_fast([wanted], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.asarray(e.ids, self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+            raw = ids.tobytes()
+            pieces.update(zip(wanted, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        held.update(zip(one, map(pieces.__getitem__, only)))
+        for w, p in many:
+            held[w] = b"".join(map(pieces.__getitem__, p))
+        if odd:
+            held.update(zip(odd, self._whole([w.decode("utf-8", "replace") for w in odd])))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
