@@ -3,7 +3,7 @@ under the Manhattan distance of those counts, and verified by Hamming distance."
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +134,28 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def keep_first(docs: DataFrame, found: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with one row of each root of ``found`` (doc_id, key, root): that of the least (doc_id,
+    key), a null id last. ``keys`` gives doc_id, key of a table; it is called again only for rows whose
+    id is null or stands on rows of different keys."""
+    found = materialize(found.select("doc_id", "key", "root"), "found")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
+    stay = materialize(first.select("f.doc_id", "f.key"), "stay")
+    shared = found.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    shared = materialize(shared.where("doc_id IS NULL OR lo < hi").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    alone = stay.join(shared, "doc_id", "left_anti").where("doc_id IS NOT NULL")
+    kept = docs.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    same = docs["doc_id"].eqNullSafe(shared["doc_id"])
+    texts = materialize(docs.join(shared, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "shared-rows")
+    rows = keys(texts.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+    rows = rows.join(texts.select("__row", "doc_id"), "__row")
+    staying = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["key"] == stay["key"])
+    rows = rows.join(stay, staying, "left_semi").groupBy("doc_id", "key").agg(F.min("__row").alias("__row"))
+    return kept.unionByName(texts.join(rows.select("__row"), "__row", "left_semi").select(docs.columns))
+
+
 def keep_one(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the least ``doc_id``, once.
 
