@@ -3,10 +3,8 @@
 import itertools
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
-from volspark.llm import shingle_join, simhash_dedup
+from volspark.llm import packing, shingle_join, simhash_dedup, va_search
 
 SCHEMA = "doc_id long, text string"
 
@@ -67,3 +65,17 @@ def test_pipeline_stage_equals_brute_force_over_the_table(spark, sf_dir):
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     want = {i for i, r in groups(rows).items() if i == r}
     assert {r.doc_id for r in shingle_join.keep_one(docs).collect()} == want
+
+
+# --- Packing
+
+
+def test_bounds_are_real_lengths_and_optimal_above_1024(spark):
+    lengths = [3, 3, 7, 1025, 1025, 1030, 2049, 2051, 29_999, 30_001]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    out = packing.pack(df, buckets=4).toPandas()
+    x = sorted(set(lengths))
+    best = min(sum(min(v for v in (*s, x[-1]) if v >= n) - n for n in lengths) for s in itertools.combinations(x[:-1], 3))
+    assert set(out["bucket_len"]) <= set(x) and out["padding"].sum() == best
+    alone = packing.pack(df.where("n_tokens = 1025")).collect()
+    assert {(r.bucket_len, r.padding) for r in alone} == {(1025, 0)}

@@ -7,16 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_schema, has_columns, materialize, text_slices
 from .tokens import default_path, encoder
 
-#: Lengths up to here are histogram bins of their own; above, a bin spans 1/512 of its power of two.
-EXACT_LENGTHS = 1024
-
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_tokens of every whole text, with one end id (a null or empty text: 1). Workers hold
@@ -34,14 +31,6 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, cache_words: int
     return has_columns(docs, "doc_id", "text").mapInArrow(count, out)
 
 
-def _bin(n: Column) -> Column:
-    """The histogram bin's upper bound: the length itself, or above EXACT_LENGTHS the next multiple
-    of 2^(bits - 10), so bins number 512 for each doubling however long texts grow."""
-    doubling = F.floor(F.log2(F.greatest(n, F.lit(EXACT_LENGTHS)).cast("double"))).cast("int")
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), doubling - 9)
-    return F.when(n <= EXACT_LENGTHS, n).otherwise(((n + step - 1) / step).cast("long") * step)
-
-
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Bucket bounds (each the largest length of its bucket) with the least total padding.
 
@@ -59,18 +48,21 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     back = []
     for _ in range(1, min(buckets, n)):
         new, cut = best.copy(), np.zeros(n, np.int64)
-        todo = [(0, n - 1, 0, n - 1)]
-        while todo:
-            a, b, lo, hi = todo.pop()
-            if a > b:
-                continue
+        a, b, lo, hi = (np.array([z]) for z in (0, n - 1, 0, n - 1))
+        while len(a):  # all middles of one depth at once
             mid = (a + b) // 2
-            i = np.arange(lo, min(hi, mid) + 1)
-            prior = np.where(i > 0, best[i - 1], 0.0)
-            cost = prior + (total[mid + 1] - total[i]) * x[mid]
-            k = int(np.argmin(cost))
-            new[mid], cut[mid] = cost[k], i[k]
-            todo += [(a, mid - 1, lo, int(i[k])), (mid + 1, b, int(i[k]), hi)]
+            size = np.minimum(hi, mid) - lo + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) + np.repeat(lo - start, size)
+            end = np.repeat(mid, size)
+            cost = np.where(i > 0, best[i - 1], 0.0) + (total[end + 1] - total[i]) * x[end]
+            least = np.minimum.reduceat(cost, start)
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            k = i[at[np.searchsorted(at, start)]]
+            new[mid], cut[mid] = least, k
+            a, b, lo, hi = (np.concatenate(z) for z in ((a, mid + 1), (mid - 1, b), (lo, k), (k, hi)))
+            some = a <= b
+            a, b, lo, hi = a[some], b[some], lo[some], hi[some]
         best = new
         back.append(cut)
     out, j = [], n - 1
@@ -87,7 +79,7 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 def pack(lengths: DataFrame, buckets: int = 16, budget: int = 1 << 16, run: int = 4096) -> DataFrame:
     """Per row of (doc_id, n_tokens): bucket, bucket_len, batch (id within the bucket), padding.
 
-    Bounds come from the histogram of all rows. A batch of bucket length L holds budget // L rows
+    Bounds come from the histogram of all rows, with a bin for each length. A batch of bucket length L holds budget // L rows
     (at least one, so a row longer than the budget is a batch alone). Rows of a bucket are numbered
     over salted runs of about ``run`` rows: each run is ranked by itself and starts where the runs
     before it end, so no bucket meets in one task. Repeated rows each take a place; null ``doc_id``s
@@ -95,15 +87,15 @@ def pack(lengths: DataFrame, buckets: int = 16, budget: int = 1 << 16, run: int
     """
     spark = lengths.sparkSession
     rows = lengths.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    rows = materialize(rows.withColumn("bin", _bin(F.col("n_tokens"))), "lengths")
-    hist = rows.groupBy("bin").count().toPandas()  # at most 1024 + 512 bins for each doubling
-    bounds = best_bounds(hist["bin"].to_numpy(), hist["count"].to_numpy(), buckets)
+    rows = materialize(rows, "lengths")
+    hist = rows.groupBy("n_tokens").count().toPandas()  # a row for each distinct length
+    bounds = best_bounds(hist["n_tokens"].to_numpy(), hist["count"].to_numpy(), buckets)
     runs = max(1, int(hist["count"].sum()) // run)
     bucket = F.lit(len(bounds) - 1)
     size = F.lit(bounds[-1] if bounds else 0).cast("long")
     for i in range(len(bounds) - 2, -1, -1):
-        bucket = F.when(F.col("bin") <= bounds[i], F.lit(i)).otherwise(bucket)
-        size = F.when(F.col("bin") <= bounds[i], F.lit(bounds[i]).cast("long")).otherwise(size)
+        bucket = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(bucket)
+        size = F.when(F.col("n_tokens") <= bounds[i], F.lit(bounds[i]).cast("long")).otherwise(size)
     rows = rows.select(
         "doc_id", "n_tokens", bucket.alias("bucket"), size.alias("bucket_len"),
         F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(runs)).alias("run"),
