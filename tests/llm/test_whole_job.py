@@ -79,3 +79,26 @@ def test_bounds_are_real_lengths_and_optimal_above_1024(spark):
     assert set(out["bucket_len"]) <= set(x) and out["padding"].sum() == best
     alone = packing.pack(df.where("n_tokens = 1025")).collect()
     assert {(r.bucket_len, r.padding) for r in alone} == {(1025, 0)}
+
+
+# --- Vector search
+
+
+def test_copies_of_an_id_take_one_place(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(z) for z in rng.normal(0, 0.2, 6)]) for i in range(80)]
+    hot = [1.0] * 6
+    rows += [(500, hot)] * 40 + [(501, [0.9] * 6)] * 7 + [(500, [0.1 * i] * 6) for i in range(5)] + [(0, hot)] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(900, hot), (500, hot), (0, hot)], "vec_id long, embedding array<float>")
+    exact = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows]
+    want = set()
+    for qid in (900, 500, 0):
+        best = {}
+        for i, v in exact:
+            if i != qid:
+                best[i] = max(best.get(i, -(10**9)), int((v * np.full(6, 256.0)).sum()))
+        top = sorted(best.items(), key=lambda z: (-z[1], z[0]))[:5]
+        want |= {(qid, r + 1, i, s) for r, (i, s) in enumerate(top)}
+    for page in (16, 2048):
+        assert {tuple(r) for r in va_search.search(df, asked, page=page).collect()} == want

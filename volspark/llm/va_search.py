@@ -92,8 +92,9 @@ def search_page(
     ids: np.ndarray, v: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray, qid: np.ndarray,
     q: np.ndarray, k: int,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For each query: its id, the ids and exact scores of its best k on the page (the query's own id
-    aside), and how many exact vectors were read."""
+    """For each query: its id, the k best ids of the page (the query's own aside), each with the best
+    exact score of its vectors, and how many exact vectors were read."""
+    repeated = len(np.unique(ids)) < len(ids)
     lo = (low + cells * width).astype(np.float64)
     hi = lo + (width - 1)
     up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
@@ -113,7 +114,10 @@ def search_page(
             rows = rows[ids[rows] != qid[i]]
             s = np.concatenate([best_s, v[rows] @ q[i]])
             d = np.concatenate([best_i, ids[rows]])
-            pick = np.lexsort((d, -s))[:k]
+            pick = np.lexsort((d, -s))
+            if repeated:  # copies of an id take one place
+                pick = pick[np.sort(np.unique(d[pick], return_index=True)[1])]
+            pick = pick[:k]
             best_s, best_i = s[pick], d[pick]
             sure = len(pick) == k
             if at < len(order):
