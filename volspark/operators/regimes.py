@@ -94,9 +94,11 @@ def persistent(df: DataFrame, keys: Keys, order: str, label: str, hold: int = 3)
     return df.groupBy(*keys).applyInPandas(step, schema)
 
 
-def bocpd(df: DataFrame, keys: Keys, order: str, col: str, hazard: float = 1 / 100, longest: int = 200) -> DataFrame:
-    """Adds p_change: probability that a run began at this row (Student-t predictive, runs cut at
-    ``longest``)."""
+def bocpd(df: DataFrame, keys: Keys, order: str, col: str, hazard: float = 1 / 100) -> DataFrame:
+    """Adds p_change: probability that a run began at one of the last five rows (Student-t predictive).
+
+    All run lengths are kept; only runs whose probability is zero as a double, which cannot come back,
+    leave the arrays."""
     schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + ", p_change double"
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,14 +106,14 @@ def bocpd(df: DataFrame, keys: Keys, order: str, col: str, hazard: float = 1 / 1
         x = pdf[col].to_numpy(float)
         scale = float(np.nanstd(x)) or 1.0
         k, a, b, m, p, out = np.ones(1), np.ones(1), np.ones(1), np.zeros(1), np.ones(1), []
-        gammas = np.array([math.lgamma((2 + i) / 2) - math.lgamma((1 + i) / 2) for i in range(2 * longest + 8)])
+        gammas = np.array([math.lgamma((2 + i) / 2) - math.lgamma((1 + i) / 2) for i in range(len(x) + 8)])
         for v in x / scale:
             if math.isnan(v):
                 out.append(None)
                 continue
             dof = 2 * a
             s2 = b * (k + 1) / (a * k)
-            g = gammas[np.minimum((dof - 1).astype(int), len(gammas) - 1)]
+            g = gammas[(dof - 1).astype(int)]
             logp = g - 0.5 * np.log(dof * math.pi * s2) - (dof + 1) / 2 * np.log1p((v - m) ** 2 / (dof * s2))
             w = p * np.exp(logp)
             new = np.concatenate([[w.sum() * hazard], w * (1 - hazard)])
@@ -119,9 +121,10 @@ def bocpd(df: DataFrame, keys: Keys, order: str, col: str, hazard: float = 1 / 1
             b = np.concatenate([[1.0], b + k * (v - m) ** 2 / (2 * (k + 1))])
             m = np.concatenate([[0.0], (k * m + v) / (k + 1)])
             k, a = np.concatenate([[1.0], k + 1]), np.concatenate([[1.0], a + 0.5])
-            if len(p) > longest:
-                k, a, b, m, p = (z[:longest] for z in (k, a, b, m, p))
-                p = p / p.sum()
+            live = p > 0
+            live[:5] = True
+            if not live.all():
+                k, a, b, m, p = (z[live] for z in (k, a, b, m, p))
             out.append(float(p[:5].sum()))
         return pdf.assign(p_change=out)
 
