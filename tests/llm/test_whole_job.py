@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from volspark.llm import packing, shingle_join, simhash_dedup, va_search
+from volspark.llm import packing, shingle_join, simhash_dedup, text_stats, va_search
 
 SCHEMA = "doc_id long, text string"
 
@@ -67,6 +67,19 @@ def test_pipeline_stage_equals_brute_force_over_the_table(spark, sf_dir):
     assert {r.doc_id for r in shingle_join.keep_one(docs).collect()} == want
 
 
+def test_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(5)
+    rows = varied(rng, 150, 1, 0, 1) * 2 + varied(rng, 150, 1, 0, 2) + [(2, "a text of its own kind")]
+    rows = [(1, rows[0][1]), (2, rows[0][1]), *rows[1:], (None, rows[0][1]), (None, "without an id"), (None, "without an id")]
+    want = sorted({t for _, t in rows})
+    df = spark.createDataFrame(rows, SCHEMA)
+    for stage in (simhash_dedup.keep_one, shingle_join.keep_one):
+        assert sorted(r.text for r in stage(df).collect()) == want
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 9)], "doc_id long, quality int")
+    sample = text_stats.labelled_sample(df, labels, "quality", 10).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) > 0
+
+
 # --- Packing
 
 

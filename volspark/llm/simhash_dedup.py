@@ -118,6 +118,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame
     a null ``doc_id`` is a row of its component and names it only if no other id does (null); an
     empty table gives no rows.
     """
+    return _grouped(docs, width, most).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, most: int) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component) and component_id of every row."""
     fps = materialize(fingerprints(docs, width), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes, most))
@@ -126,8 +131,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame
     )
     named = materialize(named, "nodes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = named.join(least, "root").select("fp", "root", "component_id")
+    return fps.join(names, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -157,21 +162,9 @@ def keep_first(docs: DataFrame, found: DataFrame, keys: Callable[[DataFrame], Da
 
 
 def keep_one(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the least ``doc_id``, once.
+    """``docs`` with one document of each near-duplicate group: that of the least (doc_id, fp), once.
 
     A group whose ids are all null keeps one of its rows.
     """
-    found = near_duplicates(docs, width, most)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    if docs.where("doc_id IS NULL").isEmpty():
-        return kept
-    nameless = docs.where("doc_id IS NULL")
-    alone = found.where("component_id IS NULL").groupBy("fp").count().select("fp")
-    roots = components(links(alone, most))
-    alone = alone.join(roots, alone["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    texts = nameless.withColumn("__row", F.monotonically_increasing_id())
-    texts = materialize(texts, "nameless")
-    fp = fingerprints(texts.select(F.col("__row").alias("doc_id"), "text"), width)
-    first = fp.join(alone, "fp").groupBy("root").agg(F.min("doc_id").alias("__row")).select("__row")
-    return kept.unionByName(texts.join(first, "__row", "left_semi").drop("__row"))
+    found = _grouped(docs, width, most).withColumnRenamed("fp", "key")
+    return keep_first(docs, found, lambda rows: fingerprints(rows, width).withColumnRenamed("fp", "key"))

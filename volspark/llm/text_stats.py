@@ -70,10 +70,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 
     Rows with crc32(id as text) mod 4 = 2 are held out. Repeated labels of a document count as their
     least; null labels, null ids and labels without a document take no part. The sample is bounded by
-    the parameter, so its ids are broadcast and no text is shuffled.
+    the parameter, so its ids are broadcast; rows of one id count as that of the least text, so only
+    the sample's texts are shuffled.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     ids = ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     ids = ids.groupBy("doc_id").agg(F.min(label).alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
