@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from volspark.llm import packing, shingle_join, simhash_dedup, text_stats, va_search
+from volspark.llm import html_extract, packing, shingle_join, simhash_dedup, text_stats, va_search
 
 SCHEMA = "doc_id long, text string"
 
@@ -115,3 +115,20 @@ def test_copies_of_an_id_take_one_place(spark):
         want |= {(qid, r + 1, i, s) for r, (i, s) in enumerate(top)}
     for page in (16, 2048):
         assert {tuple(r) for r in va_search.search(df, asked, page=page).collect()} == want
+
+
+# --- HTML extraction
+
+
+def test_article_keeps_what_stands_beside_its_inner_container(spark):
+    lead, long = "A lead paragraph that says in sixty characters what comes next.", "many words of the text " * 90
+    inner = f"<article><h1>The heading</h1><p>{lead}</p><div class='entry-content'><p>{long}</p></div><p>A last line.</p></article>"
+    nested = f"<article><h1>Top</h1><section class='a'><div><p>{long}</p></div></section><section class='b'><div><p>{lead}</p></div></section></article>"
+    posts = f"<div class='post'><h1>Name</h1><div class='entry-content'><p>{long}</p></div></div><div class='teasers'><p>{lead}</p></div>"
+    links = f"<main><p>{lead}</p><div class='text'><p>{long}" + "<a href='/x'>a linked phrase</a> and words " * 200 + "</p></div></main>"
+    rows = [(1, "http://a.com/1", inner), (2, "http://a.com/2", inner), (3, "http://b.com/", nested), (4, "http://c.com/", posts), (5, "http://d.com/", links)]
+    df = spark.createDataFrame([(i, u, f"<body><nav>Menu</nav><div class='wrap'>{h}</div></body>") for i, u, h in rows], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert found[1] == found[2] == f"The heading {lead} {long.strip()} A last line."
+    assert found[3] == f"Top {long.strip()} {lead}" and found[4] == f"Name {long.strip()}"
+    assert found[5].startswith(lead) and found[5].endswith("and words")

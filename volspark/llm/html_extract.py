@@ -41,6 +41,7 @@ _NOISE = re.compile(
 _HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|masthead|topbar|top-bar|site-title)(?:$|[\s_-])", re.I)
 _NEGATED = re.compile(r"\b(?:has|with|no|without|show|hide|js|col)[_-][\w-]+", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|page)(?:$|[\s_-])", re.I)
+_POST = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _DIGITS = re.compile(r"\d+")
 
@@ -62,7 +63,7 @@ def _noise(tag: str, attrs: dict[str, str], within: bool) -> bool:
 
 def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]:
     """The text blocks outside noise, in page order, and the containers: number -> (path, parent's
-    number, share of its text in links is left to the score)."""
+    number, bonus of its name lowered by the share of its text that stands in links)."""
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, number, noise
     nodes: dict[int, tuple[str, int, float]] = {0: ("", -1, 0.0)}
     out: list[Block] = []
@@ -158,9 +159,17 @@ def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]
     if at < end and not noisy and not inline_noise:
         run.append(source[at:end])
     flush()
-    for n, k in links.items():
+    inside = dict.fromkeys(nodes, 0)
+    for _, n, text in out:
+        inside[n] += len(text)
+    linked = {n: links.get(n, 0) for n in nodes}
+    for n in sorted(nodes, reverse=True):  # a parent's number is the lesser
         path, parent, bonus = nodes[n]
-        nodes[n] = (path, parent, bonus - k / 1000)
+        if parent >= 0:
+            inside[parent] += inside[n]
+            linked[parent] += linked[n]
+        share = min(1.0, linked[n] / max(inside[n], 1))
+        nodes[n] = (path, parent, (1 + bonus) * (1 - share) - 1)
     return out, nodes
 
 
@@ -170,13 +179,13 @@ _TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "b
 
 def scores(found: list[Block], nodes: dict[int, tuple[str, int, float]]) -> dict[str, float]:
     """Score of each container path: a block gives its length (short ones a third) to its container
-    and half to that one's parent; article, main and content names raise it, links lower it."""
+    and half as much to each next ancestor; article, main and content names raise it, links lower it."""
     raw: dict[int, float] = {}
     for _, n, text in found:
-        worth = len(text) if len(text) >= 25 else len(text) / 3
-        raw[n] = raw.get(n, 0.0) + worth
-        if (up := nodes[n][1]) >= 0:
-            raw[up] = raw.get(up, 0.0) + worth / 2
+        raw[n] = raw.get(n, 0.0) + (len(text) if len(text) >= 25 else len(text) / 3)
+    for n in sorted(nodes, reverse=True):
+        if n in raw and (up := nodes[n][1]) >= 0:
+            raw[up] = raw.get(up, 0.0) + raw[n] / 2
     out: dict[str, float] = {}
     for n, s in raw.items():
         path, _, bonus = nodes[n]
@@ -184,19 +193,36 @@ def scores(found: list[Block], nodes: dict[int, tuple[str, int, float]]) -> dict
     return out
 
 
+def lifted(own: dict[str, float], nodes: dict[int, tuple[str, int, float]]) -> dict[str, float]:
+    """The scores, where a container inside an article stands for the outermost article around it; else
+    for the main around it; else for the outermost container named post, entry, story or article."""
+    rank: dict[int, tuple[int, int]] = {}  # container -> kind of what it stands for, and its number
+    out: dict[str, float] = {}
+    for n in sorted(nodes):
+        path, parent, _ = nodes[n]
+        name = path[len(nodes[parent][0]) + 1 :] if parent >= 0 else ""
+        tag, _, classes = name.partition(".")
+        kind = 3 if tag == "article" else 2 if tag == "main" else 1 if _POST.search(classes.replace(".", " ")) else 0
+        rank[n] = max((kind, n), rank.get(parent, (0, n)), key=lambda r: (r[0], -r[1]) if r[0] else (0, r[1]))
+        if path in own:
+            to = nodes[rank[n][1]][0]
+            out[to] = max(out.get(to, 0.0), own[path])
+    return out
+
+
 def page_text(source: str, winner: str | None) -> str:
     """Blocks under containers of the winning path, or of the page's own best where it has none."""
     found, nodes = blocks(source)
     if not found:
         return ""
-    own = scores(found, nodes)
     if winner is None or not any(p == winner or p.startswith(winner + "/") for p, _, _ in found):
+        own = lifted(scores(found, nodes), nodes)
         winner = max(own, key=lambda p: (own[p], p))
     return " ".join(t for p, _, t in found if p == winner or p.startswith(winner + "/"))
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, score: every page's three best container paths, scored against its best, so that a
+    """host, path, score: all container paths of every page, scored against its best, so that a
     long page has no more say than others."""
     out = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())])
     wanted = arrow_schema(out)
@@ -207,10 +233,11 @@ def votes(pages: DataFrame) -> DataFrame:
             cols: tuple[list, list, list] = ([], [], [])
             for first, sources in text_slices(batch, "html"):
                 for host, source in zip(hosts[first:], sources):
-                    s = scores(*blocks((source or b"").decode("utf-8", "replace")))
-                    ranked = sorted(s, key=lambda p: (-s[p], p))[:3]
-                    for path in ranked:
-                        for col, x in zip(cols, (host, path, s[path] / s[ranked[0]])):
+                    parts, nodes = blocks((source or b"").decode("utf-8", "replace"))
+                    s = lifted(scores(parts, nodes), nodes)
+                    best = max(s.values(), default=1.0)
+                    for path in s:
+                        for col, x in zip(cols, (host, path, s[path] / best)):
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, wanted)], schema=wanted)
 
