@@ -14,6 +14,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ class Lattices:
             if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i)):
                 s = self.sp.id_to_piece(i)
                 self.piece[s] = (i, -alpha * math.log(2.7 + max(0.0, -self.sp.get_score(i))))
-        # Sorted hashes of the pieces' prefixes, for each length: piece id (-1: none) and weight.
-        self.prefix: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # For each length, the pieces' prefixes in a hash table: see _table.
+        self.prefix: list[tuple[np.ndarray, ...]] = []
         for n in range(1, max(map(len, self.piece)) + 1):
             some = sorted({x[:n] for x in self.piece if len(x) >= n})
             found = [self.piece.get(x, (-1, 0.0)) for x in some]
@@ -56,8 +57,7 @@ class Lattices:
             codes = np.array([[ord(c) for c in x] for x in some], np.uint64)
             for j in range(n):
                 h = h * _C[0] + codes[:, j] + np.uint64(1)
-            order = np.argsort(h)
-            self.prefix.append((h[order], np.array([f[0] for f in found], np.int64)[order], np.array([f[1] for f in found])[order]))
+            self.prefix.append(_table(h, np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found])))
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.low = -alpha * math.log(1e6)
         self.clear()
@@ -65,17 +65,18 @@ class Lattices:
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
-        self._first = np.zeros(1 << 16, np.int64)  # of a node: its first edge; one more entry ends the last
-        self._cum = np.zeros(1 << 16)  # of an edge: its node + the probability of the edges up to it
+        self._first = np.zeros(1 << 16, np.int32)  # of a node: its first edge; one more entry ends the last
+        self._share = np.zeros(1 << 16, np.uint32)  # of an edge: the largest 32-bit draw that takes it or one before it
+        self._next = np.zeros(1 << 16, np.int32)  # of an edge: the first edge behind it, -1 at the unit's end
         self._logp = np.zeros(1 << 16)
-        self._to = np.zeros(1 << 16, np.int64)
-        self._ids = np.zeros(1 << 16, np.int64)
+        self._to = np.zeros(1 << 16, np.int32)
+        self._ids = np.zeros(1 << 16, np.int32)
         self.long: list[list[int]] = []  # several byte pieces of an edge, whose id is -1 - the place here
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """first, cum, logp, to."""
+    def arrays(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """first, (share, next), logp, to."""
         n = self.n_edges
-        return self._first[: self.n_nodes + 1], self._cum[:n], self._logp[:n], self._to[:n]
+        return self._first[: self.n_nodes + 1], (self._share[:n], self._next[:n]), self._logp[:n], self._to[:n]
 
     def ids(self) -> np.ndarray:
         return self._ids[: self.n_edges]
@@ -103,15 +104,16 @@ class Lattices:
         alive, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         plain = np.zeros(len(codes), bool)
         got: list[tuple[np.ndarray, ...]] = []
-        for n, (hashes, ids, weights) in enumerate(self.prefix, 1):
+        for n, table in enumerate(self.prefix, 1):
             inside = alive + n <= end[alive]
             alive, h = alive[inside], h[inside]
             if not len(alive):
                 break
             h = h * _C[0] + codes[alive + n - 1] + np.uint64(1)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[at] == h
+            at = _find(h, table)
+            hit = at >= 0
             alive, h, at = alive[hit], h[hit], at[hit]
+            ids, weights = table[2], table[3]
             whole = ids[at] >= 0
             if n == 1:
                 plain[alive[whole]] = True
@@ -138,8 +140,11 @@ class Lattices:
         total = at - base
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         left = np.repeat(begin + size - 1, size) - np.arange(total)  # positions to the unit's end
-        order = np.argsort(left[e_node], kind="stable")
-        level = left[e_node][order]
+        level = left[e_node]
+        if len(level) and level.max() < 1 << 16:
+            level = level.astype(np.uint16)  # sorted by radix
+        order = np.argsort(level, kind="stable")
+        level = level[order]
         back = np.zeros(total)
         for d in range(1, int(level[-1]) + 1 if len(level) else 0):
             a, b = np.searchsorted(level, [d, d + 1])
@@ -150,17 +155,52 @@ class Lattices:
                 back[own[starts]] = np.logaddexp.reduceat(w[o] + back[e_to[o]], starts)
         lp = np.minimum(w + back[e_to] - back[e_node], 0.0)
         first = np.searchsorted(e_node, np.arange(total + 1))
-        run = np.cumsum(np.exp(lp))
-        prior = np.concatenate([[0.0], run])[first[e_node]]
-        share = np.clip(run - prior, 0.0, 1.0)
-        share[first[1:][first[1:] > first[:-1]] - 1] = 1.0
-        for name, new, n in (("_cum", e_node + base + share, edge), ("_logp", lp, edge), ("_to", e_to + base, edge), ("_ids", e_ids, edge), ("_first", first + edge, base)):
+        share = np.exp(lp)
+        fan = np.diff(first)
+        for j in range(1, int(fan.max()) if total else 0):
+            own = first[:-1][fan > j] + j
+            share[own] += share[own - 1]
+        share[first[1:][fan > 0] - 1] = 1.0
+        draw = np.maximum(np.ceil(np.minimum(share, 1.0) * 2.0**32) - 1, 0).astype(np.uint32)
+        behind = np.where(np.append(fan, 0)[e_to] > 0, first[e_to] + edge, -1)
+        for name, new, n in (("_share", draw, edge), ("_next", behind, edge), ("_logp", lp, edge), ("_to", e_to + base, edge), ("_ids", e_ids, edge), ("_first", first + edge, base)):
             self._grow(name, n + len(new) + 1)
             getattr(self, name)[n : n + len(new)] = new
         self.n_nodes, self.n_edges = at, edge + len(node)
 
     def units(self, text: str) -> list[str]:
-        return _UNITS.findall(self.sp.normalize(text)) if text else []
+        if not text:
+            return []
+        s = self.sp.normalize(text)
+        if s[:1] == SPACE and s[-1:] != SPACE and 2 * SPACE not in s and "\0" not in s:
+            return s.replace(SPACE, "\0" + SPACE).split("\0")[1:]
+        return _UNITS.findall(s)
+
+
+def _table(h: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bucket starts, hashes, ids, weights): entries by the top bits of a mixed hash, about one a bucket."""
+    bits = np.uint64(64 - max(1, int(len(h) - 1).bit_length() + 1))
+    key = (h * _C[1]) >> bits
+    order = np.argsort(key, kind="stable")
+    starts = np.searchsorted(key[order], np.arange((1 << int(64 - bits)) + 1, dtype=np.uint64))
+    return starts, h[order], ids[order], weights[order], bits
+
+
+def _find(h: np.ndarray, table: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The place of each hash in the table, -1 where it has none."""
+    starts, hashes, _, _, bits = table
+    key = ((h * _C[1]) >> bits).astype(np.int64)
+    at, end = starts[key], starts[key + 1]
+    out = np.full(len(h), -1, np.int64)
+    who = np.flatnonzero(at < end)
+    at, end = at[who], end[who]
+    while len(who):
+        same = hashes[at] == h[who]
+        out[who[same]] = at[same]
+        at += 1
+        more = ~same & (at < end)
+        who, at, end = who[more], at[more], end[more]
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -182,42 +222,32 @@ def _uniform(stream: np.ndarray) -> np.ndarray:
     return ((stream >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-class _Path:
-    """A segmentation: edges in text order, the unit of each, and log-probability sums before each."""
-
-    __slots__ = ("before", "edges", "unit")
-
-    def __init__(self, edges: np.ndarray, unit: np.ndarray, logp: np.ndarray):
-        self.edges, self.unit = edges, unit
-        self.before = np.concatenate([[0.0], np.cumsum(logp[edges])])
-
-
-def _walk(nodes: np.ndarray, streams: np.ndarray, lat: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Draw a path from each node to its unit's end, all at once: (edges, which start), in order."""
-    first, cum, _, to = lat
-    at, who, s = nodes, np.arange(len(nodes)), streams
+def _walk(nodes: np.ndarray, streams: np.ndarray, lat: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Draw a path from each node to its unit's end, all at once: (edges, how many of each start), in order."""
+    first, (share, behind), *_ = lat
+    e = first[nodes]
+    who = np.flatnonzero(e < first[nodes + 1])
+    e, s = e[who], streams[who]
     found = []
     taken = np.zeros(len(nodes), np.int64)
     step = 0
-    while len(at):
-        open_ = first[at] < first[at + 1]
-        if not open_.all():
-            at, who, s = at[open_], who[open_], s[open_]
-        u = at + _uniform(_stream(s, step))
-        e = first[at]
-        more = np.flatnonzero(cum[e] <= u)
+    while len(e):
+        u = ((_stream(s, step) if step else s) >> np.uint64(32)).astype(np.uint32)
+        more = np.flatnonzero(share[e] < u)
         while len(more):  # likely edges come first, so few rows stay
             e[more] += 1
-            more = more[cum[e[more]] <= u[more]]
+            more = more[share[e[more]] < u[more]]
         found.append((who, e))
         taken[who] += 1
-        at = to[e]
+        e = behind[e]
+        open_ = e >= 0
+        who, s, e = who[open_], s[open_], e[open_]
         step += 1
-    ends = np.cumsum(taken)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    starts = np.cumsum(taken) - taken
+    out = np.zeros(int(taken.sum()), np.int32)
     for i, (who, e) in enumerate(found):
-        out[ends[who] - taken[who] + i] = e
-    return out, np.repeat(np.arange(len(nodes)), taken)
+        out[starts[who] + i] = e
+    return out, taken
 
 
 def _truncated(mu: np.ndarray, bound: np.ndarray | float, streams: np.ndarray) -> np.ndarray:
@@ -227,7 +257,49 @@ def _truncated(mu: np.ndarray, bound: np.ndarray | float, streams: np.ndarray) -
         return mu - np.logaddexp(mu - bound, np.log(-np.log(_uniform(streams))))
 
 
-def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarray, ...], k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+#: No draw of _truncated exceeds its location by more: -log(-log(u)) of the largest u below 1.
+_REACH = 37.5
+
+
+def _partings(lp: np.ndarray, cut: np.ndarray, before: np.ndarray, bound: np.ndarray, streams: np.ndarray, want: int) -> list[list[tuple[float, int, float]]]:
+    """For each text the ``want`` best (perturbed value, step, log-probability before it) of the
+    segmentations that leave its path at a step. ``lp``: the steps of all paths; text n has cut[n] to
+    cut[n + 1] and ``before[n]`` ahead of them.
+
+    Steps that have no other way are passed over. The log-probability before a step falls along a
+    path, so once it is more than _REACH under the least of the ``want`` best, no later step can be
+    among them; of most paths no more than 128 steps are looked at.
+    """
+    free = np.flatnonzero(lp < -1e-15)
+    whose = np.searchsorted(free, cut)
+    local = free - np.repeat(cut[:-1], np.diff(whose))
+    lp = lp[free]
+    out: list[list[tuple[float, int, float]]] = [[] for _ in before]
+    size = np.diff(whose)
+    left, width = np.flatnonzero(size), 128
+    while len(left):
+        n = np.minimum(size[left], width)
+        column = np.arange(int(n.max()))
+        inside = column < n[:, None]
+        at = np.minimum(whose[left][:, None] + column, len(lp) - 1)
+        w = np.where(inside, lp[at], 0.0)
+        sums = np.cumsum(np.concatenate([before[left][:, None], w], axis=1), axis=1)
+        with np.errstate(divide="ignore"):
+            mu = sums[:, :-1] + np.log(-np.expm1(w))
+        g = _truncated(mu, bound[left][:, None], _stream(streams[left][:, None], local[at]))
+        g[~inside] = -np.inf
+        best = np.argpartition(-g, want - 1, axis=1)[:, :want] if g.shape[1] > want else np.broadcast_to(column, g.shape)
+        row = np.arange(len(left))[:, None]
+        value = g[row, best]
+        least = value.min(axis=1) if g.shape[1] >= want else np.full(len(left), -np.inf)
+        done = (size[left] <= width) | (sums[:, -1] + _REACH < least)
+        for n_, vs, bs, ps in zip(left[done].tolist(), value[done].tolist(), local[at[row, best]][done].tolist(), sums[row, best][done].tolist()):
+            out[n_] = [x for x in zip(vs, bs, ps) if x[0] > -math.inf]
+        left, width = left[~done], 4 * width
+    return out
+
+
+def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text: (edges, log-probability, perturbed log-probability) of its k largest, falling, and
     the perturbed value alone of the next.
 
@@ -235,77 +307,73 @@ def sample_many(starts: list[np.ndarray], keys: np.ndarray, lat: tuple[np.ndarra
     partition holds the segmentations that share a path's steps before i and avoid some edges there.
     Texts go through a round together, but each draws from its own streams.
     """
-    first, _, logp, _ = lat
+    first, _, logp, to = lat
     heaps: list[list] = [[] for _ in starts]
     out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in starts]
     keys = keys.astype(np.uint64)
     serial = iter(range(1 << 62))
-    top = -np.log(-np.log(_uniform(_stream(keys, 0, 0))))
-    todo = [(i, np.zeros(0, np.int64), np.zeros(0, np.int64), -1, s, 0, float(top[i])) for i, s in enumerate(starts)]
+    bound = -np.log(-np.log(_uniform(_stream(keys, 0, 0))))
+    who, heads, before = list(range(len(starts))), [None] * len(starts), np.zeros(len(starts))
+    nodes, unit = list(starts), np.zeros(len(starts), np.int64)
     for r in range(k):
-        # Walk the open ends of all texts: (text, edges and units before, shut edge's step, nodes, first unit).
-        sizes = np.array([len(t[4]) for t in todo], np.int64)
-        ends = np.cumsum(sizes)
-        local = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        unit = local + np.repeat(np.array([t[5] for t in todo], np.int64), sizes)
-        mine = keys[[t[0] for t in todo]] if todo else keys[:0]
-        nodes = np.concatenate([t[4] for t in todo]) if todo else np.zeros(0, np.int64)
-        e, o = _walk(nodes, _stream(np.repeat(_stream(mine, r, 1), sizes), unit), lat)
-        cut = np.searchsorted(o, np.concatenate([[0], ends])) if todo else [0]
-        paths, lens = [], []
-        for n, (i, edges, units, _, _, _, g) in enumerate(todo):
-            new = slice(cut[n], cut[n + 1])
-            path = _Path(np.concatenate([edges, e[new]]), np.concatenate([units, unit[o[new]]]), logp)
-            paths.append(path)
-            lens.append(len(path.edges) - len(edges))
-            out[i].append((path.edges, float(path.before[-1]), g))
-        if not todo:
+        if not who:
             break
-        # The best that leaves each path at each new step.
-        mass = -np.expm1(logp[np.concatenate([p.edges[len(p.edges) - n :] for p, n in zip(paths, lens)])])
-        mu = np.concatenate([p.before[len(p.edges) - n : -1] for p, n in zip(paths, lens)])
-        with np.errstate(divide="ignore"):
-            mu = mu + np.log(mass)
-        n_new = np.array(lens)
-        off = np.cumsum(n_new) - n_new
-        step = np.arange(len(mu)) - np.repeat(off, n_new)
-        g = _truncated(mu, np.repeat([t[6] for t in todo], n_new), _stream(np.repeat(_stream(mine, r, 2), n_new), step))
-        g[mass < 1e-15] = -np.inf
-        want = k - r
-        for n, (t, path) in enumerate(zip(todo, paths)):
-            part = g[off[n] : off[n] + lens[n]]
-            best = np.argpartition(-part, want - 1)[:want] if len(part) > want else np.arange(len(part))
-            begin = len(path.edges) - lens[n]
-            for b in best.tolist():
-                if part[b] > -np.inf:
-                    heapq.heappush(heaps[t[0]], (-float(part[b]), next(serial), path, begin + b, (int(path.edges[begin + b]),)))
+        # Walk the open ends of all texts; ``heads`` are the edges before, ``unit`` the first open unit.
+        size = np.array([len(x) for x in nodes], np.int64)
+        ends = np.cumsum(size)
+        number = np.arange(int(ends[-1])) + np.repeat(unit - (ends - size), size)
+        mine = keys[who]
+        e, taken = _walk(np.concatenate(nodes), _stream(np.repeat(_stream(mine, r, 1), size), number), lat)
+        cut = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], ends])]
+        lp = logp[e]
+        total = np.add.reduceat(np.append(lp, 0.0), cut[:-1]) if len(cut) > 1 else np.zeros(0)
+        total = before + np.where(np.diff(cut) > 0, total, 0.0)
+        best = _partings(lp, cut, before, bound, _stream(mine, r, 2), k - r)
+        for n, (i, head) in enumerate(zip(who, heads)):
+            path = e[cut[n] : cut[n + 1]]
+            ahead = 0
+            if head is not None:
+                path, ahead = np.concatenate([head, path]), len(head)
+            out[i].append((path, float(total[n]), float(bound[n])))
+            for g, step, prior in best[n]:
+                heapq.heappush(heaps[i], (-g, next(serial), path, ahead + step, prior, (int(path[ahead + step]),)))
         if r == k - 1:
             break
         # Open the best partition of each text.
-        todo = []
+        draws, again = (_uniform(_stream(keys, r, 3, x)).tolist() for x in (0, 1))
+        who, heads, nodes, rest, news, bounds = [], [], [], [], [], []
         for i, heap in enumerate(heaps):
             if not heap:
                 continue
-            g0, _, old, at, shut = heapq.heappop(heap)
-            node = int(np.searchsorted(first, old.edges[at], side="right")) - 1
+            g0, _, old, at, prior, shut = heapq.heappop(heap)
+            done = to[old[:at]]
+            closed = first[done] == first[done + 1]
+            u = int(np.count_nonzero(closed))
+            node = int(starts[i][u] if not at or closed[-1] else done[-1])
             edges = range(int(first[node]), int(first[node + 1]))
-            p = [(e, math.exp(logp[e])) for e in edges if e not in shut]
-            draw = float(_uniform(_stream(keys[i : i + 1], r, 3, 0))[0]) * sum(x for _, x in p)
+            p = [(x, math.exp(logp[x])) for x in edges if x not in shut]
+            draw = draws[i] * sum(x for _, x in p)
             pick = p[-1][0]
-            for e, x in p:
-                draw -= x
+            for x, q in p:
+                draw -= q
                 if draw < 0:
-                    pick = e
+                    pick = x
                     break
             shut = (*shut, pick)
-            left = sum(x for e, x in p if e != pick)
-            u = int(old.unit[at])
-            head, units = np.append(old.edges[:at], pick), np.append(old.unit[:at], u)
+            left = sum(q for x, q in p if x != pick)
+            head = np.append(old[:at], np.int32(pick))
             if len(shut) < len(edges) and left > 1e-15:
-                mu = np.array([old.before[at] + math.log(left)])
-                again = _truncated(mu, -g0, _stream(keys[i : i + 1], r, 3, 1))
-                heapq.heappush(heap, (-float(again[0]), next(serial), _Path(head, units, logp), at, shut))
-            todo.append((i, head, units, at, np.concatenate([[lat[3][pick]], starts[i][u + 1 :]]), u, -g0))
+                mu = prior + math.log(left)
+                x, y = mu + g0, math.log(-math.log(again[i]))
+                g = mu - max(x, y) - math.log1p(math.exp(-abs(x - y)))
+                heapq.heappush(heap, (-g, next(serial), head, at, prior, shut))
+            who.append(i)
+            heads.append(head)
+            rest.append(prior + float(logp[pick]))
+            nodes.append(np.concatenate([to[pick : pick + 1], starts[i][u + 1 :]]))
+            news.append(u)
+            bounds.append(-g0)
+        before, unit, bound = np.array(rest), np.array(news, np.int64), np.array(bounds)
     for some, heap in zip(out, heaps):
         if heap and len(some) == k:
             some.append((np.zeros(0, np.int64), math.nan, -heap[0][0]))
@@ -332,9 +400,13 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
     units = [lattices.units(t) for t in texts]
     if len(lattices.unit) > lattices.most:
         lattices.clear()
-    known = lattices.unit
-    lattices.add(list({u: None for us in units for u in us if u not in known}))
-    starts = [np.array([known[u] for u in us], np.int64) for us in units]
+    known, flat = lattices.unit, list(chain.from_iterable(units))
+    nodes = np.fromiter(map(known.get, flat, repeat(-1)), np.int32, len(flat))
+    if len(new := np.flatnonzero(nodes < 0)):
+        unseen = [flat[i] for i in new.tolist()]
+        lattices.add(list(dict.fromkeys(unseen)))
+        nodes[new] = np.fromiter(map(known.__getitem__, unseen), np.int32, len(unseen))
+    starts = np.split(nodes, np.cumsum([len(us) for us in units])[:-1])
     ids, out = lattices.ids(), []
     for found in sample_many(starts, keys, lattices.arrays(), k):
         last = found[k][2] if len(found) > k else -math.inf
@@ -342,7 +414,7 @@ def sample_texts(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
         for edges, lp, g in found[:k]:
             pieces = ids[edges]
             if len(pieces) and pieces.min() < 0:
-                pieces = np.array([x for p in pieces.tolist() for x in (lattices.long[-1 - p] if p < 0 else (p,))], np.int64)
+                pieces = np.array([x for p in pieces.tolist() for x in (lattices.long[-1 - p] if p < 0 else (p,))], np.int32)
             rows.append((pieces, lp, g, 1.0 if last == -math.inf else inclusion(lp, last)))
         out.append(rows)
     return out
@@ -421,7 +493,7 @@ def sample_segmentations(docs: DataFrame, k: int = 3, seed: int = 0, alpha: floa
                 rows = [(key, i + 1, *row) for key, some in zip(own, found) for i, row in enumerate(some)]
                 key, number, ids, *rest = zip(*rows)
                 ends = np.cumsum([0, *map(len, ids)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32, copy=False)))
                 cols = [pa.array(key, pa.int64()), pa.array(number, pa.int32()), ids.cast(wanted.field("ids").type), *[pa.array(c, pa.float64()) for c in rest]]
                 yield pa.RecordBatch.from_arrays(cols, schema=wanted)
 
