@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,11 +16,14 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, one machine) a
-    temporary folder is made, one for each application.
+    It is ``spark.checkpoint.dir`` of the session; only where that is unset and driver and executors
+    are one process (master ``local``) a temporary folder is made, one for each application. On a
+    cluster executors would not see such a folder, so there an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -39,6 +43,20 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it has ``most`` rows or fewer;
+    beyond, Spark joins it by a shuffle. The result is the same."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` has the name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list]]:
     """(first row, texts as bytes or None) runs of a batch, each of about ``max_bytes``; a longer text
     comes whole in a run of its own."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, has_columns, materialize, text_slices
+from .common import arrow_schema, free_name, has_columns, materialize, small, text_slices
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -85,15 +85,16 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     return pair.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for every node of ``edges`` (a, b).
 
     Alternating large-star and small-star steps (each a grouped minimum and an equi-join, so a hub's
-    edges can be split over tasks), written after each round, until no edge changes.
+    edges can be split over tasks), written after each round, until no edge changes, however many
+    rounds that takes (the square of the logarithm of the nodes at most).
     """
     e = materialize(edges.select("a", "b"), "edges")
 
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         m = F.least("a", "m")
@@ -141,24 +142,30 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def keep_first(docs: DataFrame, found: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``docs`` with one row of each root of ``found`` (doc_id, key, root): that of the least (doc_id,
-    key), a null id last. ``keys`` gives doc_id, key of a table; it is called again only for rows whose
-    id is null or stands on rows of different keys."""
+    key), a null id last; of equal rows one. ``keys`` gives doc_id, key of a table.
+
+    A row whose id is its own stays unless the id goes, so texts are not shuffled: the ids that go are
+    broadcast where they are few. Rows whose id is null or stands on several rows are told apart by
+    their keys, for which ``keys`` is called again on them alone.
+    """
     found = materialize(found.select("doc_id", "key", "root"), "found")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
     stay = materialize(first.select("f.doc_id", "f.key"), "stay")
-    shared = found.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    shared = materialize(shared.where("doc_id IS NULL OR lo < hi").select("doc_id"), "shared-ids")
+    shared = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1").select("doc_id")
+    shared = small(materialize(shared, "shared-ids"))
+    gone = found.join(stay, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("doc_id").union(shared.where("doc_id IS NOT NULL"))
+    gone = small(materialize(gone.distinct(), "gone-ids"))
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns)
     if shared.isEmpty():
-        return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    alone = stay.join(shared, "doc_id", "left_anti").where("doc_id IS NOT NULL")
-    kept = docs.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        return kept
     same = docs["doc_id"].eqNullSafe(shared["doc_id"])
-    texts = materialize(docs.join(shared, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "shared-rows")
-    rows = keys(texts.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
-    rows = rows.join(texts.select("__row", "doc_id"), "__row")
+    own = free_name(docs, "__row")
+    texts = materialize(docs.join(shared, same, "left_semi").withColumn(own, F.monotonically_increasing_id()), "shared-rows")
+    rows = keys(texts.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "key")
+    rows = rows.join(texts.select(F.col(own).alias("row"), "doc_id"), "row")
     staying = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["key"] == stay["key"])
-    rows = rows.join(stay, staying, "left_semi").groupBy("doc_id", "key").agg(F.min("__row").alias("__row"))
-    return kept.unionByName(texts.join(rows.select("__row"), "__row", "left_semi").select(docs.columns))
+    rows = rows.join(stay, staying, "left_semi").groupBy("doc_id", "key").agg(F.min("row").alias(own))
+    return kept.unionByName(texts.join(rows.select(own), own, "left_semi").select(docs.columns))
 
 
 def keep_one(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
