@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
 from .text_stats import STATS, labelled_sample, rows
 
 
@@ -133,4 +134,5 @@ def classify(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame
 
 def keep(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with their columns, of score ``threshold`` or more; no row is shuffled."""
-    return docs.withColumn("__p", score(trees)).where(F.col("__p") >= threshold).select(docs.columns)
+    own = free_name(docs, "__p")
+    return docs.withColumn(own, score(trees)).where(F.col(own) >= threshold).select(docs.columns)

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .text_stats import labelled_sample, stats
 
 #: name -> numerator, denominator (counts of text_stats)
@@ -152,5 +153,6 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs``, with their columns, that the rules keep; no row is shuffled."""
-    marked = docs.withColumn("__s", stats())
-    return marked.where(~base_failed("__s") & (rejects(rules, "__s") == 0)).select(docs.columns)
+    own = free_name(docs, "__s")
+    marked = docs.withColumn(own, stats())
+    return marked.where(~base_failed(own) & (rejects(rules, own) == 0)).select(docs.columns)
