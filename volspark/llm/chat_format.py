@@ -10,6 +10,8 @@ from .common import has_columns
 
 #: Turns of a rendered part, and turn numbers of a run that is ranked by itself.
 PART = 256
+#: The run of turns without a number, before every other.
+NULLS = -(2**62)
 
 
 def _hashes(*values: Column) -> list[Column]:
@@ -30,7 +32,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     conversation is spread over tasks.
     """
     rows = has_columns(conversations, "conv_id", "turn", "role", "text").where("conv_id IS NOT NULL").distinct()
-    rows = rows.withColumn("run", F.coalesce(F.floor(F.col("turn") / PART), F.lit(-1)))
+    rows = rows.withColumn("run", F.coalesce(F.floor(F.col("turn") / PART), F.lit(NULLS)))
     order = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text")
     runs = rows.groupBy("conv_id", "run").agg(F.count("*").alias("c"))
     before = Window.partitionBy("conv_id").orderBy("run")

@@ -104,7 +104,7 @@ def pack(lengths: DataFrame, buckets: int = 16, budget: int = 1 << 16, run: int
     # Copies of one row may make one run long; a rank needs only its order, so ties fall anywhere.
     every = Window.partitionBy("bucket").orderBy("run")
     before = before.select("bucket", "run", (F.sum("n").over(every) - F.col("n")).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "run").orderBy("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "run").orderBy("doc_id", "n_tokens"))
     rows = rows.withColumn("rank", rank).join(before, ["bucket", "run"])
     room = F.greatest(F.lit(1).cast("long"), (F.lit(budget) / F.greatest("bucket_len", F.lit(1))).cast("long"))
     return rows.select(

@@ -87,7 +87,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     Texts are range-partitioned by ``doc_id`` and sorted, so a shard is a run of neighbours and
     (part, seq) is the order of the whole. A shard closes at ``shard_tokens``; a longer document
     fills one alone. Null texts are empty (the end id alone), null ids come first, repeated ids keep
-    all their rows, an empty table gives no shard; other columns of ``docs`` take no part.
+    all their rows in the order of their texts, an empty table gives no shard; other columns of ``docs`` take no part.
     """
     path = tokenizer or default_path()
     wanted = arrow_schema(SHARDS)
@@ -120,7 +120,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
             yield close()
 
     rows = has_columns(docs, "doc_id", "text")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(rows.mapInArrow(write, SHARDS), "token-shards")
 
 
