@@ -87,6 +87,17 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
     return kept
 
 
+def _centred(rule: Rule, x: np.ndarray) -> Rule:
+    """The rule with each threshold half-way between the values beside it: it covers the same rows of
+    ``x`` and spares texts that come just short of those it was learned from."""
+    out = []
+    for c in rule:
+        v = x[:, list(RATES).index(c.name)]
+        low, high = v[v <= c.threshold], v[v > c.threshold]
+        out.append(Condition(c.name, c.above, float((low.max() + high.min()) / 2)) if len(low) and len(high) else c)
+    return tuple(out)
+
+
 def learn(x: np.ndarray, y: np.ndarray, precision: float = 0.9, least: int = 5, rules: int = 16, conditions: int = 4) -> list[Rule]:
     """Rules that reject, in the order found. ``y``: 1 for a document to reject.
 
@@ -106,7 +117,7 @@ def learn(x: np.ndarray, y: np.ndarray, precision: float = 0.9, least: int = 5,
         hit = _covers(rule, x)
         if not rule or y[hit].sum() < least or y[hit].mean() < precision:
             break
-        out.append(rule)
+        out.append(_centred(rule, x))
         x, y, prune = x[~hit], y[~hit], prune[~hit]
     return out
 
