@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,18 +60,15 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list]]:
     """(first row, texts as bytes or None) runs of a batch, each of about ``max_bytes``; a longer text
-    comes whole in a run of its own."""
+    comes whole in a run of its own. One run at a time is taken out of the batch."""
     col = batch.column(batch.schema.get_field_index(column))
     col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
-    texts, first, size = [], 0, 0
-    for i, x in enumerate(col.to_pylist()):
-        texts.append(x)
-        size += len(x or b"")
-        if size >= max_bytes:
-            yield first, texts
-            texts, first, size = [], i + 1, 0
-    if texts:
-        yield first, texts
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(col).to_pylist(), 1):
+        size += n or 0
+        if size >= max_bytes or i == len(col):
+            yield first, col.slice(first, i - first).to_pylist()
+            first, size = i, 0
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -16,16 +16,21 @@ from .tokens import default_path, encoder
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, cache_words: int = 1_000_000) -> DataFrame:
-    """doc_id, n_tokens of every whole text, with one end id (a null or empty text: 1). Workers hold
-    ``cache_words`` words at most."""
+    """doc_id, n_tokens of every whole text, with one end id (a null or empty text: 1).
+
+    Workers hold ``cache_words`` words, and the new words of the two runs of texts that filled the
+    cache's halves; runs are small where the cache is. Null ids pass through, repeated rows count
+    alike, a very long text is a run of its own, an empty table gives no rows.
+    """
     path = tokenizer or default_path()
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType())])
     wanted = arrow_schema(out)
+    run = min(max(4 * cache_words, 1 << 18), 4 << 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, cache_words)
         for batch in batches:
-            n = [c + 1 for _, texts in text_slices(batch, "text", 4 << 20) for c in enc.counts(texts)]
+            n = [c + 1 for _, texts in text_slices(batch, "text", run) for c in enc.counts(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64())], schema=wanted)
 
     return has_columns(docs, "doc_id", "text").mapInArrow(count, out)
