@@ -38,6 +38,7 @@ _NOISE = re.compile(
     r"related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|login|signup|search|widgets?|toolbar|"
     r"pagination|pager|copyright|disclaimer|hidden|gdpr|paywall|teaser)(?:$|[\s_-])", re.I,
 )
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion)(?:$|[\s_-])", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|masthead|topbar|top-bar|site-title)(?:$|[\s_-])", re.I)
 _NEGATED = re.compile(r"\b(?:has|with|no|without|show|hide|js|col)[_-][\w-]+", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|page)(?:$|[\s_-])", re.I)
@@ -48,7 +49,9 @@ _DIGITS = re.compile(r"\d+")
 Block = tuple[str, int, str]  # path of its container, container's number, text
 
 
-def _noise(tag: str, attrs: dict[str, str], within: bool) -> bool:
+def _noise(tag: str, attrs: dict[str, str], within: bool, names: bool) -> bool:
+    """Does an element hold no text of the article? By its tag, its attributes and, where ``names``
+    holds, the words of its class and id."""
     if tag in _OUT or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
@@ -57,15 +60,36 @@ def _noise(tag: str, attrs: dict[str, str], within: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    names = _NEGATED.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return bool(_NOISE.search(names)) or not within and (tag == "header" or bool(_HEADER.search(names)))
+    if tag == "header" and not within:
+        return True
+    said = _NEGATED.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}")
+    return names and (bool(_NOISE.search(said)) or not within and bool(_HEADER.search(said)))
 
 
-def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]:
+def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float, float]]]:
     """The text blocks outside noise, in page order, and the containers: number -> (path, parent's
-    number, bonus of its name lowered by the share of its text that stands in links)."""
+    number, bonus of its name lowered by the share of its text that stands in links, that share).
+
+    Words of classes are a hint only: where an element named as noise holds most of the page's running
+    text (more than all that is left, and no list of readers' comments), the names are not heard for
+    that element and those around it."""
+    heard: set[int] = set()
+    while True:
+        found, nodes, named = _blocks(source, heard)
+        left = sum(len(t) for _, _, t in found if len(t) >= 25)
+        most = max(named, key=lambda n: named[n], default=None)
+        if most is None or named[most] <= max(left, 250):
+            return found, nodes
+        heard.add(most)
+
+
+def _blocks(source: str, heard: set[int]) -> tuple[list[Block], dict[int, tuple[str, int, float, float]], dict[int, int]]:
+    """blocks(), and for each outermost element that its names alone make noise (but readers' comments)
+    the running text that it holds. ``heard`` are the numbers of such elements to take for text."""
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, number, noise
-    nodes: dict[int, tuple[str, int, float]] = {0: ("", -1, 0.0)}
+    named: dict[int, int] = {}
+    elements = owner = 0
+    nodes: dict[int, tuple[str, int, float, float]] = {0: ("", -1, 0.0, 0.0)}
     out: list[Block] = []
     links: dict[int, int] = {}
     run: list[str] = []
@@ -76,7 +100,7 @@ def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]
 
     def flush() -> None:
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             run.clear()
             if text:
                 out.append((here[0], here[1], text))
@@ -84,16 +108,18 @@ def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]
     for m in _TOKEN.finditer(source):
         if m.start() < at:
             continue
+        if owner and m.start() - at >= 25:
+            named[owner] += m.start() - at
         if m.start() > at and not noisy and not inline_noise:
-            part = source[at : m.start()]
+            part = html.unescape(source[at : m.start()])
             run.append(part)
             if in_link:
                 links[here[1]] = links.get(here[1], 0) + len(part)
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                run.append(html.escape(m[0][9:].removesuffix("]]>")))
+            if m[0].startswith("<![CDATA[") and not noisy and not inline_noise:
+                run.append(m[0][9:].removesuffix("]]>"))
             continue
         if m[1]:
             if tag in _INLINE:
@@ -107,6 +133,8 @@ def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]
                 while True:
                     name, _, _, bad = stack.pop()
                     noisy -= bad
+                    if not noisy:
+                        owner = 0
                     within -= name in ("article", "main")
                     if name == tag:
                         break
@@ -126,7 +154,7 @@ def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]
                 continue
             if m[3] and not m[3].endswith("/"):
                 attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])}
-                if attrs and tag != "a" and _noise(tag, attrs, bool(within)):
+                if attrs and tag != "a" and _noise(tag, attrs, bool(within), True):
                     inline_noise.append(tag)
                 elif inline_noise and inline_noise[-1] == tag:
                     inline_noise.append(tag)
@@ -142,8 +170,14 @@ def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]
                 noisy -= stack.pop()[3]
         elif stack and stack[-1][0] == "p":
             noisy -= stack.pop()[3]
+        if not noisy:
+            owner = 0
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3] or "")}
-        bad = _noise(tag, attrs, bool(within))
+        elements += 1
+        bad = _noise(tag, attrs, bool(within), elements not in heard)
+        if bad and not noisy and not _noise(tag, attrs, bool(within), False) and not _READERS.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"):
+            owner = elements
+            named[owner] = 0
         up = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
         if tag in ("article", "main"):
             within += 1
@@ -153,31 +187,33 @@ def blocks(source: str) -> tuple[list[Block], dict[int, tuple[str, int, float]]]
             names = ".".join(sorted(_DIGITS.sub("#", attrs.get("class", "")).lower().split()))
             here = (f"{up[0]}/{tag}{'.' + names if names else ''}", len(nodes))
             bonus = 1.0 if tag in ("article", "main") else 0.5 * bool(_MAIN.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
-            nodes[here[1]] = (here[0], up[1], bonus)
+            nodes[here[1]] = (here[0], up[1], bonus, 0.0)
         stack.append((tag, here[0], here[1], bad))
         noisy += bad
+    if owner and end - at >= 25:
+        named[owner] += end - at
     if at < end and not noisy and not inline_noise:
-        run.append(source[at:end])
+        run.append(html.unescape(source[at:end]))
     flush()
     inside = dict.fromkeys(nodes, 0)
     for _, n, text in out:
         inside[n] += len(text)
     linked = {n: links.get(n, 0) for n in nodes}
     for n in sorted(nodes, reverse=True):  # a parent's number is the lesser
-        path, parent, bonus = nodes[n]
+        path, parent, bonus, _ = nodes[n]
         if parent >= 0:
             inside[parent] += inside[n]
             linked[parent] += linked[n]
         share = min(1.0, linked[n] / max(inside[n], 1))
-        nodes[n] = (path, parent, (1 + bonus) * (1 - share) - 1)
-    return out, nodes
+        nodes[n] = (path, parent, (1 + bonus) * (1 - share) - 1, share)
+    return out, nodes, named
 
 
 #: Blocks of text; they are no containers, their text counts for what holds them.
 _TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "td", "th", "tr", "caption", "figcaption", "address", "center"}
 
 
-def scores(found: list[Block], nodes: dict[int, tuple[str, int, float]]) -> dict[str, float]:
+def scores(found: list[Block], nodes: dict[int, tuple[str, int, float, float]]) -> dict[str, float]:
     """Score of each container path: a block gives its length (short ones a third) to its container
     and half as much to each next ancestor; article, main and content names raise it, links lower it."""
     raw: dict[int, float] = {}
@@ -188,18 +224,18 @@ def scores(found: list[Block], nodes: dict[int, tuple[str, int, float]]) -> dict
             raw[up] = raw.get(up, 0.0) + raw[n] / 2
     out: dict[str, float] = {}
     for n, s in raw.items():
-        path, _, bonus = nodes[n]
+        path, _, bonus, _ = nodes[n]
         out[path] = max(out.get(path, 0.0), s * max(0.1, 1 + bonus))
     return out
 
 
-def lifted(own: dict[str, float], nodes: dict[int, tuple[str, int, float]]) -> dict[str, float]:
+def lifted(own: dict[str, float], nodes: dict[int, tuple[str, int, float, float]]) -> dict[str, float]:
     """The scores, where a container inside an article stands for the outermost article around it; else
     for the main around it; else for the outermost container named post, entry, story or article."""
     rank: dict[int, tuple[int, int]] = {}  # container -> kind of what it stands for, and its number
     out: dict[str, float] = {}
     for n in sorted(nodes):
-        path, parent, _ = nodes[n]
+        path, parent, *_ = nodes[n]
         name = path[len(nodes[parent][0]) + 1 :] if parent >= 0 else ""
         tag, _, classes = name.partition(".")
         kind = 3 if tag == "article" else 2 if tag == "main" else 1 if _POST.search(classes.replace(".", " ")) else 0
@@ -211,14 +247,24 @@ def lifted(own: dict[str, float], nodes: dict[int, tuple[str, int, float]]) -> d
 
 
 def page_text(source: str, winner: str | None) -> str:
-    """Blocks under containers of the winning path, or of the page's own best where it has none."""
+    """Blocks under containers of the winning path, or of the page's own best where it has none. Of
+    several such containers, those of links for the most part (lists of columns that differ in a
+    number alone) are left out."""
     found, nodes = blocks(source)
     if not found:
         return ""
     if winner is None or not any(p == winner or p.startswith(winner + "/") for p, _, _ in found):
         own = lifted(scores(found, nodes), nodes)
         winner = max(own, key=lambda p: (own[p], p))
-    return " ".join(t for p, _, t in found if p == winner or p.startswith(winner + "/"))
+    top: dict[int, int] = {}  # container -> the outermost of the winning path around it
+    for n in sorted(nodes):
+        path, parent, *_ = nodes[n]
+        if (up := top.get(parent)) is not None or path == winner:
+            top[n] = n if up is None else up
+    mostly = {n for n in set(top.values()) if nodes[n][3] > 0.5}
+    if len(mostly) == len(set(top.values())):
+        mostly = set()
+    return " ".join(t for _, n, t in found if n in top and top[n] not in mostly)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -268,6 +314,6 @@ def extract(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
 
     @F.arrow_udf(T.StringType())
     def text(sources: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([page_text(s or "", p) for s, p in zip(sources.to_pylist(), paths.to_pylist())], pa.string())
+        return pa.array((page_text(s.as_py() or "", p.as_py()) for s, p in zip(sources, paths)), pa.string())
 
     return keyed.select("page_id", "url", text("html", "path").alias("text"))
