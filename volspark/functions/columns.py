@@ -57,6 +57,22 @@ def vol_regime(c: Column) -> Column:
     )
 
 
+#: Spellings of the sensitivity levels.
+SENSITIVITY_NAMES = {
+    "very_low": ("very_low", "verylow", "vl"), "low": ("low", "l"), "normal": ("normal", "medium", "mid", "n"),
+    "high": ("high", "h"), "very_high": ("very_high", "veryhigh", "vh"),
+}
+
+
+def sensitivity(c: Column, default: str = "normal") -> Column:
+    """One of the five levels from the spellings in use; anything else is ``default``."""
+    x = F.regexp_replace(F.lower(F.trim(c)), "[ -]+", "_")
+    out = F.lit(default)
+    for level, names in SENSITIVITY_NAMES.items():
+        out = F.when(x.isin(*names), level).otherwise(out)
+    return out
+
+
 def contains_any(text: Column, tokens: list[str]) -> Column:
     out = F.lit(False)
     for t in tokens:

@@ -118,6 +118,16 @@ def regime_blend(fast: DataFrame, slow: DataFrame, stress: DataFrame, order: str
     return both.join(stress, order).select(order, "i", "j", (F.col("p") * F.col("__f") + (1 - F.col("p")) * F.col("__s")).alias("cov"))
 
 
+def dynamic_blend(ewma_: DataFrame, shrunk_: DataFrame, downside_: DataFrame, stress: DataFrame, order: str) -> DataFrame:
+    """(0.45 - 0.2 k) EWMA + 0.35 shrunk + (0.2 + 0.2 k) downside, k = clip((stress - 0.08) / 0.2, 0, 1) of
+    the annual vol s per date in ``stress``."""
+    k = F.least(F.greatest((F.col("s") - 0.08) / 0.20, F.lit(0.0)), F.lit(1.0))
+    on = [order, "i", "j"]
+    rows = [x.where("cov IS NOT NULL").select(*on, F.col("cov").alias(n)) for n, x in (("__e", ewma_), ("__l", shrunk_), ("__w", downside_))]
+    both = rows[0].join(rows[1], on).join(rows[2], on).join(stress.where("s IS NOT NULL").select(order, k.alias("__k")), order)
+    return both.select(*on, ((0.45 - 0.20 * F.col("__k")) * F.col("__e") + 0.35 * F.col("__l") + (0.20 + 0.20 * F.col("__k")) * F.col("__w")).alias("cov"))
+
+
 def vix_scaled(cov: DataFrame, vix: DataFrame, order: str, n: int = 252, low: float = 0.35, high: float = 4.0) -> DataFrame:
     """Times clip((vix / its trailing median)^2); ``vix`` has one row per date of ``cov``."""
     f = roll(along([], order), n)

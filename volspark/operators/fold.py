@@ -33,6 +33,7 @@ class Rule:
     high: float = np.inf
     step_up: float = np.inf
     step_down: float = np.inf
+    gates: int = 0  # so many other gates, summed in a column, are averaged with the brake
 
 
 def linear_brake(start: float, full: float, k: float = 1.0, least: float = 0.0) -> Callable[[float], float]:
@@ -46,12 +47,13 @@ def linear_brake(start: float, full: float, k: float = 1.0, least: float = 0.0)
     return brake
 
 
-def fold_ledger(df: DataFrame, keys: Keys, order: str, r: str, wanted: str, rule: Rule, rf: str | None = None, bps: float = 5.0, capital: float = 1.0, cap: float = 1.5, schedule: str | None = None) -> DataFrame:
+def fold_ledger(df: DataFrame, keys: Keys, order: str, r: str, wanted: str, rule: Rule, rf: str | None = None, bps: float = 5.0, capital: float = 1.0, cap: float = 1.5, schedule: str | None = None, gates: str | None = None) -> DataFrame:
     """keys, order, weight, turnover, cost, ret, ret_no_rf, equity, equity_no_rf.
 
     The weight of a row earns the next row's return, less the cost of its own move; the rest of the
     capital earns ``rf``. The last row holds the weight before it. Windows make ``wanted`` before the
-    fold, which keeps two numbers of state beside the weight.
+    fold, which keeps two numbers of state beside the weight. ``gates`` names the column of a rule's
+    other gates. Rows of one date are taken in no set order, so a key's dates must differ.
     """
     names = [c for c in [*keys, order] if c]
     kinds = dict(df.dtypes)
@@ -62,13 +64,17 @@ def fold_ledger(df: DataFrame, keys: Keys, order: str, r: str, wanted: str, rule
         x, base = pdf[r].to_numpy(float), pdf[wanted].to_numpy(float)
         f = pdf[rf].fillna(0.0).to_numpy(float) if rf else np.zeros(len(x))
         moves = pdf[schedule].to_numpy(bool) if schedule else np.ones(len(x), bool)
+        other = pdf[gates].to_numpy(float) if gates else np.zeros(len(x))
         n = len(x)
         w, cost, ret, bare = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
         held, equity, peak = 0.0, capital, capital
         for i in range(n - 1):
             peak = max(peak, equity)
             if moves[i] and not np.isnan(base[i]):
-                target = min(max(base[i] * rule.brake(1.0 - equity / peak), rule.low), rule.high)
+                factor = rule.brake(1.0 - equity / peak)
+                if gates:
+                    factor = (other[i] + factor) / (rule.gates + 1)
+                target = min(max(base[i] * factor, rule.low), rule.high)
                 move = target - held
                 if abs(move) > rule.band or (abs(move) == rule.band and not rule.inclusive):
                     held = min(max(held + min(max(move, -rule.step_down), rule.step_up), 0.0), cap)

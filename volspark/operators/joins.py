@@ -80,10 +80,14 @@ def labelled_past(decisions: DataFrame, rows: DataFrame, labels: DataFrame, keys
 
 
 def recorded_regime(days: DataFrame, records: DataFrame, keys: Keys, order: str) -> DataFrame:
-    """Adds regime: of the last record with prediction_date on or before the date and feature_end
-    before it; records that fail the second test never show."""
-    ok = records.where(F.col("feature_end") < F.col("prediction_date"))
-    return asof(days, ok.select(*keys, F.col("prediction_date").alias(order), "regime"), keys, order, ["regime"])
+    """Adds regime: on each date, of the record of the latest prediction_date among those with
+    prediction_date on or before the date and feature_end before it. A record counts from the day on which
+    both hold, and an older one that ends its features later never covers a newer one."""
+    start = F.greatest("prediction_date", F.date_add("feature_end", 1))
+    r = records.select(*keys, start.alias(order), F.struct("prediction_date", "regime").alias("__r"), F.lit(0).alias("__side"))
+    both = days.withColumn("__side", F.lit(1)).unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(order, "__side")
+    return both.withColumn("regime", F.max("__r").over(cum(w))["regime"]).where("__side = 1").drop("__side", "__r")
 
 
 def hold_until_next(df: DataFrame, keys: Keys, order: str, col: str, interval: int) -> DataFrame:

@@ -115,15 +115,7 @@ def window_metrics(df: DataFrame, keys: Keys, order: str, r: str, weight: str, t
         "__m": F.avg(c).over(f), "__sd": F.stddev_samp(c).over(f), "__q": F.percentile(c, 0.05).over(f),
         "__all": F.collect_list(c).over(f), "turnover_n": F.avg("__dw").over(f),
     })
-    step = F.aggregate(
-        F.col("__all"),
-        F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("p"), F.lit(0.0).alias("d")),
-        lambda s, x: F.struct(
-            (s["e"] + x).alias("e"), F.greatest(s["p"], s["e"] + x).alias("p"),
-            F.least(s["d"], s["e"] + x - F.greatest(s["p"], s["e"] + x)).alias("d"),
-        ),
-        lambda s: F.exp(s["d"]) - 1,
-    )
+    step = frame_drawdown(F.col("__all"))
     tail = F.filter(F.col("__all"), lambda x: x <= F.col("__q"))
     return rows.withColumns({
         "momentum": F.col("ret_20") > F.col("ret_40"),
@@ -133,6 +125,19 @@ def window_metrics(df: DataFrame, keys: Keys, order: str, r: str, weight: str, t
     }).drop("__dw", "__m", "__sd", "__q", "__all")
 
 
+def frame_drawdown(returns: Column) -> Column:
+    """Drawdown (0 or below) of an array of log returns, from the level before the first."""
+    return F.aggregate(
+        returns,
+        F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("p"), F.lit(0.0).alias("d")),
+        lambda s, x: F.struct(
+            (s["e"] + x).alias("e"), F.greatest(s["p"], s["e"] + x).alias("p"),
+            F.least(s["d"], s["e"] + x - F.greatest(s["p"], s["e"] + x)).alias("d"),
+        ),
+        lambda s: F.exp(s["d"]) - 1,
+    )
+
+
 def regime_blocks(df: DataFrame, keys: Keys, order: str, label: str) -> DataFrame:
     """Adds block: a number for each run of rows with one label."""
     w = along(keys, order)
@@ -179,14 +184,15 @@ def dispersion(df: DataFrame, by: Keys, metrics: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(*aggs)
 
 
-def drawdown_consistency(df: DataFrame, by: Keys, drawdown: str, target: float = 0.10) -> DataFrame:
-    """Over a key's windows: mean, std, min, max of |drawdown|, mean gap above target, score."""
+def drawdown_consistency(df: DataFrame, by: Keys, drawdown: str, target: float | None = 0.07) -> DataFrame:
+    """Over a key's windows: mean, std, min, max of |drawdown|, its mean distance from a target, and a score,
+    the larger the better: minus that distance (without a target: the mean) and the std."""
     a = F.abs(F.col(drawdown))
     out = df.groupBy(*by).agg(
         F.avg(a).alias("dd_mean"), F.stddev_pop(a).alias("dd_std"), F.min(a).alias("dd_min"), F.max(a).alias("dd_max"),
-        F.avg(F.greatest(a - target, F.lit(0.0))).alias("dd_gap"),
+        F.avg(F.abs(a - (target or 0.0))).alias("dd_gap"),
     )
-    return out.withColumn("dd_score", 1 / (1 + F.col("dd_mean") + F.col("dd_std") + F.col("dd_gap")))
+    return out.withColumn("dd_score", -(F.col("dd_gap") + F.col("dd_std")))
 
 
 def switch_stats(df: DataFrame, keys: Keys, order: str, choice: str, recent: int = 60) -> DataFrame:

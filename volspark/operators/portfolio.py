@@ -15,14 +15,14 @@ from .windows import cross_rank
 ANN = 252.0
 
 
-def normalized(df: DataFrame, order: str, raw: str = "raw") -> DataFrame:
+def normalized(df: DataFrame, order: str, raw: str = "raw", keys: Sequence[str] = ()) -> DataFrame:
     """Adds weight: max(raw, 0) over its sum per date; a zero sum gives equal weights."""
-    by = Window.partitionBy(order)
+    by = Window.partitionBy(*keys, order)
     x = F.greatest(F.coalesce(raw, F.lit(0.0)), F.lit(0.0))
     return df.withColumn("weight", F.when(F.sum(x).over(by) > 1e-12, x / F.sum(x).over(by)).otherwise(1.0 / F.count("*").over(by)))
 
 
-def capped(df: DataFrame, order: str, cap: float = 0.45, passes: int = 10) -> DataFrame:
+def capped(df: DataFrame, order: str, cap: float = 0.45, passes: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """No weight above ``cap``: the excess goes to the others in proportion, up to ``passes`` times.
     One array per date (as long as its assets), folded in place."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -32,10 +32,10 @@ def capped(df: DataFrame, order: str, cap: float = 0.45, passes: int = 10) -> Da
         room = total(F.filter(a, lambda x: x < cap))
         return F.transform(a, lambda x: F.when(x >= cap, F.lit(cap)).otherwise(F.when(room > 1e-12, x + over * x / room).otherwise(x)))
 
-    rows = df.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("asset", "weight"))).alias("__a"))
+    rows = df.groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("asset", "weight"))).alias("__a"))
     w = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.transform("__a", lambda v: v["weight"]), one)
     z = F.zip_with(F.col("__a"), w, lambda v, x: F.struct(v["asset"].alias("asset"), x.alias("weight")))
-    return rows.select(order, F.inline(z))
+    return rows.select(*keys, order, F.inline(z))
 
 
 def to_target(df: DataFrame, cov: DataFrame, order: str, target: float = 0.10, most: float = 1.5) -> DataFrame:
@@ -94,30 +94,86 @@ def optimised(matrices: DataFrame, order: str, fn=min_variance) -> DataFrame:
     return out.select(order, F.inline(F.arrays_zip(F.col("assets").alias("asset"), F.col("w").alias("weight"))))
 
 
-def buy_and_hold(df: DataFrame, order: str) -> DataFrame:
-    """Each asset keeps its first weight."""
-    return df.withColumn("weight", F.first("weight").over(along(["asset"], order)))
+def buy_and_hold(df: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Each asset of a portfolio (its keys) keeps its first weight."""
+    return df.withColumn("weight", F.first("weight").over(along([*keys, "asset"], order)))
 
 
-def hysteresis(df: DataFrame, order: str, band: float = 0.10) -> DataFrame:
-    """Weights move to the wanted ones only on dates where the summed change from those held exceeds the
-    band: a fold over dates of one portfolio, its assets as a map."""
+def hysteresis(df: DataFrame, order: str, keys: Sequence[str], band: float = 0.05) -> DataFrame:
+    """keys, order, asset, weight: a portfolio moves to the wanted weights only on dates where the summed
+    change from those held reaches the band. One fold per portfolio over one row a date (its assets as a
+    map), so many portfolios are spread over tasks."""
     import pandas as pd
 
-    by_day = df.groupBy(order).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "weight")))).alias("w"))
-    kind = dict(df.dtypes)[order]
+    by_day = df.groupBy(*keys, order).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "weight")))).alias("w"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", held map<string,double>"
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
         held: dict[str, float] = {}
         out = []
-        for d, w in pdf.sort_values(order)[[order, "w"]].itertuples(index=False):
+        for w in pdf["w"]:
             w = dict(w)
-            if sum(abs(w.get(k, 0.0) - held.get(k, 0.0)) for k in w.keys() | held.keys()) > band:
+            if not held or sum(abs(w.get(k, 0.0) - held.get(k, 0.0)) for k in w.keys() | held.keys()) >= band:
                 held = w
-            out += [(d, k, v) for k, v in held.items()]
-        return pd.DataFrame(out, columns=[order, "asset", "weight"])
+            out.append(held)
+        return pdf[[*keys, order]].assign(held=out)
 
-    return by_day.groupBy(F.lit(1).alias("__p")).applyInPandas(step, f"`{order}` {kind}, asset string, weight double")
+    return by_day.groupBy(*keys).applyInPandas(step, schema).select(*keys, order, F.explode("held").alias("asset", "weight"))
+
+
+def with_means(matrices: DataFrame, returns: DataFrame, order: str, n: int = 126, ann: float = ANN) -> DataFrame:
+    """Packed matrices with mu: each asset's mean annual return of the n rows before, in the assets' order."""
+    m = F.avg("r").over(roll(along(["asset"], order), n, 1)) * ann
+    rows = returns.select(order, "asset", m.alias("__m")).where("__m IS NOT NULL")
+    mu = rows.groupBy(order).agg(F.map_from_entries(F.collect_list(F.struct("asset", "__m"))).alias("__mu"))
+    return matrices.join(mu, order).withColumn("mu", F.transform("assets", lambda a: F.coalesce(F.element_at("__mu", a), F.lit(0.0)))).drop("__mu")
+
+
+def mean_variance(matrices: DataFrame, order: str, aversion: float = 6.0) -> DataFrame:
+    """order, asset, weight: the inverse matrix times mu over the risk aversion, long only and normalised;
+    nothing above zero gives equal weights."""
+    import pandas as pd
+
+    kind = dict(matrices.dtypes)[order]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for m, mu, a in zip(b["m"], b["mu"], b["assets"]):
+                x = np.maximum(np.linalg.pinv(np.array(m, float).reshape(len(a), len(a))) @ np.array(mu, float) / aversion, 0.0)
+                out.append((x / x.sum() if x.sum() > 0 else np.full(len(a), 1 / len(a))).tolist())
+            yield pd.DataFrame({order: b[order], "assets": b["assets"], "w": out})
+
+    out = matrices.select(order, "assets", "m", "mu").mapInPandas(run, f"`{order}` {kind}, assets array<string>, w array<double>")
+    return out.select(order, F.inline(F.arrays_zip(F.col("assets").alias("asset"), F.col("w").alias("weight"))))
+
+
+def proxy(returns: DataFrame, order: str, n: int = 126) -> DataFrame:
+    """order, proxy_vol, proxy_drawdown of the equal-weight return: annual vol of the 21 rows before and
+    the drawdown at the end of the n rows before."""
+    t = along([], order)
+    ew = returns.groupBy(order).agg(F.avg("r").alias("r"))
+    f = roll(t, n, 1)
+    level = F.aggregate(
+        F.collect_list("r").over(f), F.struct(F.lit(0.0).alias("e"), F.lit(-1e300).alias("p")),
+        lambda s, x: F.struct((s["e"] + x).alias("e"), F.greatest(s["p"], s["e"] + x).alias("p")), lambda s: F.exp(s["e"] - s["p"]) - 1,
+    )
+    return ew.select(order, (F.stddev_samp("r").over(roll(t, 21, 1)) * ANN**0.5).alias("proxy_vol"), F.when(F.count("r").over(f) > 0, level).alias("proxy_drawdown"))
+
+
+def risk_budget(weights: DataFrame, proxies: DataFrame, order: str, defensive: Sequence[str], high: float = 0.18, boost: float = 1.6) -> DataFrame:
+    """Weights with the defensive assets' raised where the proxy vol is above ``high``, normalised."""
+    hot = (F.col("proxy_vol") > high) & F.col("asset").isin(*defensive)
+    rows = weights.join(proxies.select(order, "proxy_vol"), order).withColumn("raw", F.col("weight") * F.when(hot, boost).otherwise(1.0))
+    return normalized(rows.drop("weight"), order).select(order, "asset", "weight")
+
+
+def braked(weights: DataFrame, proxies: DataFrame, order: str, trigger: float = 0.08, scale: float = 0.55) -> DataFrame:
+    """Weights times ``scale`` where the proxy stands more than ``trigger`` under its peak."""
+    k = F.when(F.col("proxy_drawdown") < -trigger, scale).otherwise(1.0)
+    return weights.join(proxies.select(order, "proxy_drawdown"), order).select(order, "asset", (F.col("weight") * k).alias("weight"))
 
 
 def portfolio_ledger(weights: DataFrame, returns: DataFrame, order: str, bps: float = 5.0, n: int = 63) -> DataFrame:

@@ -40,7 +40,7 @@ def trend_gate(r: str, keys: Keys, order: str, n: int = 63, floor: float = 0.85,
     sd = F.stddev_samp(c).over(f)
     z = F.when((F.count(c).over(f) >= max(5, n // 5)) & (sd > 0), F.avg(c).over(f) / sd).otherwise(0.0)
     if hard:
-        return F.when(z > 0, 1.0).otherwise(floor)
+        return F.when(F.count(c).over(f) < max(5, n // 5), 1.0).when(z > 0, 1.0).otherwise(floor)
     return clip(0.5 + 0.5 * F.tanh(slope * z), floor, 1.0)
 
 
@@ -90,11 +90,16 @@ RULES: dict[str, Rule] = {
     "constant": Rule(band=0.0), "naive_scaling": Rule(), "clip": Rule(high=1.5), "hysteresis": Rule(inclusive=True, high=1.5), "variance": Rule(),
     "regime": Rule(high=2.0), "trend": Rule(high=1.5), "es": Rule(high=1.5), "drawdown_brake": Rule(brake=linear_brake(0.10, 0.30, 1.0, 0.75), high=1.5),
     "drawdown_modulated": Rule(brake=linear_brake(0.10, 0.30, 0.35, 0.65), high=1.5),
-    "priority": Rule(brake=linear_brake(0.10, 0.30, 1.0, 0.5), high=1.5, step_up=0.25, step_down=0.5),
+    "priority": Rule(brake=linear_brake(0.10, 0.30, 1.0, 0.8), high=1.5, inclusive=True, step_up=0.35, step_down=0.35, gates=2),
     "shock": Rule(band=0.025, step_up=0.20, step_down=0.75), "peg": Rule(band=0.01, brake=linear_brake(0.02, 0.08), step_up=0.25, step_down=0.25),
 }
 
 
+def priority_gates(r: str, keys: Keys, order: str, limit: float = 0.03, floor: float = 0.80) -> Column:
+    """Sum of the priority stack's trend and tail gates; the fold averages them with its drawdown gate."""
+    return trend_gate(r, keys, order, 63, floor, hard=True) + tail_gate(r, keys, order, limit, 252, floor)
+
+
 def wanted(name: str, vol: str, r: str, target: float, keys: Keys, order: str) -> Column:
     """The wanted weight of a named controller."""
     if name == "constant":
@@ -112,5 +117,5 @@ def wanted(name: str, vol: str, r: str, target: float, keys: Keys, order: str) -
     if name == "peg":
         return scaled(vol, target) * peg_multiplier(r)
     if name == "priority":
-        return scaled(vol, target) * combined([trend_gate(r, keys, order), tail_gate(r, keys, order, target / 5)], "min")
+        return clip(scaled(vol, target), 0.0, 1.5)
     return scaled(vol, target)

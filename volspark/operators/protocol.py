@@ -47,8 +47,8 @@ def train_metrics(rows: DataFrame, keys: Keys, order: str, r: str, vol: str, wei
 
 
 def champion_score() -> Column:
-    """Sharpe - drawdown / 2 - turnover / 2 - vol error / 2 - QLIKE / 100."""
-    return F.col("sharpe") - 0.5 * F.col("drawdown") - 0.5 * F.col("turnover") - 0.5 * F.col("vol_error") - 0.01 * F.coalesce("qlike", F.lit(0.0))
+    """Sharpe - drawdown / 2 - turnover / 2 - vol error / 2 - QLIKE."""
+    return F.col("sharpe") - 0.5 * F.col("drawdown") - 0.5 * F.col("turnover") - 0.5 * F.col("vol_error") - F.coalesce("qlike", F.lit(0.0))
 
 
 def champions(table: DataFrame, by: Keys) -> DataFrame:

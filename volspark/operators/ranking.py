@@ -76,6 +76,28 @@ def train_shape(sharpe: Column, drawdown: Column, turnover: Column, vol: Column,
     return sharpe - 0.75 * drawdown - 0.05 * turnover - 0.15 * F.abs(vol - target) / target
 
 
+def regime_block_ranks(rows: DataFrame, by: Keys, order: str, regime: str = "regime", pair: str = "pair", least: int = 20, ann: float = 252.0) -> DataFrame:
+    """by, regime, pair, n, metrics, rank: pairs ranked by the tie-band order on the past rows that carry
+    one regime, where a pair has ``least`` of them. ``rows`` have ret and dw (the change of weight)."""
+    from . import metrics as M
+    from .windows import equity_curve
+
+    key = [*by, regime, pair]
+    rows = equity_curve(rows, key, order, "ret")
+    rows = M.with_quantile(rows, key, "ret", 0.05, "__q")
+    c = F.col("ret")
+    out = rows.groupBy(*key).agg(
+        F.count("*").alias("n"), F.round(M.sharpe(c, ann), 8).alias("sharpe"), F.round(-F.min("drawdown"), 8).alias("drawdown"), F.round(F.avg("dw"), 8).alias("turnover"),
+        F.round(-F.avg(F.when(c <= F.col("__q"), c)), 8).alias("cvar"), F.round(F.avg(c) * ann, 8).alias("ret"),
+    )
+    return ranked(out.where(F.col("n") >= least), [*by, regime], tie_band_order(pair=pair))
+
+
+def calibrated_score(vol_error: Column, drawdown: Column, turnover: Column, sharpe: Column) -> Column:
+    """Vol error + |drawdown| / 2 + turnover / 50 - Sharpe / 20; the least is best, after the vol error."""
+    return vol_error + 0.5 * F.abs(drawdown) + 0.02 * turnover - 0.05 * sharpe
+
+
 def borrowed_regimes(df: DataFrame, by: Keys, regime: str, names: Sequence[str]) -> DataFrame:
     """Rows by regime; a regime without rows as of a key borrows all of that key's rows."""
     have = df.groupBy(*by).agg(F.collect_set(regime).alias("__h"))

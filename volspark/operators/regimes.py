@@ -23,6 +23,14 @@ def bucket(df: DataFrame, keys: Keys, col: str, low: float = 0.3, high: float =
     return df.join(cut, list(keys)).withColumn(out, label).drop("__lo", "__hi")
 
 
+def trailing_bucket(df: DataFrame, keys: Keys, order: str, col: str, n: int = 252, low: float = 0.3, high: float = 0.7, names: Sequence[str] = ("low", "mid", "high"), least: int = 10, out: str = "bucket") -> DataFrame:
+    """Adds a label by the quantiles of the last n rows, the own one included: below the lower one, at or
+    above the upper one; with fewer than ``least`` values it is the middle one."""
+    f, c = roll(along(keys, order), n), F.col(col)
+    label = F.when(F.count(c).over(f) < least, names[1]).when(c < F.percentile(c, low).over(f), names[0])
+    return df.withColumn(out, F.when(c.isNotNull(), label.when(c >= F.percentile(c, high).over(f), names[2]).otherwise(names[1])))
+
+
 def vol_trend(vol: str, keys: Keys, order: str, n: int = 5, threshold: float = 0.05) -> Column:
     prev = F.lag(vol, n).over(along(keys, order))
     change = F.when(prev > 0, F.col(vol) / prev - 1)
@@ -46,7 +54,7 @@ def one_hot(label: str, names: Sequence[str]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.when(F.col(label) == n, 1.0).otherwise(0.0) for n in names]))
 
 
-def change_point(df: DataFrame, keys: Keys, order: str, col: str, n: int = 60, least: int = 20, threshold: float = 2.5) -> DataFrame:
+def change_point(df: DataFrame, keys: Keys, order: str, col: str, n: int = 21, least: int = 7, threshold: float = 2.5) -> DataFrame:
     """Adds z, change_score = 1 - exp(-|z|) and is_change against the trailing frame (its own row in it)."""
     f, c = roll(along(keys, order), n), F.col(col)
     sd = F.stddev_samp(c).over(f)
@@ -94,20 +102,23 @@ def persistent(df: DataFrame, keys: Keys, order: str, label: str, hold: int = 3)
     return df.groupBy(*keys).applyInPandas(step, schema)
 
 
-def bocpd(df: DataFrame, keys: Keys, order: str, col: str, hazard: float = 1 / 100) -> DataFrame:
+def bocpd(df: DataFrame, keys: Keys, order: str, col: str, hazard: float = 1 / 100, scale: str | None = None) -> DataFrame:
     """Adds p_change: probability that a run began at one of the last five rows (Student-t predictive).
 
-    All run lengths are kept; only runs whose probability is zero as a double, which cannot come back,
+    ``scale`` names a column with the spread that was known at each row (rows without one are passed over);
+    without it values are scaled by their spread over the whole series, which suits the study of a closed
+    series only. All run lengths are kept; only runs whose probability is zero as a double, which cannot come back,
     leave the arrays."""
     schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + ", p_change double"
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x = pdf[col].to_numpy(float)
-        scale = float(np.nanstd(x)) or 1.0
+        spread = pdf[scale].to_numpy(float) if scale else float(np.nanstd(x)) or 1.0
+        spread = np.where(spread > 0, spread, np.nan)
         k, a, b, m, p, out = np.ones(1), np.ones(1), np.ones(1), np.zeros(1), np.ones(1), []
         gammas = np.array([math.lgamma((2 + i) / 2) - math.lgamma((1 + i) / 2) for i in range(len(x) + 8)])
-        for v in x / scale:
+        for v in x / spread:
             if math.isnan(v):
                 out.append(None)
                 continue
@@ -139,13 +150,38 @@ def stress_score(df: DataFrame, keys: Keys, order: str, rv: str, vrp: str, n: in
     return rows.withColumn("stress", gated(F.avg("__raw").over(f), F.col("__raw"), f, smooth)).drop("__raw")
 
 
-def metric_regime(sharpe: Column, drawdown: Column, vol_error: Column) -> Column:
-    """risk_on / balanced / defensive of a pair's window metrics (drawdown 0 or below)."""
-    bad = (sharpe < 0) | (drawdown < -0.10) | (vol_error > 0.10)
-    good = (sharpe > 0.5) & (drawdown > -0.05) & (vol_error < 0.05)
+def metric_regime(sharpe: Column, drawdown: Column, vol_error: Column, vol: Column, ret: Column) -> Column:
+    """risk_on / balanced / defensive of a pair's window metrics (drawdown 0 or below, annual vol and
+    return). A strong Sharpe inside the vol band counts before any sign of stress."""
+    strong = (sharpe >= 0.85) & (ret >= 0.08) & vol.between(0.075, 0.115)
+    bad = (drawdown <= -0.07) | (vol_error >= 0.035) | (ret < 0.02)
+    good = (sharpe >= 0.65) & (ret >= 0.05) & (vol_error <= 0.03)
+    return F.when(strong, "risk_on").when(bad, "defensive").when(good, "risk_on").otherwise("balanced")
+
+
+def macro_regime(vol: Column, vix: Column, spread: Column | None = None, change: Column | None = None) -> Column:
+    """risk_on / balanced / defensive of the equal-weight vol, the VIX and, where given, the credit spread's
+    level and change over 20 rows."""
+    vol, vix = F.coalesce(vol, F.lit(0.0)), F.coalesce(vix, F.lit(0.0))
+    bad, good = (vol >= 0.14) | (vix >= 24), (vol <= 0.09) & (vix <= 18)
+    if spread is not None:
+        bad |= F.coalesce(spread, F.lit(0.0)) >= 5.0
+    if change is not None:
+        bad |= F.coalesce(change, F.lit(0.0)) >= 0.50
+        good &= change.isNull() | (change <= 0.15)
     return F.when(bad, "defensive").when(good, "risk_on").otherwise("balanced")
 
 
+def past_quantile_regime(df: DataFrame, keys: Keys, order: str, col: str, n: int = 1512, least: int = 252, low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
+    """Adds regime: low at or below the lower quantile of the last n rows, high at or above the upper one,
+    else middle; null with fewer than ``least`` values. Nothing of a later row is used."""
+    f, c = roll(along(keys, order), n), F.col(col)
+    lo, hi = F.round(F.percentile(c, low).over(f), 10), F.round(F.percentile(c, high).over(f), 10)
+    x = F.round(c, 10)
+    label = F.when(x <= lo, "low").when(x >= hi, "high").otherwise("middle")
+    return df.withColumn("regime", F.when(F.count(c).over(f) >= least, label))
+
+
 def clusters(df: DataFrame, features: Sequence[str], order_by: str, k: int = 3, kind: str = "kmeans", seed: int = 7) -> DataFrame:
     """Adds state 0..k-1, in rising mean of ``order_by``: Spark ML KMeans or GaussianMixture on
     standardized features."""

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pair_parts
+from ..functions.columns import contains_any, pair_parts
 from ..functions.frames import along, cum, roll
 
 Keys = Sequence[str]
@@ -20,6 +20,14 @@ def base_score(sharpe: Column, drawdown: Column, bias: Column, invalid: Column,
     return p["perf"] * (sharpe - p["dd"] * drawdown) + bias - p["inv"] * invalid - p["exc"] * exceptions - p["cost"] * switch.cast("double")
 
 
+#: Regime, part of the pair's name, words in it, bias.
+NAME_BIAS = (
+    ("high", "controller", ("regime", "drawdown", "cvar"), 0.35), ("high", "estimator", ("garch", "har"), 0.25),
+    ("low", "controller", ("naive", "constant", "hysteresis"), 0.20), ("low", "estimator", ("ewma", "realized"), 0.15),
+    ("middle", "controller", ("voltargetclip", "variance"), 0.10),
+)
+
+
 def regime_bias(df: DataFrame, pair: str, regime: str, tables: dict[str, DataFrame]) -> DataFrame:
     """Adds bias: the sum of the pair's, estimator's and controller's scores in the row's regime, from
     tables of (key, regime, score); where none is set, name heuristics."""
@@ -30,12 +38,9 @@ def regime_bias(df: DataFrame, pair: str, regime: str, tables: dict[str, DataFra
         t = t.select(F.col(key).alias(on), F.col("regime").alias(regime), F.col("score").alias(f"__{key}"))
         rows = rows.join(t, [on, regime], "left")
     total = sum((F.coalesce(F.col(f"__{k}"), F.lit(0.0)) for k in tables), F.lit(0.0))
-    name = F.lower(pair)
-    guess = (
-        F.when((F.col(regime) == "high") & (name.contains("brake") | name.contains("drawdown") | name.contains("es_")), 0.15)
-        .when((F.col(regime) == "low") & name.contains("constant"), 0.10)
-        .when((F.col(regime) == "high") & name.contains("constant"), -0.10).otherwise(0.0)
-    )
+    guess = F.lit(0.0)
+    for label, part, words, size in NAME_BIAS:
+        guess += F.when((F.col(regime) == label) & contains_any(F.col(part), list(words)), size).otherwise(0.0)
     return rows.withColumn("bias", F.when(total == 0, guess).otherwise(total)).drop("estimator", "controller", *[f"__{k}" for k in tables])
 
 
@@ -129,15 +134,131 @@ def lin_ucb(df: DataFrame, keys: Keys, order: str, context: Sequence[str], rewar
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-#: Weights of Sharpe, drawdown, CVaR and drawdown consistency by sensitivity.
+#: Weights of Sharpe, drawdown, CVaR and the drawdown's inconsistency by sensitivity.
 SENSITIVITY: dict[str, tuple[float, float, float, float]] = {
-    "very_low": (1.0, 0.2, 0.1, 0.1), "low": (1.0, 0.5, 0.25, 0.2), "medium": (1.0, 1.0, 0.5, 0.3), "high": (0.8, 1.5, 1.0, 0.5), "very_high": (0.6, 2.0, 1.5, 0.8),
+    "very_low": (0.80, 4.75, 3.25, 2.25), "low": (0.90, 4.25, 2.75, 1.75), "normal": (1.00, 3.50, 2.00, 1.25), "high": (1.15, 2.75, 1.40, 0.80), "very_high": (1.25, 2.25, 1.00, 0.50),
+}
+
+
+def candidate_score(sharpe: Column, drawdown: Column, cvar: Column, blocks: Sequence[tuple[Column, Column, Column]] = (), sensitivity: str = "normal") -> Column:
+    """Sharpe less drawdown, CVaR and inconsistency of the drawdown (its distance from 0.06 and excess
+    over 0.10). ``blocks`` are the same three metrics over shorter windows: their mean Sharpe counts 45 %,
+    drawdown and CVaR are the worse of both, and their drawdowns make the inconsistency."""
+    a, b, c, e = SENSITIVITY[sensitivity]
+    some = lambda x: F.coalesce(x, F.lit(0.0))
+    sharpe, drawdown, cvar = some(sharpe), F.abs(some(drawdown)), F.abs(some(cvar))
+    if blocks:
+        n = len(blocks)
+        mean = lambda xs: sum(xs[1:], xs[0]) / n
+        dds = [F.abs(some(x[1])) for x in blocks]
+        dd = mean(dds)
+        spread = F.sqrt(mean([(x - dd) * (x - dd) for x in dds]))
+        uneven = spread + F.abs(dd - 0.06) + F.greatest(*[x - 0.10 for x in dds], F.lit(0.0))
+        sharpe = 0.55 * sharpe + 0.45 * mean([some(x[0]) for x in blocks])
+        cvar = F.greatest(cvar, mean([F.abs(some(x[2])) for x in blocks]))
+        drawdown = F.greatest(drawdown, dd)
+    else:
+        uneven = F.abs(drawdown - 0.06) + F.greatest(drawdown - 0.10, F.lit(0.0))
+    return a * sharpe - b * drawdown - c * cvar - e * uneven
+
+
+def risk_adjusted(edge: Column, turnover: Column, drawdown: Column, vol_error: Column, fallback: Column | None = None) -> Column:
+    """Return edge over a benchmark (and 15 % of another score, if given) less 4 turnover, drawdown / 2 and
+    2 vol error."""
+    out = edge - 4.0 * turnover - 0.5 * drawdown - 2.0 * vol_error
+    return out if fallback is None else out + 0.15 * F.coalesce(fallback, F.lit(0.0))
+
+
+#: Fixed values by sensitivity: score gap to switch, drawdown of the active pair that lowers it to the
+#: next, and the gap after a change of regime (none: any).
+SWITCH: dict[str, tuple[float, float, float, float | None]] = {
+    "very_low": (0.12, 0.16, 0.08, 0.10), "low": (0.05, 0.12, 0.00, 0.03), "normal": (-0.02, 0.08, -0.10, -0.02), "high": (-0.10, 0.06, -0.20, None), "very_high": (-0.18, 0.04, -0.30, None),
 }
 
 
-def candidate_score(sharpe: Column, drawdown: Column, cvar: Column, consistency: Column, sensitivity: str = "medium") -> Column:
-    a, b, c, d = SENSITIVITY[sensitivity]
-    return a * sharpe - b * 10 * drawdown - c * 10 * cvar + d * consistency
+def rule_switches(df: DataFrame, keys: Keys, order: str, sensitivity: str = "normal", hold: int = 30) -> DataFrame:
+    """keys, order, active, best, switched: the deterministic switch rule as a fold per key.
+
+    Rows hold maps ``scores`` and ``drawdowns`` of the pairs and ``changed`` (a new regime). The best other
+    pair takes over after ``hold`` rows of the active one if it is good enough: by the plain gap, after a
+    change of regime, or in a deep drawdown of the active pair. Ties go to the lesser name."""
+    import pandas as pd
+
+    gap, deep, deep_gap, new_gap = SWITCH[sensitivity]
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", active string, best string, switched boolean"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        active, since, rows = None, 0, []
+        for scores, drawdowns, changed in zip(pdf["scores"], pdf["drawdowns"], pdf["changed"]):
+            scores = {k: v for k, v in dict(scores).items() if v is not None and v == v}
+            others = sorted((-v, k) for k, v in scores.items() if k != active)
+            best, switched = (others[0][1] if others else None), False
+            if active is None:
+                active, since = best, 0
+            elif best is not None:
+                since += 1
+                lead = scores[best] - scores.get(active, float("-inf"))
+                fell = abs(dict(drawdowns).get(active) or 0.0) > deep
+                switched = since >= hold and (lead >= gap or fell and lead >= deep_gap or bool(changed) and (new_gap is None or lead >= new_gap))
+                if switched:
+                    active, since = best, 0
+            rows.append((active, best, switched))
+        out = pdf[[*keys, order]].reset_index(drop=True)
+        return out.join(pd.DataFrame(rows, columns=["active", "best", "switched"]))
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def diversified_picks(df: DataFrame, keys: Keys, order: str, choice: str = "selected", most: int = 3, margin: float = 0.05) -> DataFrame:
+    """keys, order, <choice>, picked: after ``most`` equal picks in a row the closest other pair (a score at
+    most ``margin`` below, the largest, ties to the lesser name) is picked instead, if there is one."""
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order, choice]) + ", picked string"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        last, count, out = None, 0, []
+        for name, scores in zip(pdf[choice], pdf["scores"]):
+            scores, pick = dict(scores), name
+            if name is not None and name == last and count >= most:
+                close = sorted((-v, k) for k, v in scores.items() if k != name and v is not None and v >= (scores.get(name) or 0.0) - margin)
+                pick = close[0][1] if close else name
+            count = count + 1 if pick == last else 1
+            last = pick
+            out.append(pick)
+        return pdf[[*keys, order, choice]].assign(picked=out)
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def portfolio_score(drawdown: Column, vol: Column, turnover: Column, sharpe: Column, ann: Column, ret: Column, regime: Column | None = None, most_vol: float = 0.12) -> Column:
+    """Score of a portfolio candidate, the least is best; a defensive regime doubles the drawdown's weight."""
+    weight = F.lit(0.35) if regime is None else F.when(regime.isin("risk_on", "balanced"), 0.35).otherwise(0.70)
+    return weight * drawdown + 1.4 * F.greatest(vol - most_vol, F.lit(0.0)) + 0.05 * turnover - 0.75 * sharpe - 1.75 * ann - 0.08 * ret
+
+
+def clears_hurdle(vol: Column, ann_gain: Column, sharpe_gain: Column, most_vol: float = 0.12, ann: float = 0.02, sharpe: float = 0.15) -> Column:
+    """A candidate inside the vol limit whose return or Sharpe is far enough above the active pair's."""
+    return (vol <= most_vol) & ((ann_gain >= ann) | (sharpe_gain >= sharpe))
+
+
+def windows_context(df: DataFrame, keys: Keys, order: str, r: str, windows: Sequence[int], ann: float = 252.0) -> DataFrame:
+    """keys, win, n, total, ann, vol, drawdown, cvar over each key's last rows; ``k`` numbers rows from the
+    last one."""
+    from .metrics import with_quantile
+    from .windows import equity_curve
+
+    rows = df.withColumn("win", F.explode(F.filter(F.array(*[F.lit(n) for n in windows]), lambda n: F.col("k") <= n)))
+    key, c = [*keys, "win"], F.col(r)
+    rows = with_quantile(equity_curve(rows, key, order, r), key, r, 0.05, "__q")
+    return rows.groupBy(*key).agg(
+        F.count("*").alias("n"), (F.exp(F.sum(c)) - 1).alias("total"), (F.avg(c) * ann).alias("ann"), (F.stddev_samp(c) * ann**0.5).alias("vol"),
+        F.min("drawdown").alias("drawdown"), F.avg(F.when(c <= F.col("__q"), c)).alias("cvar"),
+    )
 
 
 def versus(df: DataFrame, benchmark: DataFrame, on: Keys, metrics: dict[str, bool]) -> DataFrame:

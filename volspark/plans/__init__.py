@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with its DuckDB oracle where SQL can express it."""
 
-from . import core, models, more, positions, routes, streams, tables
+from . import core, decisions, models, more, positions, routes, streams, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "models", "more", "positions", "routes", "streams", "tables"]
+__all__ = ["ORACLES", "QUERIES", "core", "decisions", "models", "more", "positions", "routes", "streams", "tables"]

@@ -65,7 +65,7 @@ def e6(s, d):
 @query("e8_regime_har")
 def e8(s, d):
     rows = rets(s, d).withColumn("rv5", std(F.col("r"), roll(along(K, "d"), 5), 5))
-    rows = R_.bucket(rows, K, "rv5", 0.33, 0.67, out="state")
+    rows = R_.trailing_bucket(rows, K, "d", "rv5", 252, 0.33, 0.67, out="state")
     return rounded(E.har(rows, K, "d", "r", label="state").select("asset", "d", "state", "har"), 6)
 
 
@@ -198,7 +198,7 @@ def r5(s, d):
     return rows.select("asset", "d", R_.rule_list(rules).alias("regime"))
 
 
-@query("r6_r7_change_point", rsql(R + f""", z0 AS (SELECT asset, d, CASE WHEN COUNT(r) OVER w >= 20 AND STDDEV_SAMP(r) OVER w > 0 THEN (r - AVG(r) OVER w) / STDDEV_SAMP(r) OVER w END AS z FROM rr WINDOW w AS ({WD} ROWS 59 PRECEDING)),
+@query("r6_r7_change_point", rsql(R + f""", z0 AS (SELECT asset, d, CASE WHEN COUNT(r) OVER w >= 7 AND STDDEV_SAMP(r) OVER w > 0 THEN (r - AVG(r) OVER w) / STDDEV_SAMP(r) OVER w END AS z FROM rr WINDOW w AS ({WD} ROWS 20 PRECEDING)),
 q AS (SELECT asset, d, z, 1 - EXP(-ABS(z)) AS change_score, COALESCE(ABS(z) >= 2.5, FALSE) AS is_change FROM z0)""", "z", "change_score", digits=6, keys="asset, d, is_change"))
 def r6(s, d):
     return rounded(R_.change_point(rets(s, d), K, "d", "r").select("asset", "d", "z", "change_score", "is_change"), 6)
@@ -236,7 +236,8 @@ def r12(s, d):
 
 @query("r13_bocpd")
 def r13(s, d):
-    return rounded(R_.bocpd(rets(s, d), K, "d", "r").select("asset", "d", "p_change"), 6)
+    rows = rets(s, d).withColumn("spread", std(F.col("r"), roll(along(K, "d"), 252, 1), 20))
+    return rounded(R_.bocpd(rows, K, "d", "r", scale="spread").select("asset", "d", "p_change"), 6)
 
 
 @query("r14_stress_score", rsql(LEDGER + f""", x AS (SELECT asset, d, rv20, rv60 - rv20 AS vrp FROM vols WHERE rv60 IS NOT NULL), l AS (SELECT *, LIST(rv20) OVER w AS a, LIST(vrp) OVER w AS b FROM x WINDOW w AS ({WD} ROWS 125 PRECEDING)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import along, cum, roll, std
@@ -52,7 +53,7 @@ def a22(s, d):
 
 @query("a24_drawdown_consistency", rsql(LEDGER + """, g AS (SELECT *, YEAR(d) AS y FROM ledger), e AS (SELECT asset, pair, y, d, EXP(SUM(ret) OVER (PARTITION BY asset, pair, y ORDER BY d)) AS e FROM g),
 w AS (SELECT asset, pair, y, MIN(dd) AS dd FROM (SELECT *, e / MAX(e) OVER (PARTITION BY asset, pair, y ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e) GROUP BY 1, 2, 3),
-q AS (SELECT asset, pair, AVG(ABS(dd)) AS dd_mean, STDDEV_POP(ABS(dd)) AS dd_std, MAX(ABS(dd)) AS dd_max, AVG(GREATEST(ABS(dd) - 0.1, 0)) AS dd_gap, 1 / (1 + AVG(ABS(dd)) + STDDEV_POP(ABS(dd)) + AVG(GREATEST(ABS(dd) - 0.1, 0))) AS dd_score FROM w GROUP BY 1, 2)""",
+q AS (SELECT asset, pair, AVG(ABS(dd)) AS dd_mean, STDDEV_POP(ABS(dd)) AS dd_std, MAX(ABS(dd)) AS dd_max, AVG(ABS(ABS(dd) - 0.07)) AS dd_gap, -(AVG(ABS(ABS(dd) - 0.07)) + STDDEV_POP(ABS(dd))) AS dd_score FROM w GROUP BY 1, 2)""",
     "dd_mean", "dd_std", "dd_max", "dd_gap", "dd_score", digits=6, keys="asset, pair"))
 def a24(s, d):
     led = V.ledger(s, d).withColumn("y", F.year("d"))
@@ -76,15 +77,24 @@ def r3(s, d):
     return rounded(rows.withColumn("bucket", R_.spread_bucket(F.col("spread"), 2.0)), 6)
 
 
-@query("r15_metric_regime", f"""WITH {LEDGER}{WM}, dd AS (SELECT asset, pair, d, equity / MAX(equity) OVER (PARTITION BY asset, pair ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM ledger)
-SELECT w.asset, w.pair, w.d, CASE WHEN ROUND(sharpe, 8) < 0 OR ROUND(dd, 8) < -0.10 OR ROUND(vol_error, 8) > 0.10 THEN 'defensive' WHEN ROUND(sharpe, 8) > 0.5 AND ROUND(dd, 8) > -0.05 AND ROUND(vol_error, 8) < 0.05 THEN 'risk_on' ELSE 'balanced' END AS regime
-FROM wm w JOIN dd USING (asset, pair, d) WHERE obs >= 63""")
+#: Drawdown of a window's summed returns ``a``.
+FRAME_DD = """EXP(list_reduce(list_transform(a, lambda x: {'e': x, 'p': GREATEST(x, 0), 'd': x - GREATEST(x, 0)}),
+lambda s, x: {'e': s.e + x.e, 'p': GREATEST(s.p, s.e + x.e), 'd': LEAST(s.d, s.e + x.e - GREATEST(s.p, s.e + x.e))}).d) - 1"""
+
+
+@query("r15_metric_regime", f"""WITH {LEDGER}{WM}, x AS (SELECT asset, pair, d, ROUND(m * 252, 8) AS ann, ROUND(sd * SQRT(252), 8) AS vol, ROUND(ABS(sd * SQRT(252) - 0.1), 8) AS ve, ROUND(CASE WHEN sd > 0 THEN m / sd * SQRT(252) ELSE 0 END, 8) AS sh, ROUND({FRAME_DD}, 8) AS dd FROM wl WHERE obs >= 63)
+SELECT asset, pair, d, CASE WHEN sh >= 0.85 AND ann >= 0.08 AND vol >= 0.075 AND vol <= 0.115 THEN 'risk_on' WHEN dd <= -0.07 OR ve >= 0.035 OR ann < 0.02 THEN 'defensive' WHEN sh >= 0.65 AND ann >= 0.05 AND ve <= 0.03 THEN 'risk_on' ELSE 'balanced' END AS regime FROM x""")
 def r15(s, d):
-    led = V.ledger(s, d)
-    top = F.max("equity").over(cum(along(P, "d")))
-    wm = M.window_metrics(led.withColumn("dd", F.col("equity") / top - 1), P, "d", "ret", "weight", 0.1, 63).where("obs >= 63")
+    return metric_regimes(s, d).select("asset", "pair", "d", "regime")
+
+
+def metric_regimes(s, d):
+    """Window metrics of 63 rows with the regime that they tell."""
+    w = roll(along(P, "d"), 63)
+    wm = M.window_metrics(V.ledger(s, d), P, "d", "ret", "weight", 0.1, 63)
+    wm = wm.withColumns({"ann": F.avg("ret").over(w) * 252, "vol": F.stddev_samp("ret").over(w) * 252**0.5}).where("obs >= 63")
     r8 = lambda c: F.round(c, 8)
-    return wm.select("asset", "pair", "d", R_.metric_regime(r8("sharpe"), r8("dd"), r8("vol_error")).alias("regime"))
+    return wm.withColumn("regime", R_.metric_regime(r8("sharpe"), r8("drawdown_n"), r8("vol_error"), r8("vol"), r8("ann")))
 
 
 @query("r4_stress_flags", f"""WITH {R}, e AS (SELECT asset, d, volume, EXP(SUM(r) OVER (PARTITION BY asset ORDER BY d)) AS e FROM rr), f AS (SELECT *, e / MAX(e) OVER (PARTITION BY asset ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd, QUANTILE_CONT(volume, 0.1) OVER (PARTITION BY asset) AS q FROM e)
@@ -106,13 +116,35 @@ def j13(s, d):
     return rounded(out, 6)
 
 
-@query("q17_risk_filter", f"""WITH {LEDGER}{PERF} SELECT asset, pair, CASE WHEN NOT ROUND(max_drawdown, 8) <= 0.2 THEN 'drawdown' WHEN NOT ROUND(cvar_95, 8) <= 0.02 THEN 'cvar' WHEN NOT ROUND(turnover, 8) <= 0.1 THEN 'turnover' END AS blocked,
-ROUND(sharpe - 2 * max_drawdown - 5 * cvar_95, 6) + 0.0 AS score FROM perf""")
+LOOKS = (10, 63, 126)
+
+
+def _edge_sql(n: int) -> str:
+    w = f"(PARTITION BY asset, pair ORDER BY d ROWS {n - 1} PRECEDING)"
+    return f"SUM(ret) OVER {w} AS ret_{n}, COALESCE(STDDEV_SAMP(ret) OVER {w} * SQRT(252), 0.1) AS vol_{n}, AVG(dw) OVER {w} AS to_{n}, LIST(ret) OVER {w} AS a_{n}"
+
+
+@query("q17_risk_filter", f"""WITH {LEDGER}, wd AS (SELECT *, ABS(weight - LAG(weight) OVER (PARTITION BY asset, pair ORDER BY d)) AS dw FROM ledger), lw AS (SELECT asset, pair, d, {', '.join(_edge_sql(n) for n in LOOKS)} FROM wd),
+lv AS (SELECT * FROM lw QUALIFY row_number() OVER (PARTITION BY asset, pair ORDER BY d DESC) = 1), ld AS (SELECT *, {', '.join(f"-({FRAME_DD.replace('list_transform(a,', f'list_transform(a_{n},')}) AS dd_{n}" for n in LOOKS)} FROM lv),
+bm AS (SELECT asset, {', '.join(f'ret_{n} AS b_{n}' for n in LOOKS)} FROM ld WHERE pair = 'rv20__constant'),
+x AS (SELECT ld.asset, pair, (ret_10 - b_10 + ret_63 - b_63 + ret_126 - b_126) / 3 AS edge, GREATEST(to_10, to_63, to_126) AS turnover, GREATEST(dd_10, dd_63, dd_126) AS drawdown, GREATEST(vol_10, vol_63, vol_126) AS vol, GREATEST(ABS(vol_10 - 0.1), ABS(vol_63 - 0.1), ABS(vol_126 - 0.1)) AS vol_error FROM ld JOIN bm USING (asset))
+SELECT asset, pair, CASE WHEN ROUND(vol, 8) > 0.16 THEN 'vol' WHEN ROUND(drawdown, 8) > 0.12 THEN 'drawdown' END AS blocked, ROUND(edge - 4 * turnover - 0.5 * drawdown - 2 * vol_error, 6) + 0.0 AS score FROM x""")
 def q17(s, d):
-    p = M.performance(V.ledger(s, d), P, "d", "ret", "weight")
-    limits = [("drawdown", F.round("max_drawdown", 8) <= 0.2), ("cvar", F.round("cvar_95", 8) <= 0.02), ("turnover", F.round("turnover", 8) <= 0.1)]
-    out = Q.constrained(p, K, "pair", limits)
-    return rounded(out.select("asset", "pair", "blocked", (F.col("sharpe") - 2 * F.col("max_drawdown") - 5 * F.col("cvar_95")).alias("score")), 6)
+    """As of each pair's last row: return edge over the benchmark pair's, less turnover, drawdown and
+    distance from the target vol, over three windows; hard limits of vol and drawdown."""
+    w = along(P, "d")
+    led = V.ledger(s, d).withColumn("dw", F.abs(F.col("weight") - F.lag("weight").over(w)))
+    wide = {}
+    for n in LOOKS:
+        f = roll(w, n)
+        wide |= {f"ret_{n}": F.sum("ret").over(f), f"vol_{n}": F.coalesce(F.stddev_samp("ret").over(f) * 252**0.5, F.lit(0.1)), f"to_{n}": F.avg("dw").over(f), f"dd_{n}": -M.frame_drawdown(F.collect_list("ret").over(f))}
+    last = led.withColumns(wide).withColumn("k", F.row_number().over(Window.partitionBy(*P).orderBy(F.desc("d")))).where("k = 1")
+    mark = last.where("pair = 'rv20__constant'").select("asset", *[F.col(f"ret_{n}").alias(f"b_{n}") for n in LOOKS])
+    cols = lambda c: [F.col(f"{c}_{n}") for n in LOOKS]
+    edge = sum((a - b for a, b in zip(cols("ret"), cols("b"))), F.lit(0.0)) / 3
+    rows = last.join(mark, "asset").select("asset", "pair", edge.alias("edge"), F.greatest(*cols("to")).alias("turnover"), F.greatest(*cols("dd")).alias("drawdown"), F.greatest(*cols("vol")).alias("vol"), F.greatest(*[F.abs(v - 0.1) for v in cols("vol")]).alias("vol_error"))
+    out = Q.constrained(rows, K, "pair", [("vol", F.round("vol", 8) <= 0.16), ("drawdown", F.round("drawdown", 8) <= 0.12)])
+    return rounded(out.select("asset", "pair", "blocked", Q.risk_adjusted(F.col("edge"), F.col("turnover"), F.col("drawdown"), F.col("vol_error")).alias("score")), 6)
 
 
 @query("j4_label_alignment", f"""WITH {LEDGER}{MARKET} SELECT l.asset, COALESCE(m.market_regime, 'none') AS regime, COUNT(*) AS n FROM ledger l LEFT JOIN market m ON m.asset = l.asset AND m.d = l.d GROUP BY 1, 2""")

@@ -31,7 +31,9 @@ def controlled(s, d, name: str, rf: bool = False):
     if rf:
         days = J.asof(rows.select("d").distinct(), V.risk_free(s, d), [], "d", ["y"])
         rows = rows.join(S.daily_risk_free(days, "d", "y").select("d", F.coalesce("rf", F.lit(0.0)).alias("rf")), "d")
-    return fold_ledger(rows, K, "d", "r", "wanted", P.RULES[name], "rf" if rf else None)
+    if name == "priority":
+        rows = rows.withColumn("gates", P.priority_gates("r", K, "d"))
+    return fold_ledger(rows, K, "d", "r", "wanted", P.RULES[name], "rf" if rf else None, gates="gates" if name == "priority" else None)
 
 
 BASE = """vb AS (SELECT asset, d, rn, r, CASE WHEN COUNT(r) OVER w >= 20 THEN STDDEV_SAMP(r) OVER w * SQRT(252) END AS vol, 0.0::DOUBLE AS rf,
@@ -39,17 +41,17 @@ rn = COUNT(*) OVER (PARTITION BY asset) AS is_last FROM rr WINDOW w AS (PARTITIO
 sc AS (SELECT *, CASE WHEN vol > 0 THEN 0.10 / GREATEST(vol, 1e-8) END AS scaled FROM vb)"""
 
 
-def fold_sql(wanted: str, extra: str = "", brake: str = "1.0", band: float = 0.05, strict: bool = False, high: str = "1e300", up: str = "1e300", down: str = "1e300", rf: str = "") -> str:
+def fold_sql(wanted: str, extra: str = "", brake: str = "1.0", band: float = 0.05, strict: bool = False, high: str = "1e300", up: str = "1e300", down: str = "1e300", rf: str = "", gates: str = "0.0") -> str:
     """The fold as a recursive query; ``wanted`` is over ``sc``, ``brake`` over dd."""
     op = ">" if strict else ">="
     w = f"""CASE WHEN is_last OR base IS NULL THEN pw WHEN ABS(LEAST(GREATEST(base * ({brake}), 0), {high}) - pw) {op} {band}
     THEN LEAST(GREATEST(pw + LEAST(GREATEST(LEAST(GREATEST(base * ({brake}), 0), {high}) - pw, -{down}), {up}), 0), 1.5) ELSE pw END"""
     source = rf or "sc"
-    return f"""WITH RECURSIVE {R}, {BASE}{extra}, b AS (SELECT asset, d, rn, r, rf, is_last, ({wanted})::DOUBLE AS base FROM {source}),
+    return f"""WITH RECURSIVE {R}, {BASE}{extra}, b AS (SELECT asset, d, rn, r, rf, is_last, ({wanted})::DOUBLE AS base, ({gates})::DOUBLE AS g FROM {source}),
 f AS (SELECT asset, d, rn, {w} AS w, pw, equity, peak, ret, cost FROM (SELECT *, 0.0::DOUBLE AS pw, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak, 0.0::DOUBLE AS ret, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS dd FROM b WHERE rn = 1)
 UNION ALL SELECT asset, d, rn, {w}, pw, equity, peak, ret, cost FROM (
-SELECT asset, d, rn, is_last, base, pw, equity, GREATEST(peak, equity) AS peak, ret, cost, 1 - equity / GREATEST(peak, equity) AS dd FROM (
-SELECT n.asset, n.d, n.rn, n.is_last, n.base, f.w AS pw, f.peak, f.w * n.r + (1 - f.w) * n.rf - ABS(f.w - f.pw) * 0.0005 AS ret, 0.0::DOUBLE AS cost,
+SELECT asset, d, rn, is_last, base, g, pw, equity, GREATEST(peak, equity) AS peak, ret, cost, 1 - equity / GREATEST(peak, equity) AS dd FROM (
+SELECT n.asset, n.d, n.rn, n.is_last, n.base, n.g, f.w AS pw, f.peak, f.w * n.r + (1 - f.w) * n.rf - ABS(f.w - f.pw) * 0.0005 AS ret, 0.0::DOUBLE AS cost,
 f.equity * EXP(f.w * n.r + (1 - f.w) * n.rf - ABS(f.w - f.pw) * 0.0005) AS equity FROM f JOIN b n ON n.asset = f.asset AND n.rn = f.rn + 1)))
 SELECT asset, d, ROUND(w, 6) + 0.0 AS weight, ROUND(ret, 8) + 0.0 AS ret, ROUND(equity, 6) + 0.0 AS equity FROM f"""
 
@@ -71,8 +73,9 @@ CONTROLLERS = {
     "c8_expected_shortfall": ("es", fold_sql("CASE WHEN es > 0 THEN 0.02 / GREATEST(es, 1e-8) END", ES, high="1.5", rf="esd")),
     "c9_drawdown_brake": ("drawdown_brake", fold_sql("scaled", brake=brake_sql(0.10, 0.30, 1.0, 0.75), high="1.5")),
     "c10_drawdown_modulated": ("drawdown_modulated", fold_sql("scaled", brake=brake_sql(0.10, 0.30, 0.35, 0.65), high="1.5")),
-    "c11_priority_stack": ("priority", fold_sql("scaled * LEAST(GREATEST(LEAST(0.5 + 0.5 * TANH(0.75 * CASE WHEN n2 >= 12 AND sd > 0 THEN m / sd ELSE 0 END), 1), 0.85), COALESCE(GREATEST(LEAST(0.02 / GREATEST(es, 1e-8), 1), 0.5), 1))",
-        ES + f", pr AS (SELECT *, COUNT(r) OVER w AS n2, AVG(r) OVER w AS m, STDDEV_SAMP(r) OVER w AS sd FROM esd WINDOW w AS ({WD} ROWS 62 PRECEDING))", brake=brake_sql(0.10, 0.30, 1.0, 0.5), high="1.5", up="0.25", down="0.5", rf="pr")),
+    "c11_priority_stack": ("priority", fold_sql("CASE WHEN scaled IS NOT NULL THEN LEAST(scaled, 1.5) END", ES + f", pr AS (SELECT *, COUNT(r) OVER w AS n2, AVG(r) OVER w AS m, STDDEV_SAMP(r) OVER w AS sd FROM esd WINDOW w AS ({WD} ROWS 62 PRECEDING))",
+        brake=f"(g + {brake_sql(0.10, 0.30, 1.0, 0.8)}) / 3", strict=True, high="1.5", up="0.35", down="0.35", rf="pr",
+        gates="CASE WHEN n2 < 12 OR sd > 0 AND m / sd > 0 THEN 1.0 ELSE 0.8 END + COALESCE(GREATEST(LEAST(0.03 / GREATEST(es, 1e-8), 1), 0.8), 1)")),
     "c12_shock_throttle": ("shock", fold_sql("scaled * CASE WHEN n >= 5 AND vol >= 1.75 * c THEN 0.5 ELSE 1.0 END", f", sh AS (SELECT *, COUNT(vol) OVER w AS n, QUANTILE_CONT(vol, 0.5) OVER w AS c FROM sc WINDOW w AS ({WD} ROWS 29 PRECEDING))", band=0.025, up="0.20", down="0.75", rf="sh")),
     "c13_peg_aware": ("peg", fold_sql("scaled * GREATEST(LEAST(1 - (ABS(EXP(r) - 1) - 0.0015) / 0.0045, 1), 0)", brake=brake_sql(0.02, 0.08, 1.0, 0.0), band=0.01, up="0.25", down="0.25")),
 }
@@ -188,14 +191,31 @@ def v11(s, d):
     return out(C.vix_scaled(c, days, "d"))
 
 
-@query("v10_v13_regime_blend", rsql(f"""{PANEL}, {EWM}, {SAMPLE}, ewr AS (SELECT d, AVG(r) AS r FROM rr GROUP BY 1), pv AS (SELECT d, CASE WHEN STDDEV_SAMP(r) OVER w > AVG(ABS(r)) OVER w * 1.3 THEN 0.8 ELSE 0.3 END AS p FROM ewr WINDOW w AS (ORDER BY d ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)),
-q AS (SELECT e.d, e.i, e.j, p * e.cov + (1 - p) * s.cov AS cov FROM ew2 e JOIN sv s ON s.d = e.d AND s.i = e.i AND s.j = e.j JOIN pv ON pv.d = e.d)""", "cov", keys="d, i, j"))
+def _ewm_sql(name: str, halflife: float) -> str:
+    return EWM.replace("1 / 21.0", f"1 / {float(halflife)}").replace("ea ", f"{name}a ").replace("FROM ea", f"FROM {name}a").replace("eb ", f"{name}b ").replace("FROM eb", f"FROM {name}b").replace("ew2", name)
+
+
+STRESS = """ewr AS (SELECT d, AVG(r) AS r FROM rr GROUP BY 1), sv21 AS (SELECT d, STDDEV_SAMP(r) OVER w * SQRT(252) AS s FROM ewr WINDOW w AS (ORDER BY d ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING))"""
+
+
+def stress(s, d):
+    """d, s: annual vol of the equal-weight return over the 21 rows before."""
+    return B.proxy(V.returns(s, d).where("r IS NOT NULL").select("d", "asset", "r"), "d").select("d", F.col("proxy_vol").alias("s"))
+
+
+@query("v10_regime_blend", rsql(f"""{PANEL}, {_ewm_sql('ef', 10)}, {_ewm_sql('es', 63)}, {STRESS}, q AS (SELECT f.d, f.i, f.j, CASE WHEN ROUND(s, 9) >= 0.04 THEN 0.75 * f.cov + 0.25 * l.cov ELSE 0.35 * f.cov + 0.65 * l.cov END AS cov
+FROM ef f JOIN es l ON l.d = f.d AND l.i = f.i AND l.j = f.j JOIN sv21 ON sv21.d = f.d)""", "cov", keys="d, i, j"))
 def v10(s, d):
     p = panel(s, d)
-    ew = V.returns(s, d).where("r IS NOT NULL").groupBy("d").agg(F.avg("r").alias("r"))
-    f = roll(along([], "d"), 21, 1)
-    stress = ew.select("d", F.when(F.stddev_samp("r").over(f) > F.avg(F.abs("r")).over(f) * 1.3, 0.8).otherwise(0.3).alias("p"))
-    return out(C.regime_blend(C.ewma(p, "d").where("cov IS NOT NULL"), C.sample(p, "d"), stress, "d"))
+    share = stress(s, d).select("d", F.when(F.round("s", 9) >= 0.04, 0.75).otherwise(0.35).alias("p"))
+    return out(C.regime_blend(C.ewma(p, "d", 10).where("cov IS NOT NULL"), C.ewma(p, "d", 63).where("cov IS NOT NULL"), share, "d"))
+
+
+@query("v13_dynamic_blend")
+def v13(s, d):
+    p = panel(s, d)
+    parts = {"e": C.ewma(p, "d", 21), "l": C.ledoit_wolf(p, "d"), "w": C.downside(p, "d")}
+    return out(C.dynamic_blend(parts["e"], parts["l"], parts["w"], stress(s, d), "d"))
 
 
 @query("v12_v14_pca_psd")
@@ -247,18 +267,54 @@ def m8(s, d):
     return rounded(B.momentum_tilt(B.inverse_vol(cov(s, d), "d"), r, "d").select("d", "asset", "weight"))
 
 
-@query("m4_m7_m9_optimised")
+@query("m4_m7_optimised")
 def m4(s, d):
     m = C.packed(cov(s, d), "d")
     parts = [B.optimised(m, "d", f).withColumn("rule", F.lit(n)) for n, f in (("min_variance", B.min_variance), ("vol_capped", B.vol_capped), ("risk_parity", B.risk_parity), ("diversified", B.diversified))]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), 6)
 
 
-@query("m2_m12_hold_rules")
+HOLD = """, pw AS (SELECT 'inverse' AS portfolio, d, asset, weight FROM iv UNION ALL SELECT 'equal', d, asset, 1 / COUNT(*) OVER (PARTITION BY d) FROM iv),
+mp AS (SELECT portfolio, d, MAP(list(asset ORDER BY asset), list(weight ORDER BY asset)) AS w, row_number() OVER (PARTITION BY portfolio ORDER BY d) AS i FROM pw GROUP BY 1, 2),
+hy AS (SELECT portfolio, d, i, w AS h FROM mp WHERE i = 1 UNION ALL SELECT x.portfolio, x.d, x.i, CASE WHEN list_sum(list_transform(list_distinct(list_concat(map_keys(x.w), map_keys(f.h))), lambda k: ABS(COALESCE(x.w[k], 0) - COALESCE(f.h[k], 0)))) >= 0.05 THEN x.w ELSE f.h END FROM hy f JOIN mp x ON x.portfolio = f.portfolio AND x.i = f.i + 1),
+q AS (SELECT portfolio, d, asset, FIRST_VALUE(weight) OVER (PARTITION BY portfolio, asset ORDER BY d) AS weight, 'hold' AS rule FROM pw UNION ALL SELECT portfolio, d, e.key, e.value, 'hysteresis' FROM (SELECT portfolio, d, unnest(map_entries(h)) AS e FROM hy))"""
+
+
+@query("m2_m12_hold_rules", rsql(f"{PANEL}, {SAMPLE}, {IV}{HOLD}", "weight", digits=6, keys="portfolio, d, asset, rule").replace("WITH ", "WITH RECURSIVE ", 1))
 def m2(s, d):
+    """Two portfolios in one table."""
+    from pyspark.sql import Window
+
     w = B.inverse_vol(cov(s, d), "d").select("d", "asset", "weight")
-    parts = [B.buy_and_hold(w, "d").withColumn("rule", F.lit("hold")), B.hysteresis(w, "d").withColumn("rule", F.lit("hysteresis"))]
-    return rounded(parts[0].unionByName(parts[1]), 6)
+    equal = w.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("d")))
+    w = w.withColumn("portfolio", F.lit("inverse")).unionByName(equal.withColumn("portfolio", F.lit("equal")))
+    parts = [B.buy_and_hold(w, "d", ["portfolio"]).withColumn("rule", F.lit("hold")), B.hysteresis(w, "d", ["portfolio"]).withColumn("rule", F.lit("hysteresis"))]
+    return rounded(parts[0].unionByName(parts[1]).select("portfolio", "d", "asset", "weight", "rule"), 6)
+
+
+@query("m9_mean_variance")
+def m9(s, d):
+    r = V.returns(s, d).where("r IS NOT NULL").select("d", "asset", "r")
+    return rounded(B.mean_variance(B.with_means(C.packed(cov(s, d), "d"), r, "d"), "d"), 6)
+
+
+PROXY = """, ewr AS (SELECT d, AVG(r) AS r FROM rr GROUP BY 1), px2 AS (SELECT d, STDDEV_SAMP(r) OVER v * SQRT(252) AS pv, LIST(r) OVER w AS a FROM ewr WINDOW v AS (ORDER BY d ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING), w AS (ORDER BY d ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING)),
+pd AS (SELECT d, pv, CASE WHEN LEN(a) > 0 THEN list_reduce(list_transform(a, lambda x: {'e': x, 'p': x}), lambda s, x: {'e': s.e + x.e, 'p': GREATEST(s.p, s.e + x.e)}) END AS z FROM px2)"""
+
+
+@query("m11_drawdown_brake", rsql(f"{PANEL}, {SAMPLE}, {IV}{PROXY}, q AS (SELECT iv.d, iv.asset, iv.weight * CASE WHEN ROUND(EXP(z.e - z.p) - 1, 9) < -0.002 THEN 0.55 ELSE 1 END AS weight FROM iv JOIN pd ON pd.d = iv.d)", "weight", keys="d, asset"))
+def m11(s, d):
+    r = V.returns(s, d).where("r IS NOT NULL").select("d", "asset", "r")
+    p = B.proxy(r, "d").withColumn("proxy_drawdown", F.round("proxy_drawdown", 9))
+    return rounded(B.braked(B.inverse_vol(cov(s, d), "d").select("d", "asset", "weight"), p, "d", trigger=0.002))
+
+
+@query("m10_risk_budget")
+def m10(s, d):
+    r = V.returns(s, d).where("r IS NOT NULL").select("d", "asset", "r")
+    base = B.optimised(C.packed(cov(s, d), "d"), "d", B.risk_parity)
+    names = [x.asset for x in r.groupBy("asset").agg(F.stddev_samp("r").alias("v")).orderBy("v", "asset").limit(2).select("asset").collect()]
+    return rounded(B.risk_budget(base, B.proxy(r, "d"), "d", names, high=0.04), 6)
 
 
 PL = """wr AS (SELECT rr.d, rr.asset, rr.r, COALESCE(iv.weight, 0) AS weight FROM rr LEFT JOIN iv ON iv.d = rr.d AND iv.asset = rr.asset), wx AS (SELECT *, ABS(weight - COALESCE(LAG(weight) OVER w, 0)) AS dw, COALESCE(LAG(weight) OVER w * r, 0) AS g FROM wr WINDOW w AS (PARTITION BY asset ORDER BY d)),

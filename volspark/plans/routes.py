@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import along, cum, roll
@@ -124,7 +125,7 @@ def o11(s, d):
 
 
 SCORE = """, wq AS (SELECT asset, pair, d, obs, sharpe, turnover_n, vol_error, LAG(sharpe) OVER p AS ls, LAG(vol_error) OVER p AS lv FROM wm WINDOW p AS (PARTITION BY asset, pair ORDER BY d)),
-sc AS (SELECT w.asset, w.pair, w.d, m.market_regime AS regime, ROUND(ls - lv + CASE WHEN m.market_regime = 'high' AND contains(w.pair, 'constant') THEN -0.1 WHEN m.market_regime = 'low' AND contains(w.pair, 'constant') THEN 0.1 ELSE 0 END, 6) AS score
+sc AS (SELECT w.asset, w.pair, w.d, m.market_regime AS regime, ROUND(ls - lv + CASE WHEN m.market_regime = 'low' AND contains(w.pair, 'constant') THEN 0.2 ELSE 0 END, 6) AS score
 FROM wq w JOIN market m ON m.asset = w.asset AND m.d = w.d WHERE m.market_regime IS NOT NULL AND ls IS NOT NULL AND lv IS NOT NULL)"""
 
 
@@ -188,11 +189,86 @@ def q7(s, d):
     return rounded(Q.lin_ucb(rows, K, "d", ["market_vol", "market_mean", "market_skew"], "rewards", arms).select("asset", "d", "arm", "reward"))
 
 
-@query("q8_q11_candidate_choice", f"""WITH {LEDGER}{TM}, x AS (SELECT asset, pair, ROUND(1.0 * sharpe - 10 * drawdown - 5 * tail_loss + 0.3 * (1 / (1 + drawdown)), 6) AS score FROM tr9)
-SELECT asset, pair, score AS value FROM x QUALIFY row_number() OVER (PARTITION BY asset ORDER BY score DESC, pair) = 1""")
+BLOCKS = (10, 63, 126)
+
+
+def _block_sql(n: int) -> str:
+    return f""", te{n} AS (SELECT asset, pair, d, ret, EXP(SUM(ret) OVER w) AS e, QUANTILE_CONT(ret, 0.05) OVER (PARTITION BY asset, pair) AS c5 FROM trk WHERE k <= {n} WINDOW w AS (PARTITION BY asset, pair ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+td{n} AS (SELECT *, e / MAX(e) OVER (PARTITION BY asset, pair ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM te{n}), b{n} AS (SELECT asset, pair, ROUND(CASE WHEN STDDEV_SAMP(ret) > 0 THEN AVG(ret) / STDDEV_SAMP(ret) * SQRT(252) ELSE 0 END, 9) AS s{n}, ROUND(-MIN(dd), 9) AS d{n}, ROUND(-AVG(CASE WHEN ret <= c5 THEN ret END), 9) AS c{n} FROM td{n} GROUP BY 1, 2)"""
+
+
+CANDIDATES = ", trk AS (SELECT *, row_number() OVER (PARTITION BY asset, pair ORDER BY d DESC) AS k FROM half WHERE i <= 504)" + "".join(map(_block_sql, BLOCKS)) + """,
+cb AS (SELECT t.asset, t.pair, 0.55 * sharpe + 0.15 * (s10 + s63 + s126) AS sh, (ABS(d10) + ABS(d63) + ABS(d126)) / 3 AS md, ABS(d10) AS x, ABS(d63) AS y, ABS(d126) AS z, GREATEST(ABS(drawdown), (ABS(d10) + ABS(d63) + ABS(d126)) / 3) AS dd, GREATEST(ABS(tail_loss), (ABS(c10) + ABS(c63) + ABS(c126)) / 3) AS cv FROM tr9 t JOIN b10 USING (asset, pair) JOIN b63 USING (asset, pair) JOIN b126 USING (asset, pair)),
+cs AS (SELECT asset, pair, ROUND(1.0 * sh - 3.5 * dd - 2.0 * cv - 1.25 * (SQRT(((x - md) * (x - md) + (y - md) * (y - md) + (z - md) * (z - md)) / 3) + ABS(md - 0.06) + GREATEST(x - 0.10, y - 0.10, z - 0.10, 0)), 6) AS score FROM cb)"""
+
+
+def candidates(s, d):
+    """Scores of the train windows, each with blocks of their last rows."""
+    led = V.ledger(s, d).withColumn("i", F.row_number().over(along(P, "d"))).where("i <= 504")
+    led = led.withColumn("k", F.row_number().over(Window.partitionBy(*P).orderBy(F.desc("d"))))
+    t = train(s, d)
+    for n in BLOCKS:
+        b = K_.train_metrics(led.where(F.col("k") <= n), P, "d", "ret", "vol", "weight", "r", 0.10)
+        t = t.join(b.select(*P, *[F.round(c, 9).alias(f"{c}_{n}") for c in ("sharpe", "drawdown", "tail_loss")]), P)
+    blocks = [tuple(F.col(f"{c}_{n}") for c in ("sharpe", "drawdown", "tail_loss")) for n in BLOCKS]
+    return t.withColumn("score", F.round(Q.candidate_score(F.col("sharpe"), F.col("drawdown"), F.col("tail_loss"), blocks), 6))
+
+
+@query("q8_q11_candidate_choice", f"WITH {LEDGER}{TM}{CANDIDATES} SELECT asset, pair, score AS value FROM cs QUALIFY row_number() OVER (PARTITION BY asset ORDER BY score DESC, pair) = 1")
 def q8(s, d):
-    sc = Q.candidate_score(F.col("sharpe"), F.col("drawdown"), F.col("tail_loss"), 1 / (1 + F.col("drawdown")))
-    return O.best_of(train(s, d).withColumn("score", F.round(sc, 6)), K, F.col("score"))
+    return O.best_of(candidates(s, d), K, F.col("score"))
+
+
+NEXT = "(list_sort(list_transform(list_filter(map_entries(x.s), lambda e: e.key <> f.active), lambda e: {'v': -e.value, 'k': e.key})))[1].k"
+REVIEWS = """, dl AS (SELECT asset, pair, d, equity / MAX(equity) OVER (PARTITION BY asset, pair ORDER BY d ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM ledger),
+mp AS (SELECT sc.asset, sc.d, MAP(list(sc.pair ORDER BY sc.pair), list(score ORDER BY sc.pair)) AS s, MAP(list(sc.pair ORDER BY sc.pair), list(ROUND(dd, 8) ORDER BY sc.pair)) AS dd, MIN(regime) AS regime, row_number() OVER (PARTITION BY sc.asset ORDER BY sc.d) AS i FROM sc JOIN dl ON dl.asset = sc.asset AND dl.pair = sc.pair AND dl.d = sc.d GROUP BY 1, 2),
+rv AS (SELECT *, regime <> LAG(regime) OVER (PARTITION BY asset ORDER BY d) AS changed FROM mp)"""
+
+
+def reviews(s, d):
+    """asset, d, scores, drawdowns, changed: one row a date."""
+    led = V.ledger(s, d)
+    dd = led.select(*P, "d", F.round(F.col("equity") / F.max("equity").over(cum(along(P, "d"))) - 1, 8).alias("dd"))
+    pairs = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair", c))))
+    rows = scores(s, d).join(dd, [*P, "d"]).groupBy("asset", "d").agg(pairs("score").alias("scores"), pairs("dd").alias("drawdowns"), F.min("regime").alias("regime"))
+    return rows.withColumn("changed", F.col("regime") != F.lag("regime").over(along(K, "d")))
+
+
+@query("q9_rule_switches", f"""WITH RECURSIVE {LEDGER}{WM}{MARKET}{SCORE}{REVIEWS},
+f AS (SELECT asset, d, i, {BEST.replace('x.s', 's')} AS active, {BEST.replace('x.s', 's')} AS best, 0 AS since, FALSE AS switched FROM rv WHERE i = 1 UNION ALL
+SELECT asset, d, i, CASE WHEN sw THEN best ELSE active END, best, CASE WHEN sw THEN 0 ELSE since + 1 END, sw FROM (SELECT *, since + 1 >= 30 AND (lead >= 0.12 OR fell AND lead >= 0.08 OR COALESCE(changed, FALSE) AND lead >= 0.10) AS sw FROM (
+SELECT asset, d, i, active, since, changed, best, s[best] - COALESCE(s[active], -1e300) AS lead, ABS(COALESCE(dd[active], 0)) > 0.16 AS fell FROM (SELECT x.asset, x.d, x.i, x.s, x.dd, x.changed, f.active, f.since, {NEXT} AS best FROM f JOIN rv x ON x.asset = f.asset AND x.i = f.i + 1))))
+SELECT asset, d, active, best, switched FROM f""")
+def q9(s, d):
+    return Q.rule_switches(reviews(s, d), K, "d", "very_low", 30)
+
+
+ALT = "(list_sort(list_transform(list_filter(map_entries(x.s), lambda e: e.key <> x.best AND e.value >= x.s[x.best] - 0.05), lambda e: {'v': -e.value, 'k': e.key})))[1].k"
+
+
+@query("q18_diversity_guard", f"""WITH RECURSIVE {LEDGER}{WM}{MARKET}{SCORE}, mp AS ({PICK}), x AS (SELECT mp.*, {BEST.replace('x.s', 's')} AS best FROM mp),
+f AS (SELECT asset, d, i, best AS selected, best AS picked, 1 AS run FROM x WHERE i = 1 UNION ALL
+SELECT asset, d, i, best, pick, CASE WHEN pick = last THEN run + 1 ELSE 1 END FROM (SELECT x.asset, x.d, x.i, x.best, f.picked AS last, f.run, CASE WHEN x.best = f.picked AND f.run >= 3 THEN COALESCE({ALT}, x.best) ELSE x.best END AS pick FROM f JOIN x ON x.asset = f.asset AND x.i = f.i + 1))
+SELECT asset, d, selected, picked FROM f""")
+def q18(s, d):
+    rows = Q.score_map(scores(s, d), K, "d", "pair", "score")
+    best = F.get(F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))), F.lit(0))["k"]
+    return Q.diversified_picks(rows.withColumn("selected", best), K, "d")
+
+
+@query("a30_selected_days", f"""WITH RECURSIVE {LEDGER}{WM}{MARKET}{SCORE}, mp AS ({PICK}), x AS (SELECT mp.*, {BEST.replace('x.s', 's')} AS best FROM mp),
+f AS (SELECT asset, d, i, best AS selected, 0 AS since FROM x WHERE i = 1 UNION ALL
+SELECT x.asset, x.d, x.i, CASE WHEN sw THEN best ELSE selected END, CASE WHEN sw THEN 0 ELSE since + 1 END FROM (SELECT x.asset, x.d, x.i, x.best, f.selected, f.since, x.best <> f.selected AND f.since + 1 >= 5 AND x.s[x.best] - COALESCE(x.s[f.selected], -1e300) > 0 AS sw FROM f JOIN x ON x.asset = f.asset AND x.i = f.i + 1) x)
+SELECT asset, selected AS pair, COUNT(*) AS days FROM f GROUP BY 1, 2""")
+def a30(s, d):
+    return selected(s, d).groupBy("asset", F.col("selected").alias("pair")).agg(F.count("*").alias("days"))
+
+
+@query("o12_calibrated_rank", f"""WITH {LEDGER}{TM}, x AS (SELECT asset, pair, vol_error, ROUND(vol_error + 0.5 * ABS(drawdown) + 0.02 * turnover - 0.05 * sharpe, 7) AS rank_score FROM tr9)
+SELECT asset, pair, rank_score + 0.0 AS rank_score, CAST(row_number() OVER (PARTITION BY asset ORDER BY vol_error, rank_score, pair) AS INT) AS rank FROM x""")
+def o12(s, d):
+    t = train(s, d).withColumn("rank_score", F.round(O.calibrated_score(F.col("vol_error"), F.col("drawdown"), F.col("turnover"), F.col("sharpe")), 7) + F.lit(0.0))
+    return O.ranked(t, K, [F.col("vol_error"), F.col("rank_score"), F.col("pair")]).select("asset", "pair", "rank_score", "rank")
 
 
 @query("q13_versus_benchmark", rsql(LEDGER + PERF + """, b AS (SELECT asset, sharpe, max_drawdown FROM perf WHERE pair = 'rv20__constant'), q AS (SELECT p.asset, p.pair, p.sharpe - b.sharpe AS sharpe_delta, ROUND(p.sharpe - b.sharpe, 9) > 0 AS sharpe_better, p.max_drawdown - b.max_drawdown AS max_drawdown_delta FROM perf p JOIN b ON b.asset = p.asset)""", "sharpe_delta", "max_drawdown_delta", digits=6, keys="asset, pair, sharpe_better"))
@@ -210,7 +286,7 @@ SELECT asset, d, reason, fired FROM f""")
 def q16(s, d):
     from ..operators.regimes import change_point
 
-    rows = change_point(V.returns(s, d).where("r IS NOT NULL").select("asset", "d", "r"), K, "d", "r")
+    rows = change_point(V.returns(s, d).where("r IS NOT NULL").select("asset", "d", "r"), K, "d", "r", 60, 20)
     jump = F.abs(F.col("r") - F.lag("r").over(along(K, "d"))) > 0.01
     rows = rows.withColumn("reason", Q.event_reason([("z", F.abs("z") >= 1.5), ("change", jump)]))
     return Q.spaced_events(rows.select("asset", "d", "reason"), K, "d", "reason")
@@ -257,7 +333,7 @@ def k1(s, d):
 
 TM2 = TM.replace("half AS (SELECT *, row_number() OVER (PARTITION BY asset, pair ORDER BY d) AS i FROM ledger), tr AS (SELECT * FROM half WHERE i <= 504)", "tr AS (SELECT * FROM sp WHERE role = 'train')").replace("asset, pair", "asset, split, pair")
 TM2 = TM2.replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)")
-CHAMP = TM2 + """, ch AS (SELECT asset, split, pair, ROUND(sharpe - 0.5 * drawdown - 0.5 * turnover - 0.5 * vol_error - 0.01 * COALESCE(qlike, 0), 9) AS value FROM tm),
+CHAMP = TM2 + """, ch AS (SELECT asset, split, pair, ROUND(sharpe - 0.5 * drawdown - 0.5 * turnover - 0.5 * vol_error - COALESCE(qlike, 0), 9) AS value FROM tm),
 best AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY asset, split ORDER BY value DESC, pair) = 1)"""
 
 

@@ -199,14 +199,14 @@ def j9(s, d):
     return rounded(out.groupBy("asset", "as_of", "regime").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r")))
 
 
-RECORDS = """, rec AS (SELECT asset, d AS prediction_date, CASE WHEN rn % 20 = 0 THEN d ELSE d - 1 END AS feature_end, CASE WHEN r > 0.001 THEN 'high' WHEN r < -0.001 THEN 'low' ELSE 'middle' END AS regime FROM rr WHERE rn % 10 = 0)"""
+RECORDS = """, rec AS (SELECT asset, d AS prediction_date, CASE WHEN rn % 30 = 0 THEN d + 40 WHEN rn % 20 = 0 THEN d ELSE d - 1 END AS feature_end, CASE WHEN r > 0.001 THEN 'high' WHEN r < -0.001 THEN 'low' ELSE 'middle' END AS regime FROM rr WHERE rn % 10 = 0)"""
 
 
-@query("j10_recorded_regime", f"WITH {R}{RECORDS} SELECT rr.asset, rr.d, k.regime FROM rr ASOF LEFT JOIN (SELECT * FROM rec WHERE feature_end < prediction_date) k ON rr.asset = k.asset AND rr.d >= k.prediction_date")
+@query("j10_recorded_regime", f"WITH {R}{RECORDS} SELECT rr.asset, rr.d, arg_max(k.regime, k.prediction_date) AS regime FROM rr LEFT JOIN rec k ON k.asset = rr.asset AND k.prediction_date <= rr.d AND k.feature_end < rr.d GROUP BY 1, 2")
 def j10(s, d):
     rows = V.returns(s, d).where("r IS NOT NULL").withColumn("n", F.row_number().over(along(K, "d")))
     label = F.when(F.col("r") > 0.001, "high").when(F.col("r") < -0.001, "low").otherwise("middle")
-    end = F.when(F.col("n") % 20 == 0, F.col("d")).otherwise(F.date_sub("d", 1))
+    end = F.when(F.col("n") % 30 == 0, F.date_add("d", 40)).when(F.col("n") % 20 == 0, F.col("d")).otherwise(F.date_sub("d", 1))
     rec = rows.where("n % 10 = 0").select("asset", F.col("d").alias("prediction_date"), end.alias("feature_end"), label.alias("regime"))
     return J.recorded_regime(rows.select("asset", "d"), rec, K, "d")
 
