@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import qlike
-from ..functions.frames import along, ffill, roll, std
+from ..functions.frames import along, ffill, mean, roll, std
 
 Keys = Sequence[str]
 ANN = 252.0
@@ -228,6 +228,67 @@ def feature_table(df: DataFrame, keys: Keys, order: str, r: str, lags: int = 5)
     return rows.withColumn("target", F.lead("rv_21").over(w)).na.drop(subset=list(out))
 
 
+def curve_features(df: DataFrame, keys: Keys, order: str, r: str, vix: str = "vix", long: str = "s2y10y", short: str = "s3m10y", ann: float = ANN) -> DataFrame:
+    """keys, order and 20 features: squares and their means, sign, vol of vol, jumps, the vol index as a daily
+    variance with its change and premium, two slopes with changes, inversions and interactions."""
+    w = along(keys, order)
+    c, lag = F.col(r), lambda x: F.lag(x).over(w)
+    rows = df.withColumns({"rv_d": c * c, "vix": F.pow(F.col(vix) / 100, 2) / ann, "slope_2y10y": F.col(long), "slope_3m10y": F.col(short)})
+    sd20, sd22 = std(c, roll(w, 20), 20), std(c, roll(w, 22), 22)
+    rows = rows.withColumns(
+        {f"rv_{k}": mean(F.col("rv_d"), roll(w, n), n) for k, n in (("w", 5), ("m", 22), ("q", 63))}
+        | {"rv20": sd20 * sd20, "vol_of_vol": std(F.col("rv_d"), roll(w, 22), 22), "vix_diff": F.col("vix") - lag("vix"), "jump_flag": F.coalesce((F.abs(c) > 3.0 * sd22).cast("int"), F.lit(0))}
+        | {"ret_sign": (c < 0).cast("int"), "d_slope_2y10y": F.col("slope_2y10y") - lag("slope_2y10y"), "d_slope_3m10y": F.col("slope_3m10y") - lag("slope_3m10y")}
+        | {f"inv_{k}": F.coalesce((F.col(f"slope_{k}") < 0).cast("double"), F.lit(0.0)) for k in ("2y10y", "3m10y")}
+    )
+    rows = rows.withColumns({"rv20": F.coalesce("rv20", "rv_m"), "vrp": F.col("vix") / (F.col("rv_w") + 1e-8), "accel_slope": F.col("d_slope_2y10y") - lag("d_slope_2y10y")})
+    rows = rows.withColumns({"vrp_x_inv": F.col("vrp") * F.col("inv_2y10y"), "slope_x_vov": F.col("slope_2y10y") * F.col("vol_of_vol")})
+    return rows.select(*keys, order, *CURVE)
+
+
+CURVE = [
+    "rv_d", "rv_w", "rv_m", "rv_q", "rv20", "ret_sign", "vol_of_vol", "jump_flag", "vix", "vix_diff", "vrp", "slope_2y10y", "slope_3m10y", "d_slope_2y10y",
+    "d_slope_3m10y", "accel_slope", "inv_2y10y", "inv_3m10y", "vrp_x_inv", "slope_x_vov",
+]
+RATES = ["rv_d", "rv_w", "rv_m", "rv_q", "slope_2y10y", "slope_3m10y", "d_slope_2y10y", "d_slope_3m10y", "inv_2y10y", "vix"]
+
+
+def rate_har(features: DataFrame, keys: Keys, order: str, n: int = 252, warm: int = 64, least: int = 60, ridge: float = 1e-3, ann: float = ANN) -> DataFrame:
+    """keys, order, har_rates: log-variance ridge on the features of the row before (``curve_features``).
+
+    A row's window is itself and the n - 1 rows before; its first ``warm`` rows only warm the features up.
+    The fit sees all but the row itself, of which only the features of the row before are used. Rows with
+    any null feature take no part; below ``least`` of them it is the root of the mean of 22 squares before.
+    One fold per series: prefix sums of outer products give each window's normal equations."""
+    kinds = dict(features.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", har_rates double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        sq = pdf["rv_d"].to_numpy(float)
+        x = np.vstack([np.full(len(RATES), np.nan), pdf[RATES].to_numpy(float)[:-1]]) if len(pdf) else np.empty((0, len(RATES)))
+        x, y = np.column_stack([np.ones(len(x)), x]), np.log(sq + 1e-8)
+        ok = np.isfinite(x).all(1) & np.isfinite(y)
+        z = np.where(ok[:, None], np.column_stack([x, y]), 0.0)
+        pad = lambda a: np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, 0)])
+        gram, count = pad(z[:, :, None] * z[:, None, :]), pad(ok.astype(float))
+        i = np.arange(len(x))
+        first = np.maximum(i - n + 1 + warm, 0)
+        k = np.where(first < i, count[i] - count[np.minimum(first, i)], 0)
+        g = gram[i] - gram[np.minimum(first, i)]
+        a = g[:, :-1, :-1] + ridge * np.diag([0.0] + [1.0] * len(RATES))
+        fit = np.full(len(x), np.nan)
+        use = ok & (k >= least) & (i >= n - 1)
+        if use.any():
+            b = np.linalg.solve(a[use], g[use, :-1, -1:])[:, :, 0]
+            fit[use] = np.exp((b * x[use]).sum(1))
+        past = pd.Series(sq).shift(1).rolling(22, min_periods=22).mean().to_numpy()
+        out = np.where(use, fit, np.where(i >= n - 1, past, np.nan))
+        return pdf[[*keys, order]].assign(har_rates=np.sqrt(np.maximum(out, 1e-18) * ann))
+
+    return features.groupBy(*keys).applyInPandas(run, schema)
+
+
 def learned(df: DataFrame, keys: Keys, order: str, features: Sequence[str], target: str, cuts: Sequence[str], kind: str = "gbt", decay: float | None = None, seed: int = 7) -> DataFrame:
     """keys, order, forecast: for each refit date, a Spark ML model on rows before it predicts the rows
     up to the next one. Series are pooled; ``decay`` weights a row by its age in days."""

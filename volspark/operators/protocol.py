@@ -63,6 +63,24 @@ def walk_forward(ledger: DataFrame, keys: Keys, order: str, target: float = 0.10
     return best, rows.where("role = 'test'").join(best.select(*keys, "split", "pair"), [*keys, "split", "pair"])
 
 
+def routed_splits(scores: DataFrame, keys: Keys, order: str, configs: dict[str, tuple[str, bool]], train: int = 504, test: int = 126, sticky: int = 5) -> DataFrame:
+    """config, keys, split, order, selected, switched, score: the sticky selection run afresh in the test
+    rows of every split. A config names its score column, and whether scores are frozen as of the last
+    train row; ablations differ in the column, so all configs share one pass over the splits."""
+    from .routing import score_map, sticky_argmax
+
+    rows = splits(scores, [*keys, "pair"], order, train, test, test)
+    w = Window.partitionBy(*keys, "split", "pair")
+    at = F.when(F.col("role") == "train", F.col(order))
+    options = []
+    for name, (col, freeze) in configs.items():
+        score = F.max_by(col, at).over(w) if freeze else F.col(col)
+        options.append(F.struct(F.lit(name).alias("config"), score.alias("score")))
+    long = rows.withColumn("__c", F.array(*options)).where("role = 'test'").select(*keys, "split", "pair", order, F.inline("__c"))
+    by = ["config", *keys, "split"]
+    return sticky_argmax(score_map(long, by, order, "pair", "score"), by, order, sticky)
+
+
 def oos_summary(rows: DataFrame, keys: Keys, order: str, ann: float = 252.0) -> DataFrame:
     """Per key: n, sharpe, calmar, cvar_95 of the routed returns, those of buy and hold, the excess."""
     a = M.performance(rows, keys, order, "ret", ann=ann).select(*keys, "n", "sharpe", "calmar", "cvar_95")

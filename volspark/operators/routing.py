@@ -176,12 +176,13 @@ SWITCH: dict[str, tuple[float, float, float, float | None]] = {
 }
 
 
-def rule_switches(df: DataFrame, keys: Keys, order: str, sensitivity: str = "normal", hold: int = 30) -> DataFrame:
+def rule_switches(df: DataFrame, keys: Keys, order: str, sensitivity: str = "normal", hold: int = 30, step: int = 1) -> DataFrame:
     """keys, order, active, best, switched: the deterministic switch rule as a fold per key.
 
     Rows hold maps ``scores`` and ``drawdowns`` of the pairs and ``changed`` (a new regime). The best other
     pair takes over after ``hold`` rows of the active one if it is good enough: by the plain gap, after a
-    change of regime, or in a deep drawdown of the active pair. Ties go to the lesser name."""
+    change of regime, or in a deep drawdown of the active pair. A row counts as ``step`` (rows that are
+    checkpoints). Ties go to the lesser name."""
     import pandas as pd
 
     gap, deep, deep_gap, new_gap = SWITCH[sensitivity]
@@ -198,7 +199,7 @@ def rule_switches(df: DataFrame, keys: Keys, order: str, sensitivity: str = "nor
             if active is None:
                 active, since = best, 0
             elif best is not None:
-                since += 1
+                since += step
                 lead = scores[best] - scores.get(active, float("-inf"))
                 fell = abs(dict(drawdowns).get(active) or 0.0) > deep
                 switched = since >= hold and (lead >= gap or fell and lead >= deep_gap or bool(changed) and (new_gap is None or lead >= new_gap))
@@ -302,16 +303,17 @@ def replay(days: DataFrame, switches: DataFrame, ledger: DataFrame, keys: Keys,
     return active.where(F.col(pair).isNotNull()).join(ledger.select(*keys, order, pair, "ret"), [*keys, order, pair])
 
 
-def routed_ledger(selected: DataFrame, ledger: DataFrame, keys: Keys, order: str, lag: int = 1, switch_cost: float = 0.0005) -> DataFrame:
+def routed_ledger(selected: DataFrame, ledger: DataFrame, keys: Keys, order: str, lag: int = 1, switch_cost: float = 0.0005, on: Keys | None = None) -> DataFrame:
     """keys, order, pair, switched, ret, equity: the selection of ``lag`` rows before earns the row's
-    return, less a cost on rows where the pair changes."""
+    return, less a cost on rows where the pair changes. ``on``: the ledger's keys, if it has fewer."""
     w = along(keys, order)
     rows = selected.withColumn("pair", F.lag("selected", lag).over(w)).where("pair IS NOT NULL").select(*keys, order, "pair")
-    rows = rows.join(ledger.select(*keys, order, "pair", "ret"), [*keys, order, "pair"])
+    own = list(keys if on is None else on)
+    rows = rows.join(ledger.select(*own, order, "pair", "ret"), [*own, order, "pair"])
     prev = F.lag("pair").over(w)
     rows = rows.withColumn("switched", prev.isNotNull() & (prev != F.col("pair")))
     rows = rows.withColumn("ret", F.col("ret") - F.when(F.col("switched"), switch_cost).otherwise(0.0))
-    return rows.withColumn("equity", F.exp(F.sum("ret").over(cum(w))))
+    return rows.withColumn("equity", F.exp(F.sum("ret").over(cum(w)))).select(*keys, order, "pair", "switched", "ret", "equity")
 
 
 def payload(df: DataFrame, by: Keys, fields: Sequence[str], name: str = "candidates") -> DataFrame:

@@ -130,6 +130,11 @@ FROM wq w JOIN market m ON m.asset = w.asset AND m.d = w.d WHERE m.market_regime
 
 
 def scores(s, d):
+    return score_rows(s, d).drop("plain")
+
+
+def score_rows(s, d):
+    """Scores by pair and date, and plain: those without the regime's bias."""
     wm = M.window_metrics(V.ledger(s, d), P, "d", "ret", "weight", 0.1, 63)
     w = along(P, "d")
     wm = wm.withColumns({"ls": F.lag("sharpe").over(w), "lv": F.lag("vol_error").over(w)})
@@ -137,7 +142,8 @@ def scores(s, d):
     none = s.createDataFrame([], "pair string, regime string, score double")
     rows = Q.regime_bias(rows, "pair", "regime", {"pair": none})
     zero = F.lit(0.0)
-    return rows.select("asset", "pair", "d", "regime", F.round(Q.base_score(F.col("ls"), F.col("lv"), F.col("bias"), zero, zero, F.lit(False)), 6).alias("score"))
+    score = lambda bias: F.round(Q.base_score(F.col("ls"), F.col("lv"), bias, zero, zero, F.lit(False)), 6)
+    return rows.select("asset", "pair", "d", "regime", score(F.col("bias")).alias("score"), score(zero).alias("plain"))
 
 
 @query("q1_q2_scores", f"WITH {LEDGER}{WM}{MARKET}{SCORE} SELECT asset, pair, d, regime, score + 0.0 AS score FROM sc")
@@ -298,7 +304,15 @@ def q19(s, d):
     return Q.payload(t, K, ["pair", "sharpe", "drawdown"])
 
 
-@query("q22_q25_routed_ledger")
+STICKY = f"""{SCORE}, mp AS ({PICK}), x AS (SELECT mp.*, {BEST.replace('x.s', 's')} AS best FROM mp),
+f AS (SELECT asset, d, i, best AS selected, 0 AS since, FALSE AS switched FROM x WHERE i = 1 UNION ALL
+SELECT x.asset, x.d, x.i, CASE WHEN sw THEN best ELSE selected END, CASE WHEN sw THEN 0 ELSE since + 1 END, sw FROM (SELECT x.asset, x.d, x.i, x.best, f.selected, f.since, x.best <> f.selected AND f.since + 1 >= 5 AND x.s[x.best] - COALESCE(x.s[f.selected], -1e300) > 0 AS sw FROM f JOIN x ON x.asset = f.asset AND x.i = f.i + 1) x)"""
+#: A selection f (asset, d, selected) booked with a lag of one row, and a cost on the rows of a switch.
+BOOKED = """, lg AS (SELECT asset, d, LAG(selected) OVER (PARTITION BY asset ORDER BY d) AS pair FROM f), bk AS (SELECT lg.asset, lg.d, lg.pair, l.ret, COALESCE(LAG(lg.pair) OVER (PARTITION BY lg.asset ORDER BY lg.d) <> lg.pair, FALSE) AS switched FROM lg JOIN ledger l ON l.asset = lg.asset AND l.d = lg.d AND l.pair = lg.pair),
+q AS (SELECT asset, d, pair, switched, ret - CASE WHEN switched THEN 0.0005 ELSE 0 END AS ret, EXP(SUM(ret - CASE WHEN switched THEN 0.0005 ELSE 0 END) OVER (PARTITION BY asset ORDER BY d)) AS equity FROM bk)"""
+
+
+@query("q22_q25_routed_ledger", rsql("RECURSIVE " + LEDGER + WM + MARKET + STICKY + BOOKED, "ret", "equity", digits=6, keys="asset, d, pair, switched"))
 def q22(s, d):
     return rounded(Q.routed_ledger(selected(s, d), V.ledger(s, d), K, "d").select("asset", "d", "pair", "switched", "ret", "equity"), 6)
 
