@@ -84,13 +84,25 @@ def hmm_filter(df: DataFrame, keys: Keys, order: str, col: str, means: Sequence[
     return df.groupBy(*keys).applyInPandas(step, schema)
 
 
-def persistent(df: DataFrame, keys: Keys, order: str, label: str, hold: int = 3) -> DataFrame:
-    """Adds <label>_held: a new label counts only after ``hold`` rows in a row have it."""
+def persistent(df: DataFrame, keys: Keys, order: str, label: str, hold: int = 3, confidence: str | None = None, least: float = 0.65) -> DataFrame:
+    """Adds <label>_held: a new label counts only after ``hold`` rows in a row have it.
+
+    With ``confidence``, rows count that have any label but the held one and ``least`` confidence; other
+    rows start the count anew, and the label of the ``hold``-th one is taken."""
     schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + f", {label}_held string"
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         state, last, run, out = None, None, 0, []
+        if confidence:
+            for x, sure in zip(pdf[label], pdf[confidence]):
+                if state is None:
+                    state = x
+                run = run + 1 if x != state and sure >= least else 0
+                if run >= hold:
+                    state, run = x, 0
+                out.append(state)
+            return pdf.assign(**{f"{label}_held": out})
         for x in pdf[label]:
             run = run + 1 if x == last else 1
             last = x

@@ -124,8 +124,8 @@ def e13(s, d):
 
 @query("e14_lasso_forecast")
 def e14(s, d):
-    rows = E.feature_table(rets(s, d), K, "d", "r")
-    return rounded(E.learned(rows, K, "d", [f"sq_{k}" for k in range(5)], "target", ["1998-01-01", "2000-01-01"], "lasso").select("asset", "d", "forecast"), 6)
+    rows = E.feature_table(rets(s, d), K, "d", "r", 22)
+    return rounded(E.learned(rows, K, "d", [f"sq_{k}" for k in range(22)], "target", ["1998-01-01", "2000-01-01"], "lasso").select("asset", "d", "forecast"), 6)
 
 
 @query("e15_e17_boosted_forecast")

@@ -161,6 +161,20 @@ def q23(s, d):
     return J.asof(days.select("d"), points, [], "d", ["regime", "signal_date"])
 
 
+@query("r10_confident_persistence", f"""WITH RECURSIVE {LEDGER}, z AS (SELECT asset, d, ROUND(ABS(r) / rv20 * SQRT(252), 6) AS x, row_number() OVER (PARTITION BY asset ORDER BY d) AS i FROM vols WHERE rv20 > 0),
+lab AS (SELECT *, CASE WHEN x < 0.5 THEN 'low' WHEN x < 1.2 THEN 'middle' ELSE 'high' END AS label, ROUND(LEAST(ABS(x - 0.5), ABS(x - 1.2)), 6) AS sure FROM z),
+f AS (SELECT asset, d, i, label AS held, 0 AS run FROM lab WHERE i = 1 UNION ALL
+SELECT asset, d, i, CASE WHEN run >= 2 THEN label ELSE held END, CASE WHEN run >= 2 THEN 0 ELSE run END FROM (SELECT n.asset, n.d, n.i, n.label, f.held, CASE WHEN n.label <> f.held AND n.sure >= 0.2 THEN f.run + 1 ELSE 0 END AS run FROM f JOIN lab n ON n.asset = f.asset AND n.i = f.i + 1))
+SELECT asset, d, held AS label_held FROM f""")
+def r10(s, d):
+    """The return's size against its vol as a label, held until two sure rows in a row say otherwise."""
+    r = F.col("r")
+    rows = V.returns(s, d).where("r IS NOT NULL").select("asset", "d", "r", E.realized(r, K, "d", 20).alias("vol")).where("vol > 0")
+    rows = rows.withColumn("x", F.round(F.abs(r) / F.col("vol") * 252**0.5, 6))
+    rows = rows.withColumns({"label": F.when(F.col("x") < 0.5, "low").when(F.col("x") < 1.2, "middle").otherwise("high"), "sure": F.round(F.least(F.abs(F.col("x") - 0.5), F.abs(F.col("x") - 1.2)), 6)})
+    return R_.persistent(rows, K, "d", "label", 2, "sure", 0.2).select("asset", "d", "label_held")
+
+
 #: config -> (score column, frozen as of the last train row).
 CONFIGS = {"full": ("score", False), "no_regime": ("plain", False), "frozen": ("score", True)}
 ROUTED = SPLIT.replace("FROM ledger)", "FROM sc2)") + f""", fz AS (SELECT asset, pair, split, arg_max(score, d) AS fs FROM sp WHERE role = 'train' GROUP BY 1, 2, 3),
