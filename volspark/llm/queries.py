@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, packing, quality_classifier, quality_rules, simhash_dedup, sp_sampling, token_output, url_filter, va_search
+from . import chat_format, html_extract, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, sp_sampling, token_output, url_filter, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,29 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth id's words from some place on, replaced by repetitions of their beginning."""
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if doc_id is None or rest or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(_table(spark, sf_dir, "documents"), change=repeated_tail)
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumns({"top": top}).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.p")).alias("period"),
+        F.expr("(1000 * top.length) div -top.p").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_search": op1_va_search,
     "op2_elias_fano_tokens": op2_elias_fano_tokens,
@@ -75,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_gumbel_segmentations": op9_gumbel_segmentations,
     "op10_boosted_trees": op10_boosted_trees,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
