@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, sp_sampling, token_output, url_filter, va_search
+from . import chat_format, html_extract, importance_resample, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, sp_sampling, token_output, url_filter, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Every tenth id's words from some place on, replaced by repetitions of their beginning."""
     g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_gumbel_segmentations": op9_gumbel_segmentations,
     "op10_boosted_trees": op10_boosted_trees,
+    "op12_importance_resample": op12_importance_resample,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -134,4 +140,41 @@ SQL: dict[str, str] = {
                array_to_string(lines[256 * p + 1 : 256 * p + 256], '') AS text
         FROM kept, LATERAL unnest(range((n + 255) // 256)) AS u(p)
     """,
+    "op12_importance_resample": r"""
+        WITH tab AS (
+            SELECT list(c ORDER BY b) AS tab FROM (
+                SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) AS r(b)
+            )
+        ), d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+            FROM documents
+        ), dw AS (SELECT r, unnest(words) AS word FROM d), dc AS (SELECT r, word, count(*) AS n FROM dw GROUP BY ALL),
+        tw AS (
+            SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS word
+            FROM benchmark
+        ), raw AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dc UNION SELECT word FROM tw)),
+        crc AS (
+            SELECT word, xor(list_reduce(
+                list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+                lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM raw, tab
+        ), s AS (SELECT bucket, sum(n) AS n FROM dc JOIN crc USING (word) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS n FROM tw JOIN crc USING (word) GROUP BY bucket),
+        g AS (
+            SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (S.total + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (T.total + 10000)::DOUBLE))) AS BIGINT) AS gain
+            FROM s FULL JOIN t USING (bucket), (SELECT coalesce(sum(n), 0) AS total FROM s) AS S, (SELECT coalesce(sum(n), 0) AS total FROM t) AS T
+        ), m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS total FROM dc JOIN crc USING (word) JOIN g USING (bucket) GROUP BY r),
+        w AS (
+            SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+                   CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+            FROM d LEFT JOIN m USING (r)
+        ), p AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k,
+                   count(*) FILTER (n_features >= 20) OVER () AS many
+            FROM p
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * many // 100 THEN k END AS rank FROM o
+    """,
 }
