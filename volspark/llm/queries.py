@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, importance_resample, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, sp_sampling, token_output, url_filter, va_search
+from . import chat_format, html_extract, hyper_minhash, importance_resample, packing, periodic_runs, quality_classifier, quality_rules, simhash_dedup, sp_sampling, token_output, url_filter, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance_resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_gumbel_segmentations": op9_gumbel_segmentations,
     "op10_boosted_trees": op10_boosted_trees,
+    "op11_hyper_minhash": op11_hyper_minhash,
     "op12_importance_resample": op12_importance_resample,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -1,14 +1,15 @@
 """Near-duplicates by exact shingle similarity: texts meet on bands of least hashes of their shingles,
-and each pair is verified on its whole shingle sets."""
+and each pair is verified on its whole shingle sets. Texts of crowded bands meet on their rarest shingles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,9 @@ SETS = T.StructType([
 ])
 WHOLE = T.StructType([T.StructField("key", T.LongType()), T.StructField("shingles", T.BinaryType())])
 MARKS = [f"{c}{i}" for c in "kp" for i in range(4)]
+PARITY = [f"p{i}" for i in range(4)]
+#: In a band with more texts than this outside its largest component, texts meet on their rarest shingles instead.
+CROWD = 64
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -78,16 +82,46 @@ def parity(x: np.ndarray) -> np.ndarray:
     return np.packbits((c & 1).astype(np.uint8)).view(np.uint64)
 
 
-def _alike(a: str, b: str) -> Column:
-    """Can rows with columns a_n, a_k0.., a_p0.. and b_n.. be similar, by sizes, parities and marks?"""
-    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
-    out, odd = F.lit(0), F.lit(0)
+@dataclass(frozen=True)
+class Rule:
+    """When are two sets similar (|a & b| / |a | b| >= top / bottom), and what rules a pair out before?
+
+    ``columns`` of a node (numbers) serve ``alike`` inside joins, on rows with columns x_c and y_c; its
+    ``sketch`` (binary) serves ``likely``, on sizes and sketches of a batch of pairs.
+    """
+
+    top: int
+    bottom: int
+    columns: tuple[str, ...]
+    alike: Callable[[], Column]
+    sketch: str
+    likely: Callable[[np.ndarray, np.ndarray, pa.Array, pa.Array], np.ndarray]
+
+
+def _sizes(top: int, bottom: int) -> Column:
+    """Can rows with columns x_n, x_p0.. and y_n.. be similar, by sizes and parities?"""
+    n, m, odd = F.col("x_n"), F.col("y_n"), F.lit(0)
+    for i in range(4):
+        odd += F.bit_count(F.col(f"x_p{i}").bitwiseXOR(F.col(f"y_p{i}")))
+    return (F.least(n, m) * bottom >= F.greatest(n, m) * top) & (odd * (bottom + top) <= (n + m) * (bottom - top))
+
+
+def _alike() -> Column:
+    """The same with marks of least hashes, x_k0.. and y_k0.."""
+    out = F.lit(0)
     for i in range(4):
-        odd += F.bit_count(F.col(f"{a}_p{i}").bitwiseXOR(F.col(f"{b}_p{i}")))
-        z = F.col(f"{a}_k{i}").bitwiseXOR(F.col(f"{b}_k{i}"))
+        z = F.col(f"x_k{i}").bitwiseXOR(F.col(f"y_k{i}"))
         out += F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    near = (F.least(n, m) * BOTTOM >= F.greatest(n, m) * TOP) & (odd * (BOTTOM + TOP) <= (n + m) * (BOTTOM - TOP))
-    return near & (out <= BANDS * ROWS - LEAST_MARKS)
+    return _sizes(TOP, BOTTOM) & (out <= BANDS * ROWS - LEAST_MARKS)
+
+
+def _binned(n: np.ndarray, m: np.ndarray, u: pa.Array, v: pa.Array) -> np.ndarray:
+    """Could pairs of sizes n and m share enough, by the counts of their bins?"""
+    most = np.minimum(n, m)
+    for i, (x, y) in enumerate(zip(u.to_pylist(), v.to_pylist())):
+        if x and y:
+            most[i] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
+    return BOTTOM * most >= TOP * (n + m - most)
 
 
 def bins(x: np.ndarray) -> bytes:
@@ -157,68 +191,135 @@ def _joined(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", *[f"{c}_{z}" for c in cols for z in "ab"])
 
 
-def similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets are similar enough. ``nodes`` has key, n and bins: pairs
-    that those rule out are dropped before any set is moved."""
+def _verified(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets (key, shingles) are similar enough."""
     wanted = arrow_schema(EDGE)
 
-    def only(batch: pa.RecordBatch, shared: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-        kept = batch.select([0, 1]).filter(pa.array(BOTTOM * shared >= TOP * (total - shared)))
-        return pa.RecordBatch.from_arrays(kept.columns, schema=wanted)
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            most = np.minimum(n, m)
-            for i, (u, v) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                if u and v:
-                    most[i] = np.minimum(np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)).sum(dtype=np.int64)
-            yield only(batch, most, n + m)
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, total = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
             for i, (u, v) in enumerate(zip(batch.column(2), batch.column(3))):
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (u, v))
                 shared[i], total[i] = len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v)
-            yield only(batch, shared, total)
+            kept = batch.select([0, 1]).filter(pa.array(rule.bottom * shared >= rule.top * (total - shared)))
+            yield pa.RecordBatch.from_arrays(kept.columns, schema=wanted)
+
+    return _joined(pairs, whole, "shingles").mapInArrow(check, EDGE)
 
-    near = _joined(pairs, nodes, "n", "bins").where(F.least("n_a", "n_b") * BOTTOM >= F.greatest("n_a", "n_b") * TOP)
-    near = materialize(near.mapInArrow(prune, EDGE), "near")
+
+def likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that sizes and sketches (of ``nodes``: key, n, sketch) don't rule out."""
+    wanted = arrow_schema(EDGE)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            kept = batch.select([0, 1]).filter(pa.array(rule.likely(n, m, batch.column(4), batch.column(5))))
+            yield pa.RecordBatch.from_arrays(kept.columns, schema=wanted)
+
+    near = _joined(pairs, nodes, "n", rule.sketch)
+    return near.where(F.least("n_a", "n_b") * rule.bottom >= F.greatest("n_a", "n_b") * rule.top).mapInArrow(prune, EDGE)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets are similar enough; pairs that sizes and sketches rule
+    out are dropped before any set is moved."""
+    near = materialize(likely(pairs, nodes, rule), "near")
     met = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).distinct(), "met")
-    return _joined(near, whole_sets(docs, sets, met, "met-sets"), "shingles").mapInArrow(check, EDGE)
+    return _verified(near, whole_sets(docs, sets, met, "met-sets"), rule)
+
 
+def rare_pairs(whole: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Candidates (a, b) among whole sets (key, shingles) of ``nodes`` (key, root, n, rule's columns): each
+    pair of two roots that is similar enough is one of them.
+
+    A shingle that one root alone has can't be shared by a pair of two roots: it is *dead*. Sets are
+    ordered by dead shingles first, then rarest first. Of n shingles, similar sets share one of the first
+    n - ceil(t n) + 1 of each; so a set with as many dead ones takes no part, as texts of one template do,
+    and others meet on the few live ones that stand so early. Two sets never share more than the live
+    shingles of each, so a set looks for no partner (of its size at most) of a size that would take more.
+    """
+    top, bottom = rule.top, rule.bottom
+    one = T.StructType([T.StructField("key", T.LongType()), T.StructField("h", T.LongType())])
+    wanted = arrow_schema(one)
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = np.frombuffer(held.as_buffer(), np.int64)
+                for i in range(0, len(h), 1 << 16):
+                    part = h[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(part)], schema=wanted)
+
+    each = whole.select("key", "shingles").mapInArrow(spread, one)
+    each = materialize(each.join(small(nodes.select("key", "root", "n")), "key"), "crowd-shingles")
+    live = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("f")).where("lo < hi")
+    live = small(materialize(live.select("h", "f"), "live"))
+    each = each.join(live, "h")
+    held = each.groupBy("key").agg(F.count("*").alias("live"), F.first("n").alias("n"))
+    early = F.floor(F.col("n") * (bottom - top) / bottom).cast("long") + 1 - F.col("n") + F.col("live")
+    held = small(materialize(held.withColumn("early", early).where("early > 0"), "live-counts"))
+    rows = each.join(held.select("key", "live", "early"), "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("f", "h"))
+    rows = rows.withColumn("place", place).where("place <= early").select("h", "key", "root", "n", "live")
+    cell = lambda n: F.floor(F.log(n) * 20).cast("long")
+    largest = F.least(F.col("n"), F.floor(F.col("live") * (bottom + top) / top).cast("long") - F.col("n"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * top / bottom)).cast("long")
+    rows = rows.withColumns({"cell": cell(F.col("n")), "least": least, "largest": largest})
+    rows = materialize(rows.join(nodes.select("key", *[c for c in rule.columns if c != "n"]), "key"), "rare")
+    cols = ("root", "n", "live", *[c for c in rule.columns if c != "n"])
+    x = rows.where("least <= largest").select("h", F.explode(F.sequence(cell(F.col("least")), cell(F.col("largest")))).alias("cell"), "least", "largest", F.col("key").alias("x"), *[F.col(c).alias(f"x_{c}") for c in cols])
+    y = rows.select("h", "cell", F.col("key").alias("y"), *[F.col(c).alias(f"y_{c}") for c in cols])
+    enough = F.least("x_live", "y_live") * (bottom + top) >= (F.col("x_n") + F.col("y_n")) * top
+    met = x.join(y, (x["h"] == y["h"]) & (x["cell"] == y["cell"]) & (F.col("x_root") != F.col("y_root")) & (F.col("y_n") <= F.col("largest")) & (F.col("y_n") >= F.col("least")) & enough & rule.alike())
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b), a < b, of similar sets; each two similar sets are connected by them.
 
     Sets that share a band meet. First each set of a band meets up to four heads of it, so a large group of
     near copies is joined in linear work; then, where a band still holds several components, every set
-    outside its largest one meets all sets of other components. What is left out are pairs that are
-    connected already.
+    outside its largest one meets all sets of other components, if no more than ``CROWD`` are outside.
+    Of a band with more (a template, a licence: alike, but not enough) the sets meet by ``rare_pairs``. What is left
+    out are pairs that are connected already.
     """
-    nodes = materialize(sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "bins", "bands", *MARKS)]), "set-bins")
-    pre = sets.select("key", F.posexplode("bands").alias("i", "s"))
+    nodes = materialize(sets.groupBy("key").agg(*[F.first(c).alias(c) for c in dict.fromkeys(("n", rule.sketch, "bands", *rule.columns))]), "set-bins")
+    pre = nodes.select("key", F.posexplode("bands").alias("i", "s"))
     shared = pre.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("s")
-    pre = materialize(pre.join(shared, "s").distinct(), "bands")
+    pre = materialize(pre.join(shared, "s"), "bands")
     least = [F.min(F.col("key").bitwiseXOR(F.lit(z))).bitwiseXOR(F.lit(z)) for z in _SALTS]
     heads = pre.groupBy("s").agg(F.array_distinct(F.array(*least)).alias("heads"))
     met = pre.join(heads, "s").select("key", F.explode("heads").alias("head")).where("key <> head")
     met = materialize(met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "pairs")
-    edges = materialize(similar(met, docs, sets, nodes), "similar")
+    edges = materialize(similar(met, docs, sets, nodes, rule), "similar")
     roots = components(edges).withColumnRenamed("node", "key")
-    rows = pre.join(roots, "key", "left").select("s", "i", "key", F.coalesce("root", "key").alias("root"))
-    rows = materialize(rows.join(nodes.select("key", "n", "bands", *MARKS), "key"), "band-roots")
-    main = rows.groupBy("s", "root").count().groupBy("s").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("n"))
-    open_ = rows.join(main.where("n > 1").select("s", "main"), "s")
-    side = lambda df, z: df.select("s", F.col("key").alias(z), F.col("root").alias(f"{z}_root"), *[F.col(c).alias(f"{z}_{c}") for c in ("i", "n", "bands", *MARKS)])
-    x, y = side(open_.where("root <> main"), "x"), side(rows, "y")
-    # A pair is made in the first of the bands that it shares alone.
+    rows = materialize(pre.join(roots, "key", "left").select("s", "i", "key", F.coalesce("root", "key").alias("root")), "band-roots")
+    main = rows.groupBy("s", "root").count().groupBy("s").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("n"), (F.sum("count") - F.max("count")).alias("others"))
+    main = materialize(main.where("n > 1").select("s", "main", "others"), "open-bands")
+    some = ("n", *[c for c in rule.columns if c != "n"])
+    open_ = rows.join(main.where(F.col("others") <= CROWD), "s")
+    open_ = materialize(open_.join(nodes.select("key", "bands", *some), "key"), "open")
+    side = lambda df, z: df.select("s", F.col("key").alias(z), F.col("root").alias(f"{z}_root"), *[F.col(c).alias(f"{z}_{c}") for c in ("i", "bands", *some)])
+    x, y = side(open_.where("root <> main"), "x"), side(open_, "y")
+    # A pair is made in the first of the bands that it shares alone; if that one is crowded, below.
     first = F.array_position(F.zip_with("x_bands", "y_bands", lambda a, b: a == b), True) == F.col("x_i") + 1
-    pair = x.join(y, (x["s"] == y["s"]) & (F.col("x_root") != F.col("y_root")) & _alike("x", "y") & first)
+    pair = x.join(y, (x["s"] == y["s"]) & (F.col("x_root") != F.col("y_root")) & rule.alike() & first)
     rest = pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     rest = materialize(rest.distinct().join(met, ["a", "b"], "left_anti"), "pairs")
-    return edges if rest.isEmpty() else edges.unionByName(materialize(similar(rest, docs, sets, nodes), "similar"))
+    if not rest.isEmpty():
+        edges = edges.unionByName(materialize(similar(rest, docs, sets, nodes, rule), "similar"))
+    crowd = rows.join(main.where(F.col("others") > CROWD).select("s"), "s", "left_semi").select("key", "root").distinct()
+    crowd = materialize(crowd.join(nodes, "key").select("key", "root", rule.sketch, *some), "crowd")
+    if crowd.isEmpty():
+        return edges
+    whole = whole_sets(docs, sets, crowd.select("key"), "crowd-sets")
+    rest = materialize(likely(rare_pairs(whole, crowd, rule), crowd, rule), "near")
+    return edges.unionByName(materialize(_verified(rest, whole, rule), "similar"))
+
+
+#: The pipeline's rule: five words, a similarity of 0.8 or more.
+RULE = Rule(TOP, BOTTOM, ("n", *MARKS), _alike, "bins", _binned)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,7 +328,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts of one set are one node. Null, empty and wordless texts have the empty set and are alike.
     """
     sets = materialize(shingle_sets(docs), "shingle-sets", "lz4")
-    roots = components(links(docs, sets)).withColumnRenamed("node", "key")
+    roots = components(links(docs, sets, RULE)).withColumnRenamed("node", "key")
     return sets.select("doc_id", "key").join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
