@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with its DuckDB oracle where SQL can express it."""
 
-from . import core, decisions, files, models, more, positions, reviews, routes, streams, tables
+from . import core, decisions, files, live, models, more, positions, reviews, routes, streams, tables, tuned
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "decisions", "files", "models", "more", "positions", "reviews", "routes", "streams", "tables"]
+__all__ = ["ORACLES", "QUERIES", "core", "decisions", "files", "live", "models", "more", "positions", "reviews", "routes", "streams", "tables", "tuned"]

@@ -311,10 +311,14 @@ def m11(s, d):
 
 @query("m10_risk_budget")
 def m10(s, d):
+    """The defensive assets of a date are the two of least vol over the 252 rows before it."""
+    from pyspark.sql import Window
+
     r = V.returns(s, d).where("r IS NOT NULL").select("d", "asset", "r")
-    base = B.optimised(C.packed(cov(s, d), "d"), "d", B.risk_parity)
-    names = [x.asset for x in r.groupBy("asset").agg(F.stddev_samp("r").alias("v")).orderBy("v", "asset").limit(2).select("asset").collect()]
-    return rounded(B.risk_budget(base, B.proxy(r, "d"), "d", names, high=0.04), 6)
+    past = r.select("d", "asset", F.stddev_samp("r").over(roll(along(K, "d"), 252, 1)).alias("v"))
+    base = B.optimised(C.packed(cov(s, d), "d"), "d", B.risk_parity).join(past, ["d", "asset"])
+    calm = F.rank().over(Window.partitionBy("d").orderBy(F.round("v", 9))) <= 2
+    return rounded(B.risk_budget(base, B.proxy(r, "d"), "d", calm, high=0.04), 6)
 
 
 PL = """wr AS (SELECT rr.d, rr.asset, rr.r, COALESCE(iv.weight, 0) AS weight FROM rr LEFT JOIN iv ON iv.d = rr.d AND iv.asset = rr.asset), wx AS (SELECT *, ABS(weight - COALESCE(LAG(weight) OVER w, 0)) AS dw, COALESCE(LAG(weight) OVER w * r, 0) AS g FROM wr WINDOW w AS (PARTITION BY asset ORDER BY d)),
