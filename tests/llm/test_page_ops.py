@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import assert_same
-from volspark.llm import chat_format, html_extract, queries, simhash_dedup, url_filter, va_search
+from test_whole_job import groups
+from volspark.llm import chat_format, html_extract, queries, url_filter, va_search
 
 # --- Vector search
 
@@ -161,6 +162,17 @@ def test_snapshots_equal_oracle(spark, sf_dir):
 # --- Pipeline
 
 
+def least_padding(n, buckets):
+    """Of all ways to cut sorted lengths into ``buckets`` runs, the least padding up to each run's longest."""
+    best = {0: 0}
+    for _ in range(buckets):
+        new = {}
+        for j in range(1, len(n) + 1):
+            new[j] = min(best[i] + (j - i) * n[j - 1] - sum(n[i:j]) for i in range(j) if i in best) if any(i in best for i in range(j)) else None
+        best = {j: c for j, c in (best | {j: c if j not in best else min(c, best[j]) for j, c in new.items() if c is not None}).items()}
+    return best[len(n)]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     import corpus_pipeline as cp
     from volspark.llm import packing, quality_classifier, quality_rules
@@ -170,17 +182,15 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     left = {r.doc_id for r in quality_rules.judge(docs, quality_rules.fit(docs, labels)).where("kept").collect()}
     second = docs.where(F.col("doc_id").isin(*left))
     left = {r.doc_id for r in quality_classifier.classify(second, quality_classifier.fit(second, labels)).where("predicted = 1").collect()}
-    fp = {r.doc_id: simhash_dedup.fingerprint(r.text.encode()) for r in second.collect() if r.doc_id in left}
-    kept, group = [], {}
-    for d in sorted(fp):
-        near = {group[x] for x in group if bin(fp[x] ^ fp[d]).count("1") <= 3}
-        group[d] = min(near, default=d)
-        for x in group:
-            if group[x] in near:
-                group[x] = group[d]
-    kept = {d for d in group if group[d] == d}
+    texts = {r.doc_id: r.text for r in second.collect() if r.doc_id in left}
+    kept = {i for i, root in groups(sorted(texts.items())).items() if i == root}
     out = cp.run(spark, sf_dir).toPandas()
-    assert set(out["doc_id"]) == kept and len(out) == len(kept)
+    assert set(out["doc_id"]) == kept and len(out) == len(kept) < len(texts)
+    lengths = {r.doc_id: r.n_tokens for r in packing.token_counts(docs).collect()}
+    assert {r.doc_id: r.n_tokens for r in out.itertuples()} == {i: lengths[i] for i in kept}
+    assert out["padding"].sum() == least_padding(sorted(out["n_tokens"]), 16) and (out["bucket_len"] - out["n_tokens"] == out["padding"]).all()
+    size = out.groupby(["bucket", "batch"])["bucket_len"].agg(["size", "first"])
+    assert (size["size"] <= (65536 // size["first"].clip(1)).clip(1)).all()
     assert [n for n, _ in cp.STAGES] == ["rules", "classifier", "near_duplicates", "packing"]
     assert set(out.columns) == set(packing.pack(packing.token_counts(docs.limit(3))).columns)
 
