@@ -128,7 +128,7 @@ def e14(s, d):
     return rounded(E.learned(rows, K, "d", [f"sq_{k}" for k in range(22)], "target", ["1998-01-01", "2000-01-01"], "lasso").select("asset", "d", "forecast"), 6)
 
 
-@query("e15_e17_boosted_forecast")
+@query("e15_boosted_forecast")
 def e15(s, d):
     rows = E.feature_table(rets(s, d), K, "d", "r")
     feats = [c for c in rows.columns if c[:2] in ("r_", "sq", "ab", "rv")]
