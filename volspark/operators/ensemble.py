@@ -47,9 +47,12 @@ def regime_weighted(df: DataFrame, labels: DataFrame, table: DataFrame, keys: Ke
 
 
 def blended(df: DataFrame, probs: DataFrame, table: DataFrame, keys: Keys, order: str, regime: str, model: str, f: str) -> DataFrame:
-    """As regime_weighted, with each regime's weights times its probability (keys, order, regime, p)."""
-    rows = df.join(probs, [*keys, order]).join(table, [regime, model])
-    return rows.groupBy(*keys, order).agg(F.sum(F.col("p") * F.col("w") * F.coalesce(f, F.lit(0.0))).alias("ensemble"))
+    """As regime_weighted, with each regime's weights times its probability (keys, order, regime, p), over their
+    sum; a missing forecast adds nothing and its weight stays. Rows without a probability get no forecast."""
+    rows = df.join(probs.where("p IS NOT NULL"), [*keys, order]).join(table, [regime, model])
+    share = F.col("p") * F.col("w")
+    total = F.sum(share)
+    return rows.groupBy(*keys, order).agg((F.sum(share * F.coalesce(f, F.lit(0.0))) / F.when(total > 0, total).otherwise(1.0)).alias("ensemble"))
 
 
 def embed(df: DataFrame, features: Sequence[str], k: int = 2) -> DataFrame:

@@ -217,6 +217,26 @@ def hybrid(df: DataFrame, keys: Keys, order: str, r: str, fast: float = 5.0, slo
     return rows.withColumn("hybrid", F.sqrt((p * F.col("__f") + (1 - p) * F.col("__s")) * ann)).drop("__sq", "__f", "__s", "__g")
 
 
+def hybrid_stress(df: DataFrame, keys: Keys, order: str, r: str, p_stress: str, fast: float = 5.0, slow: float = 40.0, n: int = 126, k: float = 1.0, z0: float = 1.5, gamma: float = 1.0, p_bar: float = 0.5, ann: float = ANN) -> DataFrame:
+    """Adds beta and hybrid_stress: fast and slow EWMA vols (rows before the date) blended by a logistic of the
+    z-score of their log distance, whose middle ``z0`` comes nearer the likelier stress is against its long-run
+    share ``p_bar``. Null with fewer than max(20, n / 5) distances, or no spread, or no probability."""
+    from .windows import ewma
+
+    w = along(keys, order)
+    rows = df.withColumn("__sq", F.col(r) * F.col(r))
+    for name, halflife in (("__f", fast), ("__s", slow)):
+        rows = ewma(rows, keys, order, "__sq", halflife=halflife).withColumnRenamed("ewma", name)
+    rows = rows.withColumns({c: F.sqrt(F.lag(c).over(w) * ann) for c in ("__f", "__s")})
+    floor = F.lit(1e-12)
+    rows = rows.withColumn("__g", F.when(F.col("__f").isNotNull(), F.abs(F.log(F.greatest("__f", floor)) - F.log(F.greatest("__s", floor)))))
+    f = roll(w, n)
+    z = (F.col("__g") - F.avg("__g").over(f)) / F.greatest(F.stddev_samp("__g").over(f), floor)
+    z = F.when(F.count("__g").over(f) >= max(20, n // 5), z)
+    rows = rows.withColumn("beta", 1 / (1 + F.exp(-k * (z - (z0 - gamma * (F.col(p_stress) - p_bar))))))
+    return rows.withColumn("hybrid_stress", F.col("beta") * F.col("__f") + (1 - F.col("beta")) * F.col("__s")).drop("__sq", "__f", "__s", "__g")
+
+
 def feature_table(df: DataFrame, keys: Keys, order: str, r: str, lags: int = 5) -> DataFrame:
     """Columns that learned forecasts train on, and target: the rv21 of the next row."""
     w = along(keys, order)

@@ -73,6 +73,24 @@ def performance(df: DataFrame, keys: Keys, order: str, r: str, weight: str | Non
     return out.withColumn("calmar", F.when(F.col("max_drawdown") > 1e-12, F.col("ann_return") / F.col("max_drawdown")))
 
 
+def checkpoint_metrics(df: DataFrame, keys: Keys, order: str, r: str, weight: str, n: int, wanted: Column, ann: float = 252.0) -> DataFrame:
+    """keys, order, ann, vol, sharpe, drawdown, turnover, total over the last ``n`` rows, for rows that ``wanted`` chooses
+    and that have as many.
+
+    Frames are gathered for chosen rows only: a row is sent to the checkpoints whose last n rows hold it by
+    arithmetic on its position, so the work is checkpoints times n, not rows times n.
+    """
+    w = along(keys, order)
+    rows = df.select(*keys, order, F.col(r).alias("__r"), F.abs(F.col(weight) - F.lag(weight).over(w)).alias("__dw"), wanted.alias("__at"), F.row_number().over(w).alias("__k"))
+    ahead = F.collect_list(F.when(F.col("__at") & (F.col("__k") >= n), F.struct(F.col(order).alias("at"), F.col("__k").alias("k")))).over(w.rowsBetween(0, n - 1))
+    rows = rows.withColumn("__ahead", ahead).withColumn("__to", F.explode("__ahead")).select(*keys, F.col("__to.at").alias(order), "__k", "__r", "__dw")
+    by, x = [*keys, order], F.col("__r")
+    rows = equity_curve(rows, by, "__k", "__r")
+    return rows.groupBy(*by).agg(
+        (F.avg(x) * ann).alias("ann"), (F.stddev_samp(x) * ann**0.5).alias("vol"), sharpe(x, ann).alias("sharpe"), (-F.min("drawdown")).alias("drawdown"), F.avg("__dw").alias("turnover"), F.sum(x).alias("total"),
+    )
+
+
 def vol_control(df: DataFrame, keys: Keys, order: str, r: str, target: float, n: int = 21, ann: float = 252.0) -> DataFrame:
     """keys, mean_vol, vol_cv, vol_deviation of the rolling n-row vol."""
     v = std(F.col(r), roll(along(keys, order), n), n) * ann**0.5

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,76 @@ def lin_ucb(df: DataFrame, keys: Keys, order: str, context: Sequence[str], rewar
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Fixed values of the bandit: scales of the context's eight tanh columns (market vol, mean, skew; own Sharpe, drawdown,
+#: vol, vol error; observations) and the weights of drawdown, turnover, vol error and forecast loss in the reward.
+CONTEXT_SCALES = (0.25, 0.50, 2.00, 2.00, 0.25, 0.25, 0.10, 252.0)
+REWARD = (0.5, 0.2, 0.5, 0.25)
+REWARD_CLIP = 5.0
+
+
+def own_metrics(returns: Sequence[float], target: float, ann: float = 252.0) -> tuple[float, float, float, float]:
+    """Sharpe, drawdown (loss), vol and vol error of the returns that a strategy has earned; zeros below two."""
+    import numpy as np
+
+    if len(returns) < 2:
+        return 0.0, 0.0, 0.0, 0.0
+    x = np.asarray(returns, float)
+    sd = float(x.std(ddof=1))
+    level = np.exp(np.cumsum(x))
+    vol = sd * ann**0.5
+    return (float(x.mean() / sd * ann**0.5) if sd > 0 else 0.0), float(-(level / np.maximum.accumulate(level) - 1).min()), vol, abs(vol - target)
+
+
+def context_bandit(df: DataFrame, keys: Keys, order: str, arms: Sequence[str], target: float = 0.10, alpha: float = 0.5, ridge: float = 1.0, switch: float = 0.05, n: int = 63) -> DataFrame:
+    """keys, order, arm, ucb, reward: the 13-column contextual bandit.
+
+    Rows hold market_vol, market_mean, market_skew, market_obs, regime (low, mid or high, as of the row), and maps
+    by pair: ``ret`` of the row, and ``metrics`` (sharpe, drawdown, turnover, vol_error, loss over the pair's last
+    rows). The context is made in the fold, since four columns are the metrics of the last ``n`` returns that the
+    bandit itself has earned: the arm chosen on a row earns the next row's return. On that row the arm learns its
+    reward, Sharpe less REWARD times the pair's other metrics and the cost of a switch, clipped. Each arm is a
+    ridge model, updated by rank one; ties go to the lesser name; a fold per key with 13 x 13 numbers an arm.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", arm string, ucb double, reward double"
+    names = sorted(arms)
+
+    def reward(m, switched: bool) -> float:
+        a, b, c, e = REWARD
+        some = lambda k: float(m[k]) if m is not None and m[k] is not None else 0.0
+        value = some("sharpe") - a * max(some("drawdown"), 0.0) - b * some("turnover") - c * some("vol_error") - e * some("loss")
+        return float(np.clip(value - switch * switched, -REWARD_CLIP, REWARD_CLIP))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        inv, b = {a: np.eye(13) / ridge for a in names}, {a: np.zeros(13) for a in names}
+        arm, last, switched, earned, rows = None, None, False, [], []
+        for row in pdf.itertuples(index=False):
+            got = None
+            if arm is not None:
+                earned = [*earned, float(dict(row.ret).get(arm) or 0.0)][-n:]
+                got = reward(dict(row.metrics).get(arm), switched)
+                u = inv[arm] @ last
+                inv[arm] = inv[arm] - np.outer(u, u) / (1 + last @ u)
+                b[arm] = b[arm] + got * last
+            market = [row.market_vol, row.market_mean, row.market_skew]
+            values = [*market, *own_metrics(earned, target), row.market_obs]
+            x = [np.tanh(0.0 if v is None or v != v else v / s) for v, s in zip(values, CONTEXT_SCALES)]
+            last = np.array([*x, *[float(row.regime == k) for k in ("low", "mid", "high")], float(arm is not None), 1.0])
+            ucb = {a: float((inv[a] @ b[a]) @ last + alpha * np.sqrt(max(last @ inv[a] @ last, 0.0)) - switch * (arm is not None and a != arm)) for a in names}
+            pick = min(names, key=lambda a: (-round(ucb[a], 12), a))
+            switched = arm is not None and pick != arm
+            arm = pick
+            rows.append((arm, ucb[arm], got))
+        out = pdf[[*keys, order]].reset_index(drop=True)
+        return out.join(pd.DataFrame(rows, columns=["arm", "ucb", "reward"]))
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 #: Weights of Sharpe, drawdown, CVaR and the drawdown's inconsistency by sensitivity.
 SENSITIVITY: dict[str, tuple[float, float, float, float]] = {
     "very_low": (0.80, 4.75, 3.25, 2.25), "low": (0.90, 4.25, 2.75, 1.75), "normal": (1.00, 3.50, 2.00, 1.25), "high": (1.15, 2.75, 1.40, 0.80), "very_high": (1.25, 2.25, 1.00, 0.50),
@@ -212,6 +283,89 @@ def rule_switches(df: DataFrame, keys: Keys, order: str, sensitivity: str = "nor
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class Switching:
+    """One configuration of the gated rule. Ablations turn a part of it off: ``regime`` (scores without the regime's
+    bias, no change of regime), ``ranks`` (no challengers), ``without`` (a baseline pair that is no candidate),
+    ``selects`` (the best score at every review, without any gate)."""
+
+    sensitivity: str = "normal"
+    regime: bool = True
+    ranks: bool = True
+    without: str | None = None
+    selects: bool = False
+
+
+def _beaten(active: str, others: Sequence[str], windows: Sequence[Mapping[str, Mapping]], short: Mapping[str, Mapping]) -> tuple[int, int]:
+    """How many of ``others`` beat the active pair in the short window, and in two windows or more."""
+    mine = short.get(active) or {}
+    sharpe, ann = mine.get("sharpe") or 0.0, mine.get("ann") or 0.0
+    quick = many = 0
+    for p in others:
+        if x := short.get(p):
+            quick += x["sharpe"] > sharpe or x["sharpe"] >= sharpe and x["ann"] > ann
+        pairs = [(w.get(p), w.get(active)) for w in windows]
+        many += sum(1 for x, a in pairs if x and a and x["rank"] < a["rank"] and (x["sharpe"] >= a["sharpe"] or x["drawdown"] <= a["drawdown"])) >= 2
+    return quick, many
+
+
+def gated_switches(df: DataFrame, keys: Keys, order: str, configs: Mapping[str, Switching], windows: Sequence[str], short: str, step: int = 1) -> DataFrame:
+    """config, keys, order, active, best, switched, reason: the switch rule with its gates, all configurations in one pass.
+
+    Rows are reviews: maps ``scores``, ``plain`` (without the regime) and ``drawdowns`` of the pairs, ``changed``, and a map of
+    (rank, sharpe, ann, drawdown) by pair for each of ``windows``, ``short`` being one of them. The fold counts
+    challengers against its own active pair. The best other pair takes over at once where the sensitivity is
+    high and a short-term challenger exists; else, once the hold is over or enough pairs beat the active one in
+    several windows, by the plain gap, after a change of regime, or in a deep drawdown. Ties go to the lesser
+    name; a review counts as ``step`` rows; a fold per configuration and key, over its reviews alone.
+    """
+    import pandas as pd
+
+    from .reviews import GROUP
+
+    kinds = dict(df.dtypes)
+    schema = "config string, " + ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", active string, best string, switched boolean, reason string"
+
+    def why(c: Switching, scores: dict, active: str, best: str, since: int, row) -> str | None:
+        gap, deep, deep_gap, new_gap = SWITCH[c.sensitivity]
+        group, hold = GROUP[c.sensitivity]
+        maps = {w: dict(getattr(row, w) or {}) for w in windows} if c.ranks else {w: {} for w in windows}
+        quick, many = _beaten(active, [p for p in scores if p != active], list(maps.values()), maps[short])
+        if c.sensitivity in ("high", "very_high") and quick >= 1:
+            return "short_term"
+        if since < hold and many < group:
+            return None
+        lead = scores[best] - scores.get(active, float("-inf"))
+        fell = abs(dict(row.drawdowns).get(active) or 0.0) > deep
+        if c.regime and bool(row.changed) and (new_gap is None or lead >= new_gap):
+            return "regime"
+        if lead >= gap:
+            return "score"
+        return "drawdown" if fell and lead >= deep_gap else None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        c = configs[pdf["config"].iloc[0]]
+        active, since, rows = None, 0, []
+        for row in pdf.itertuples(index=False):
+            scores = {k: v for k, v in dict(row.scores if c.regime else row.plain).items() if v is not None and v == v and k != c.without}
+            others = sorted((-v, k) for k, v in scores.items() if c.selects or k != active)
+            best, reason = (others[0][1] if others else None), None
+            if active is None:
+                active, since = best, 0
+            elif best is not None:
+                since += step
+                reason = ("selection" if best != active else None) if c.selects else why(c, scores, active, best, since, row)
+                if reason:
+                    active, since = best, 0
+            rows.append((active, best, reason is not None, reason))
+        out = pdf[["config", *keys, order]].reset_index(drop=True)
+        return out.join(pd.DataFrame(rows, columns=["active", "best", "switched", "reason"]))
+
+    rows = df.withColumn("config", F.explode(F.array(*map(F.lit, configs))))
+    return rows.groupBy("config", *keys).applyInPandas(run, schema)
+
+
 def diversified_picks(df: DataFrame, keys: Keys, order: str, choice: str = "selected", most: int = 3, margin: float = 0.05) -> DataFrame:
     """keys, order, <choice>, picked: after ``most`` equal picks in a row the closest other pair (a score at
     most ``margin`` below, the largest, ties to the lesser name) is picked instead, if there is one."""
@@ -236,15 +390,34 @@ def diversified_picks(df: DataFrame, keys: Keys, order: str, choice: str = "sele
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def portfolio_score(drawdown: Column, vol: Column, turnover: Column, sharpe: Column, ann: Column, ret: Column, regime: Column | None = None, most_vol: float = 0.12) -> Column:
+#: Fixed values of the portfolio router: the vol limit, its penalty and the weights of the score; the gains that a
+#: candidate needs, and the switch's own cost in annual return on top.
+MOST_VOL, OVER_VOL, CALM_DRAWDOWN, DEFENSIVE_DRAWDOWN = 0.11, 1.4, 0.35, 0.70
+TURNOVER, SHARPE, ANNUAL, TRAILING = 0.05, 0.75, 1.75, 0.08
+ANNUAL_GAIN, SHARPE_GAIN, SWITCH_PENALTY = 0.02, 0.20, 0.001
+
+
+def portfolio_score(drawdown: Column, vol: Column, turnover: Column, sharpe: Column, ann: Column, ret: Column, regime: Column | None = None, most_vol: float = MOST_VOL) -> Column:
     """Score of a portfolio candidate, the least is best; a defensive regime doubles the drawdown's weight."""
-    weight = F.lit(0.35) if regime is None else F.when(regime.isin("risk_on", "balanced"), 0.35).otherwise(0.70)
-    return weight * drawdown + 1.4 * F.greatest(vol - most_vol, F.lit(0.0)) + 0.05 * turnover - 0.75 * sharpe - 1.75 * ann - 0.08 * ret
+    weight = F.lit(CALM_DRAWDOWN) if regime is None else F.when(regime.isin("risk_on", "balanced"), CALM_DRAWDOWN).otherwise(DEFENSIVE_DRAWDOWN)
+    return weight * drawdown + OVER_VOL * F.greatest(vol - most_vol, F.lit(0.0)) + TURNOVER * turnover - SHARPE * sharpe - ANNUAL * ann - TRAILING * ret
+
+
+def clears_hurdle(vol: Column, ann_gain: Column, sharpe_gain: Column, most_vol: float = MOST_VOL, ann: float = ANNUAL_GAIN, sharpe: float = SHARPE_GAIN, penalty: float = SWITCH_PENALTY) -> Column:
+    """A candidate inside the vol limit whose return (after the switch's cost) or Sharpe is far enough above the
+    active pair's."""
+    return (vol <= most_vol) & ((ann_gain >= ann + penalty) | (sharpe_gain >= sharpe))
+
 
+def routed_weights(selected: DataFrame, weights: DataFrame, keys: Keys, order: str, lag: int = 1) -> DataFrame:
+    """keys, order, portfolio, asset, weight: what a strategy holds that follows its selection of ``lag`` rows before.
 
-def clears_hurdle(vol: Column, ann_gain: Column, sharpe_gain: Column, most_vol: float = 0.12, ann: float = 0.02, sharpe: float = 0.15) -> Column:
-    """A candidate inside the vol limit whose return or Sharpe is far enough above the active pair's."""
-    return (vol <= most_vol) & ((ann_gain >= ann) | (sharpe_gain >= sharpe))
+    ``weights`` (portfolio, order, asset, weight) are each portfolio's own. On a switch a strategy trades the
+    difference of two weight vectors: assets that both hold are traded by their difference only, so the cost of
+    a switch is that of its turnover in ``portfolio_ledger``, not a flat one.
+    """
+    rows = selected.select(*keys, order, F.lag("selected", lag).over(along(keys, order)).alias("portfolio")).where("portfolio IS NOT NULL")
+    return rows.join(weights.select("portfolio", order, "asset", "weight"), ["portfolio", order]).select(*keys, order, "portfolio", "asset", "weight")
 
 
 def windows_context(df: DataFrame, keys: Keys, order: str, r: str, windows: Sequence[int], ann: float = 252.0) -> DataFrame:

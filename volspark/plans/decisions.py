@@ -92,16 +92,25 @@ def r17(s, d):
     return R_.past_quantile_regime(rows, K, "d", "x", 756, 252).where("n % 5 = 0 AND regime IS NOT NULL").select("asset", "d", "regime")
 
 
-@query("q20_portfolio_scores", f"""WITH {LEDGER}{WM}, x AS (SELECT asset, pair, d, m * 252 AS ann, sd * SQRT(252) AS vol, CASE WHEN sd > 0 THEN m / sd * SQRT(252) ELSE 0 END AS sh, ABS({FRAME_DD}) AS dd, turnover_n AS turnover, obs * m AS ret FROM wl WHERE obs >= 63 AND DAY(d) = 1),
-b AS (SELECT asset, d, ann AS b_ann, sh AS b_sh FROM x WHERE pair = 'rv20__constant')
-SELECT asset, pair, d, ROUND(0.35 * dd + 1.4 * GREATEST(vol - 0.12, 0) + 0.05 * turnover - 0.75 * sh - 1.75 * ann - 0.08 * ret, 6) + 0.0 AS score, ROUND(vol, 8) <= 0.12 AND (ROUND(ann - b_ann, 8) >= 0.02 OR ROUND(sh - b_sh, 8) >= 0.15) AS clears FROM x JOIN b USING (asset, d)""")
+#: Metrics of the first of each month: dates are chosen before any frame is gathered, drawdowns come from the frames alone.
+MONTHLY = """, fx AS (SELECT w.asset, w.pair, w.d, w.ret, w.dw, row_number() OVER (PARTITION BY w.asset, w.pair ORDER BY w.d) AS k FROM wd w),
+fd AS (SELECT x.asset, x.pair, x.d, y.ret, y.dw, y.k, SUM(y.ret) OVER (PARTITION BY x.asset, x.pair, x.d ORDER BY y.k) AS e FROM fx x JOIN fx y ON y.asset = x.asset AND y.pair = x.pair AND y.k BETWEEN x.k - 62 AND x.k WHERE DAY(x.d) = 1 AND x.k >= 63),
+fe AS (SELECT *, EXP(e - MAX(e) OVER (PARTITION BY asset, pair, d ORDER BY k)) - 1 AS dd FROM fd),
+mx AS (SELECT asset, pair, d, AVG(ret) * 252 AS ann, STDDEV_SAMP(ret) * SQRT(252) AS vol, CASE WHEN STDDEV_SAMP(ret) > 0 THEN AVG(ret) / STDDEV_SAMP(ret) * SQRT(252) ELSE 0 END AS sh, -MIN(dd) AS dd, AVG(dw) AS turnover, SUM(ret) AS ret FROM fe GROUP BY 1, 2, 3)"""
+
+
+@query("q20_portfolio_scores", f"""WITH {LEDGER}, wd AS (SELECT *, ABS(weight - LAG(weight) OVER (PARTITION BY asset, pair ORDER BY d)) AS dw FROM ledger){MONTHLY},
+b AS (SELECT asset, d, ann AS b_ann, sh AS b_sh, CASE WHEN vol >= 0.14 OR dd >= 0.10 THEN 'defensive' WHEN vol <= 0.09 THEN 'risk_on' ELSE 'balanced' END AS regime FROM mx WHERE pair = 'rv20__constant')
+SELECT asset, pair, d, regime, ROUND(CASE WHEN regime = 'defensive' THEN 0.70 ELSE 0.35 END * dd + 1.4 * GREATEST(vol - 0.11, 0) + 0.05 * turnover - 0.75 * sh - 1.75 * ann - 0.08 * ret, 6) + 0.0 AS score, ROUND(vol, 8) <= 0.11 AND (ROUND(ann - b_ann, 8) >= 0.021 OR ROUND(sh - b_sh, 8) >= 0.20) AS clears FROM mx JOIN b USING (asset, d)""")
 def q20(s, d):
-    rows = metric_regimes(s, d).where("day(d) = 1").select(*P, "d", "ann", "vol", "sharpe", F.abs("drawdown_n").alias("drawdown"), F.col("turnover_n").alias("turnover"), (F.col("ann") / 252 * F.col("obs")).alias("ret"))
-    mark = rows.where("pair = 'rv20__constant'").select("asset", "d", F.col("ann").alias("b_ann"), F.col("sharpe").alias("b_sharpe"))
+    """Scores of all pairs on the first of a month against the held benchmark, whose own metrics name the regime."""
+    rows = M.checkpoint_metrics(V.ledger(s, d), P, "d", "ret", "weight", 63, F.dayofmonth("d") == 1)
+    regime = F.when((F.col("vol") >= 0.14) | (F.col("drawdown") >= 0.10), "defensive").when(F.col("vol") <= 0.09, "risk_on").otherwise("balanced")
+    mark = rows.where("pair = 'rv20__constant'").select("asset", "d", F.col("ann").alias("b_ann"), F.col("sharpe").alias("b_sharpe"), regime.alias("regime"))
     rows = rows.join(mark, ["asset", "d"])
-    score = Q.portfolio_score(F.col("drawdown"), F.col("vol"), F.col("turnover"), F.col("sharpe"), F.col("ann"), F.col("ret"))
+    score = Q.portfolio_score(F.col("drawdown"), F.col("vol"), F.col("turnover"), F.col("sharpe"), F.col("ann"), F.col("total"), F.col("regime"))
     clears = Q.clears_hurdle(F.round("vol", 8), F.round(F.col("ann") - F.col("b_ann"), 8), F.round(F.col("sharpe") - F.col("b_sharpe"), 8))
-    return rounded(rows.select(*P, "d", score.alias("score"), clears.alias("clears")), 6)
+    return rounded(rows.select(*P, "d", "regime", score.alias("score"), clears.alias("clears")), 6)
 
 
 @query("q24_routed_context", rsql(LEDGER + """, x AS (SELECT asset, pair, d, ret, row_number() OVER (PARTITION BY asset, pair ORDER BY d DESC) AS k FROM ledger), w(win) AS (VALUES (20), (60), (100)),
