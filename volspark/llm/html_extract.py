@@ -27,17 +27,21 @@ _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr img picture source map area".split()
 )
-_OUT = set("nav footer aside form template object svg math button select option datalist dialog menu canvas audio video head".split())
+_OUT = set("nav footer aside template object svg math button select option datalist dialog menu canvas audio video head".split())
 _CLOSES = {  # an opening tag that ends an open one of these
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
 }
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banners?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|"
+_WORDS = (
+    r"(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banners?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|"
     r"footers?|cookies?|consent|notices?|alerts?|popups?|modals?|overlay|subscribe|subscription|newsletter|share|sharing|social|"
     r"related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|login|signup|search|widgets?|toolbar|"
-    r"pagination|pager|copyright|disclaimer|hidden|gdpr|paywall|teaser)(?:$|[\s_-])", re.I,
+    r"pagination|pager|copyright|disclaimer|hidden|gdpr|paywall|teaser)"
 )
+_NOISE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I)
+#: Running text is noise only by a whole name: ``notice``, but not ``notice-period``.
+_WHOLE = re.compile(_WORDS, re.I)
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figcaption"}
 _READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion)(?:$|[\s_-])", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|masthead|topbar|top-bar|site-title)(?:$|[\s_-])", re.I)
 _NEGATED = re.compile(r"\b(?:has|with|no|without|show|hide|js|col)[_-][\w-]+", re.I)
@@ -51,7 +55,7 @@ Block = tuple[str, int, str]  # path of its container, container's number, text
 
 def _noise(tag: str, attrs: dict[str, str], within: bool, names: bool) -> bool:
     """Does an element hold no text of the article? By its tag, its attributes and, where ``names``
-    holds, the words of its class and id."""
+    holds, the words of its class and id (a form counts as so named)."""
     if tag in _OUT or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
@@ -60,9 +64,14 @@ def _noise(tag: str, attrs: dict[str, str], within: bool, names: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
+    if tag == "form":
+        return names
     if tag == "header" and not within:
         return True
-    said = _NEGATED.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}")
+    said = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if tag in _PROSE or tag in _INLINE:
+        return names and any(map(_WHOLE.fullmatch, said.split()))
+    said = _NEGATED.sub(" ", said)
     return names and (bool(_NOISE.search(said)) or not within and bool(_HEADER.search(said)))
 
 
@@ -154,7 +163,8 @@ def _blocks(source: str, heard: set[int]) -> tuple[list[Block], dict[int, tuple[
                 continue
             if m[3] and not m[3].endswith("/"):
                 attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])}
-                if attrs and tag != "a" and _noise(tag, attrs, bool(within), True):
+                # Names of a run inside a paragraph say nothing: it is a part of a sentence.
+                if attrs and tag != "a" and _noise(tag, attrs, bool(within), not (stack and stack[-1][0] in _TEXTUAL)):
                     inline_noise.append(tag)
                 elif inline_noise and inline_noise[-1] == tag:
                     inline_noise.append(tag)
@@ -249,7 +259,7 @@ def lifted(own: dict[str, float], nodes: dict[int, tuple[str, int, float, float]
 def page_text(source: str, winner: str | None) -> str:
     """Blocks under containers of the winning path, or of the page's own best where it has none. Of
     several such containers, those of links for the most part (lists of columns that differ in a
-    number alone) are left out."""
+    number alone) are left out, but never a container that is an article or main or is named as one."""
     found, nodes = blocks(source)
     if not found:
         return ""
@@ -261,7 +271,9 @@ def page_text(source: str, winner: str | None) -> str:
         path, parent, *_ = nodes[n]
         if (up := top.get(parent)) is not None or path == winner:
             top[n] = n if up is None else up
-    mostly = {n for n in set(top.values()) if nodes[n][3] > 0.5}
+    last = winner.rsplit("/", 1)[-1]
+    told = last.partition(".")[0] in ("article", "main") or bool(_POST.search(last.partition(".")[2].replace(".", " ")))
+    mostly = set() if told else {n for n in set(top.values()) if nodes[n][3] > 0.5}
     if len(mostly) == len(set(top.values())):
         mostly = set()
     return " ".join(t for _, n, t in found if n in top and top[n] not in mostly)
@@ -310,10 +322,16 @@ def extract(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
     won = materialize(winners(rows), "host-paths")
     if won.count() <= broadcast_hosts:
         won = F.broadcast(won)
-    keyed = rows.withColumn("host", host_of(F.col("url"))).join(won, "host", "left")
+    keyed = rows.withColumn("host", host_of(F.col("url"))).join(won, "host", "left").select("page_id", "url", "html", "path")
+    out = T.StructType([*keyed.schema.fields[:2], T.StructField("text", T.StringType())])
+    wanted = arrow_schema(out)
 
-    @F.arrow_udf(T.StringType())
-    def text(sources: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array((page_text(s.as_py() or "", p.as_py()) for s, p in zip(sources, paths)), pa.string())
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(3).to_pylist()
+            for first, sources in text_slices(batch, "html"):
+                made = [page_text((x or b"").decode("utf-8", "replace"), p) for x, p in zip(sources, paths[first:])]
+                own = [batch.column(i).slice(first, len(made)).cast(wanted.field(i).type) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(made, wanted.field("text").type)], schema=wanted)
 
-    return keyed.select("page_id", "url", text("html", "path").alias("text"))
+    return keyed.mapInArrow(each, out)
