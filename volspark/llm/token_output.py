@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ SHARDS = T.StructType([
 ])
 
 
+CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
+
+
 def _put(e: dict) -> bytes:
     return _SEQ.pack(e["n"], e["l"], len(e["low"]), len(e["high"]), len(e["samples"])) + e["low"] + e["high"] + e["samples"]
 
@@ -55,7 +59,7 @@ def pack_shard(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes
 
 
 class Shard:
-    """Reads a packed shard: ``bounds(i)`` by select, ``ends()`` and ``doc_ids()`` in bulk."""
+    """Reads a packed shard: ``bounds(i)`` and ``offsets(a, b)`` by select, ``doc_ids()`` in bulk."""
 
     def __init__(self, blob: bytes):
         raw = memoryview(blob)
@@ -69,8 +73,10 @@ class Shard:
     def bounds(self, i: int) -> tuple[int, int]:
         return (ef.select(self._ends, i - 1) if i else 0), ef.select(self._ends, i)
 
-    def ends(self) -> np.ndarray:
-        return ef.decode(self._ends)
+    def offsets(self, a: int, b: int) -> np.ndarray:
+        """Where documents a .. b - 1 begin, and where the last of them ends."""
+        ends = ef.select_many(self._ends, np.arange(max(a - 1, 0), b))
+        return ends if a else np.concatenate([np.zeros(1, np.int64), ends])
 
     def doc_ids(self) -> list[int | None]:
         known = ef.decode(self._docs).astype(np.uint64) + np.uint64(self.least & (1 << 64) - 1)
@@ -84,20 +90,28 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, shard_tokens: int = 1 << 21) -> DataFrame:
     """Encode every text and write shards in ascending ``doc_id`` order; returns the written table.
 
-    Texts are range-partitioned by ``doc_id`` and sorted, so a shard is a run of neighbours and
-    (part, seq) is the order of the whole. A shard closes at ``shard_tokens``; a longer document
-    fills one alone. Null texts are empty (the end id alone), null ids come first, repeated ids keep
-    all their rows in the order of their texts, an empty table gives no shard; other columns of ``docs`` take no part.
+    Texts are encoded where they are read; their ids (two bytes a token), not the texts, are range-partitioned by
+    ``doc_id`` and sorted, so a shard is a run of neighbours and (part, seq) is the order of the whole. A shard
+    closes at ``shard_tokens``; a longer document fills one alone. Null texts are empty (the end id alone), null
+    ids come first, repeated ids keep all their rows, in the order of a hash of their ids and spread by it over
+    tasks; an empty table gives no shard; other columns of ``docs`` take no part.
     """
     path = tokenizer or default_path()
-    wanted = arrow_schema(SHARDS)
+    wanted, coded = arrow_schema(SHARDS), arrow_schema(CODED)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for first, texts in text_slices(batch, "text", 4 << 20):
+                ids = enc.encode(texts)
+                own = batch.column(0).cast(pa.int64()).slice(first, len(ids))
+                yield pa.RecordBatch.from_arrays([own, pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=coded)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        width = enc.dtype.itemsize
-        end = np.array([end_id], enc.dtype).tobytes()
+        part, seq, width = TaskContext.get().partitionId(), 0, encoder(path).dtype.itemsize
+        end = np.array([end_id], encoder(path).dtype).tobytes()
         ids: list[bytes] = []
         names: list[int | None] = []
         size = 0
@@ -108,8 +122,8 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, texts in text_slices(batch, "text", 4 << 20):
-                for k, x in zip(keys[first:], enc.encode(texts)):
+            for first, part_ids in text_slices(batch, "ids", 4 << 20):
+                for k, x in zip(keys[first:], part_ids):
                     ids.append(x + end)
                     names.append(k)
                     size += len(x) + width
@@ -119,8 +133,8 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
         if ids:
             yield close()
 
-    rows = has_columns(docs, "doc_id", "text")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = materialize(has_columns(docs, "doc_id", "text").mapInArrow(encode, CODED), "token-ids")
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
     return materialize(rows.mapInArrow(write, SHARDS), "token-shards")
 
 
@@ -148,8 +162,8 @@ def read_documents(shards: DataFrame, broadcast_rows: int = 100_000) -> DataFram
         for batch in batches:
             for base, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = Shard(blob.as_py())
-                ends = s.ends()
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                at = s.offsets(0, s.n_docs)
+                begins, ends = at[:-1], at[1:]
                 crc = [zlib.crc32(s.ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
                 cols = [s.doc_ids(), begins + base, ends - begins, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=wanted)
