@@ -240,28 +240,26 @@ def rare_pairs(whole: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     shingles of each, so a set looks for no partner (of its size at most) of a size that would take more.
     """
     top, bottom = rule.top, rule.bottom
-    one = T.StructType([T.StructField("key", T.LongType()), T.StructField("h", T.LongType())])
+    one = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "root", "n", "h")])
     wanted = arrow_schema(one)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for *own, held in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
                 h = np.frombuffer(held.as_buffer(), np.int64)
                 for i in range(0, len(h), 1 << 16):
                     part = h[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(part)], schema=wanted)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(part), x)) for x in own], pa.array(part)], schema=wanted)
 
-    each = whole.select("key", "shingles").mapInArrow(spread, one)
-    each = materialize(each.join(small(nodes.select("key", "root", "n")), "key"), "crowd-shingles")
+    # Root and size go with each set before its shingles are spread, so no join carries a row for each of them.
+    each = whole.join(nodes.select("key", "root", "n"), "key").select("key", "root", "n", "shingles").mapInArrow(spread, one)
+    each = materialize(each, "crowd-shingles")
     live = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("f")).where("lo < hi")
-    live = small(materialize(live.select("h", "f"), "live"))
-    each = each.join(live, "h")
-    held = each.groupBy("key").agg(F.count("*").alias("live"), F.first("n").alias("n"))
+    each = each.join(small(materialize(live.select("h", "f"), "live")), "h")
     early = F.floor(F.col("n") * (bottom - top) / bottom).cast("long") + 1 - F.col("n") + F.col("live")
-    held = small(materialize(held.withColumn("early", early).where("early > 0"), "live-counts"))
-    rows = each.join(held.select("key", "live", "early"), "key")
+    rows = each.withColumn("live", F.count("*").over(Window.partitionBy("key")))
     place = F.row_number().over(Window.partitionBy("key").orderBy("f", "h"))
-    rows = rows.withColumn("place", place).where("place <= early").select("h", "key", "root", "n", "live")
+    rows = rows.withColumn("place", place).where(F.col("place") <= early).select("h", "key", "root", "n", "live")
     cell = lambda n: F.floor(F.log(n) * 20).cast("long")
     largest = F.least(F.col("n"), F.floor(F.col("live") * (bottom + top) / top).cast("long") - F.col("n"))
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * top / bottom)).cast("long")
