@@ -63,7 +63,7 @@ def grid_scores(returns: DataFrame, keys: Keys, order: str, halflives: Sequence[
 def best_params(scores: DataFrame, keys: Keys) -> DataFrame:
     """keys, PARAMS of the least score (ties, to nine digits, to the lesser parameters)."""
     best = F.min_by(F.struct(*PARAMS), F.struct(F.round("score", 9), *PARAMS))
-    return scores.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    return scores.groupBy(*keys).agg(best.alias("__best")).select(*keys, "__best.*")
 
 
 def tuned_ledger(returns: DataFrame, best: DataFrame, keys: Keys, order: str, target: float = 0.10, window: int = 126, bps: float = 5.0, rf: str | None = None) -> DataFrame:
