@@ -235,3 +235,20 @@ def test_partings_far_along_a_path_are_not_missed(spark):
     keys = np.array([sp_sampling.row_key(0, i, b"") for i in range(40)], np.uint64)
     found = sp_sampling.sample_texts(lat, ["一" * 3000 + " the end of it"] * 40, keys, 3)
     assert all(len({tuple(x[0].tolist()) for x in rows}) == 3 for rows in found)
+
+
+def test_harmless_use_and_themes_left_out():
+    """Blocked words as subjects of reference sites pass; themes of allowed sites that the fit never saw are rarely blocked."""
+    w, b = url_filter.model()
+    harmless = [("en.wikipedia.org", "/wiki/Poker"), ("citylibrary.org", "/subjects/adult.html"), ("www.sciencemuseum.org", "/articles/pills-history"), ("courtnews.net", "/2019/04/loans-law-explained"), ("dictionary.org", "/dictionary/casino")]
+    assert all(url_filter.probability(h, p, w, b) < 0.5 for h, p in harmless)
+    assert all(url_filter.probability("some-host.com", p, w, b) >= 0.5 for p in ("/casino/", "/pills-online", "/free-bets.html"))
+    rows = url_filter.table()
+    for out in (("food", "leisure"), ("nature", "work"), ("wiki", "wikipedia", "news")):
+        seen = url_filter.table(out)
+        held = sorted(r for r in set(rows) - set(seen) if not r[2])
+        p = url_filter.probabilities([h for h, *_ in held], [q for _, q, _ in held], *url_filter.fit(seen))
+        assert len(held) > 300 and (p >= 0.5).mean() < 0.08
+    one = [url_filter.probability(h, p, w, b) for h, p in harmless]
+    assert np.allclose(one, url_filter.probabilities(*zip(*harmless), w, b)) and len(url_filter.probabilities([], [], w, b)) == 0
+    assert 0 <= url_filter.probability("bücher.de", "/" + "ß" * 10_000, w, b) <= 1
