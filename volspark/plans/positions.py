@@ -88,21 +88,36 @@ def c14(s, d):
     return rounded(controlled(s, d, "clip", rf=True).select("asset", "d", *COLS), 6, ret=8)
 
 
-@query("c15_c16_controller_comparison")
+COMPARED = {"naive_scaling": "c2_naive_scaling", "hysteresis": "c4_hysteresis", "drawdown_brake": "c9_drawdown_brake", "regime": "c6_regime", "trend": "c7_trend"}
+
+
+def bare(sql: str) -> str:
+    """A fold's query without rounding."""
+    return sql.replace("ROUND(w, 6) + 0.0 AS weight, ROUND(ret, 8) + 0.0 AS ret, ROUND(equity, 6) + 0.0 AS equity", "w AS weight, ret, equity")
+
+
+@query("c15_c16_controller_comparison", "WITH " + ", ".join(f"{n}_x AS ({bare(CONTROLLERS[q][1])})" for n, q in COMPARED.items()) + ", u AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS pair FROM {n}_x" for n in COMPARED) + """),
+e AS (SELECT *, EXP(SUM(ret) OVER w) AS e, ABS(weight - LAG(weight) OVER w) AS dw FROM u WINDOW w AS (PARTITION BY asset, pair ORDER BY d)), dd AS (SELECT *, e / MAX(e) OVER (PARTITION BY asset, pair ORDER BY d) - 1 AS dd FROM e)
+SELECT asset, pair, COUNT(*) AS n, ROUND(CASE WHEN STDDEV_SAMP(ret) > 0 THEN AVG(ret) / STDDEV_SAMP(ret) * SQRT(252) ELSE 0 END, 6) + 0.0 AS sharpe, ROUND(-MIN(dd), 6) + 0.0 AS max_drawdown, ROUND(SQRT(AVG(dd * dd)), 6) + 0.0 AS ulcer, ROUND(AVG(dw), 6) + 0.0 AS turnover FROM dd GROUP BY 1, 2""")
 def c15(s, d):
-    names = ["naive_scaling", "hysteresis", "drawdown_brake", "regime", "trend"]
-    parts = [controlled(s, d, n).withColumn("pair", F.lit(n)) for n in names]
+    parts = [controlled(s, d, n).withColumn("pair", F.lit(n)) for n in COMPARED]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return rounded(M.performance(out, ["asset", "pair"], "d", "ret", "weight").select("asset", "pair", "n", "sharpe", "max_drawdown", "ulcer", "turnover"), 6)
 
 
-@query("c18_lookback_search")
+LOOKBACKS = (10, 20, 60)
+
+
+@query("c18_lookback_search", "WITH " + ", ".join(f"l{n} AS ({bare(fold_sql('scaled', high='1.5')).replace('COUNT(r) OVER w >= 20', f'COUNT(r) OVER w >= {n}').replace('BETWEEN 20 PRECEDING', f'BETWEEN {n} PRECEDING')})" for n in LOOKBACKS) + ", u AS (" + " UNION ALL ".join(f"SELECT *, {n} AS lookback FROM l{n}" for n in LOOKBACKS) + """),
+h AS (SELECT *, PERCENT_RANK() OVER (PARTITION BY asset, lookback ORDER BY d) < 0.5 AS f FROM u),
+p AS (SELECT asset, lookback, CASE WHEN STDDEV_SAMP(ret) FILTER (f) > 0 THEN AVG(ret) FILTER (f) / STDDEV_SAMP(ret) FILTER (f) * SQRT(252) ELSE 0 END AS i, CASE WHEN STDDEV_SAMP(ret) FILTER (NOT f) > 0 THEN AVG(ret) FILTER (NOT f) / STDDEV_SAMP(ret) FILTER (NOT f) * SQRT(252) ELSE 0 END AS o FROM h GROUP BY 1, 2)
+SELECT asset, lookback, ROUND(i, 6) + 0.0 AS in_sharpe, ROUND(o, 6) + 0.0 AS out_sharpe FROM p QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ROUND(i, 8) DESC, lookback) = 1""")
 def c18(s, d):
     """Lookbacks as keys: each is held in-sample, the best Sharpe of the first half is reported on the second."""
     rows = V.returns(s, d).where("r IS NOT NULL").select("asset", "d", "r")
-    parts = [rows.select("*", F.lit(n).alias("lookback"), realized(F.col("r"), K, "d", n).alias("vol")) for n in (10, 20, 60)]
+    parts = [rows.select("*", F.lit(n).alias("lookback"), realized(F.col("r"), K, "d", n).alias("vol")) for n in LOOKBACKS]
     long = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("wanted", P.scaled("vol", 0.10))
     led = fold_ledger(long, ["asset", "lookback"], "d", "r", "wanted", P.RULES["clip"])
     half = led.withColumn("first", F.percent_rank().over(along(["asset", "lookback"], "d")) < 0.5)
@@ -160,18 +175,22 @@ def v6(s, d):
     return out(C.shrunk(C.sample(panel(s, d), "d")))
 
 
-@query("v7_ledoit_wolf", rsql(f"""{PANEL}, m AS (SELECT d, i, j, COVAR_POP(x, y) OVER w AS s, AVG(x) OVER w AS mx, AVG(y) OVER w AS my, LIST({{'x': x, 'y': y}}) OVER w AS a, COUNT(*) OVER w AS n FROM pp {F126}),
+LEDOIT = f"""m AS (SELECT d, i, j, COVAR_POP(x, y) OVER w AS s, AVG(x) OVER w AS mx, AVG(y) OVER w AS my, LIST({{'x': x, 'y': y}}) OVER w AS a, COUNT(*) OVER w AS n FROM pp {F126}),
 c AS (SELECT d, i, j, s, list_avg(list_transform(a, lambda v: POWER((v.x - mx) * (v.y - my), 2))) AS fm FROM m WHERE n >= 126),
 t AS (SELECT d, AVG(CASE WHEN i = j THEN s END) AS mu, COUNT(*) FILTER (i = j) AS k, SUM(CASE WHEN i = j THEN 1 ELSE 2 END * s * s) AS ss, SUM(CASE WHEN i = j THEN 1 ELSE 2 END * (fm - s * s)) AS b2 FROM c GROUP BY 1),
 u AS (SELECT d, mu, CASE WHEN ss - k * mu * mu > 0 THEN LEAST(GREATEST(b2 / 126, 0), ss - k * mu * mu) / (ss - k * mu * mu) ELSE 0 END AS rho FROM t),
-q AS (SELECT c.d, c.i, c.j, ((1 - rho) * s + rho * CASE WHEN i = j THEN mu ELSE 0 END) * 252 AS cov, rho FROM c JOIN u ON c.d = u.d)""", "cov", "rho", digits=6, keys="d, i, j"))
+q AS (SELECT c.d, c.i, c.j, ((1 - rho) * s + rho * CASE WHEN i = j THEN mu ELSE 0 END) * 252 AS cov, rho FROM c JOIN u ON c.d = u.d)"""
+DOWN = f"""m AS (SELECT d, i, j, COVAR_SAMP(x, y) OVER w AS s, AVG(x) OVER w AS mx, AVG(y) OVER w AS my, LIST({{'x': x, 'y': y}}) OVER w AS a, COUNT(*) OVER w AS n FROM pp {F126}),
+l AS (SELECT d, i, j, s, n, list_transform(a, lambda v: LEAST(v.x - mx, 0)) AS lx, list_transform(a, lambda v: LEAST(v.y - my, 0)) AS ly FROM m),
+q AS (SELECT d, i, j, CASE WHEN n >= 126 THEN (0.65 * (list_inner_product(lx, ly) - list_sum(lx) * list_sum(ly) / 126) / 125 + 0.35 * s) * 252 END AS cov FROM l)"""
+
+
+@query("v7_ledoit_wolf", rsql(f"{PANEL}, {LEDOIT}", "cov", "rho", digits=6, keys="d, i, j"))
 def v7(s, d):
     return rounded(C.ledoit_wolf(panel(s, d), "d").where("cov IS NOT NULL"), 6)
 
 
-@query("v8_downside_covariance", rsql(f"""{PANEL}, m AS (SELECT d, i, j, COVAR_SAMP(x, y) OVER w AS s, AVG(x) OVER w AS mx, AVG(y) OVER w AS my, LIST({{'x': x, 'y': y}}) OVER w AS a, COUNT(*) OVER w AS n FROM pp {F126}),
-l AS (SELECT d, i, j, s, n, list_transform(a, lambda v: LEAST(v.x - mx, 0)) AS lx, list_transform(a, lambda v: LEAST(v.y - my, 0)) AS ly FROM m),
-q AS (SELECT d, i, j, CASE WHEN n >= 126 THEN (0.65 * (list_inner_product(lx, ly) - list_sum(lx) * list_sum(ly) / 126) / 125 + 0.35 * s) * 252 END AS cov FROM l)""", "cov", keys="d, i, j"))
+@query("v8_downside_covariance", rsql(f"{PANEL}, {DOWN}", "cov", keys="d, i, j"))
 def v8(s, d):
     return out(C.downside(panel(s, d), "d"))
 
@@ -211,7 +230,8 @@ def v10(s, d):
     return out(C.regime_blend(C.ewma(p, "d", 10).where("cov IS NOT NULL"), C.ewma(p, "d", 63).where("cov IS NOT NULL"), share, "d"))
 
 
-@query("v13_dynamic_blend")
+@query("v13_dynamic_blend", rsql(f"""{PANEL}, {EWM}, lw AS (WITH {LEDOIT} SELECT d, i, j, cov FROM q WHERE cov IS NOT NULL), dn AS (WITH {DOWN} SELECT d, i, j, cov FROM q WHERE cov IS NOT NULL), {STRESS},
+kk AS (SELECT d, LEAST(GREATEST((s - 0.08) / 0.20, 0), 1) AS k FROM sv21 WHERE s IS NOT NULL), q AS (SELECT e.d, e.i, e.j, (0.45 - 0.20 * k) * e.cov + 0.35 * lw.cov + (0.20 + 0.20 * k) * dn.cov AS cov FROM ew2 e JOIN lw USING (d, i, j) JOIN dn USING (d, i, j) JOIN kk USING (d))""", "cov", keys="d, i, j"))
 def v13(s, d):
     p = panel(s, d)
     parts = {"e": C.ewma(p, "d", 21), "l": C.ledoit_wolf(p, "d"), "w": C.downside(p, "d")}

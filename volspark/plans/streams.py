@@ -38,7 +38,12 @@ def x1(s, d):
     return rounded(last.select("asset", F.to_date("start").alias("start"), "b.*"), 6)
 
 
-@query("x2_online_positions")
+@query("x2_online_positions", """WITH RECURSIVE t AS (SELECT event_type AS asset, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value > 0),
+f AS (SELECT asset, i, n, price, NULL::DOUBLE AS v, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak, 0.0::DOUBLE AS weight FROM t WHERE i = 1 UNION ALL
+SELECT asset, i, n, price, v, equity, peak, CASE WHEN v > 0 THEN LEAST(0.10 / SQRT(v * 252) * CASE WHEN 1 - equity / peak <= 0.10 THEN 1.0 ELSE GREATEST(0.0, 1 - LEAST(1.0, (1 - equity / peak - 0.10) / 0.20)) END, 1.5) ELSE weight END FROM (
+SELECT asset, i, n, price, CASE WHEN v IS NULL THEN r * r ELSE POWER(0.5, 1 / 20.0) * v + (1 - POWER(0.5, 1 / 20.0)) * r * r END AS v, equity * EXP(weight * r) AS equity, GREATEST(peak, equity * EXP(weight * r)) AS peak, weight FROM (
+SELECT t.asset, t.i, t.n, t.price, LN(t.price / f.price) AS r, f.v, f.equity, f.peak, f.weight FROM f JOIN t ON t.asset = f.asset AND t.i = f.i + 1)))
+SELECT asset, n, ROUND(SQRT(v * 252), 6) + 0.0 AS vol, ROUND(1 - equity / peak, 6) + 0.0 AS drawdown, ROUND(weight, 6) + 0.0 AS weight, ROUND(equity, 6) + 0.0 AS equity FROM f WHERE i = n""")
 def x2(s, d):
     where = _shared(s)
     X.run_to_table(X.online_positions(ticks(s, d)), f"{where}/out", f"{where}/log", "update")

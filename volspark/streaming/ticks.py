@@ -39,7 +39,9 @@ OUT = "asset string, n long, vol double, drawdown double, weight double, equity
 def online_positions(ticks: DataFrame, halflife: float = 20.0, target: float = 0.10, ann: float = 252.0, start: float = 0.10, full: float = 0.30) -> DataFrame:
     """Per asset and micro-batch: EWMA vol, drawdown of the own equity, and the braked weight.
 
-    State is six numbers per asset; a batch's ticks are taken in time order.
+    State is six numbers per asset; a batch's ticks are taken in time order, and all of an asset's ticks of a batch
+    are held together for it (``files_per_trigger`` bounds a batch). A tick that comes in a later batch than ticks after
+    it is folded in when it comes.
     """
     decay = 0.5 ** (1 / halflife)
 
@@ -67,10 +69,11 @@ def online_positions(ticks: DataFrame, halflife: float = 20.0, target: float = 0
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process all that is there and stop; ``update`` batches are appended with their batch id."""
+    """Process all that is there and stop. An ``update`` batch is written to a folder of its own id, which becomes the
+    column ``batch``; if it is run again after a failure it replaces what it had written."""
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode(mode)
     if mode == "append":
         query = writer.format("parquet").start(path)
     else:
-        query = writer.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(path)).start()
+        query = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).start()
     query.awaitTermination()
