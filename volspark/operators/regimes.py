@@ -184,6 +184,25 @@ def macro_regime(vol: Column, vix: Column, spread: Column | None = None, change:
     return F.when(bad, "defensive").when(good, "risk_on").otherwise("balanced")
 
 
+def macro_inputs(returns: DataFrame, order: str, aux: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """order, r, vol_21, vol_63 of the equal-weight return, and each auxiliary series that its table has a column for.
+
+    ``aux`` names a series, its table and the columns that it may stand in, the first one found counts. Its dates are
+    matched exactly and filled forward, so what is dated between two rows is lost, as in the source tables."""
+    from ..functions.frames import std
+    from ..sources.series import first_column
+    from .joins import align_fill
+
+    w = along([], order)
+    ew = returns.groupBy(order).agg(F.avg("r").alias("r"))
+    out = ew.withColumns({f"vol_{n}": std(F.col("r"), roll(w, n), least) * 252.0**0.5 for n, least in ((21, 10), (63, 20))})
+    for name, (table, candidates) in aux.items():
+        found = first_column(table, candidates, name)
+        if found is not None:
+            out = align_fill(out, found.select(order, name), [], order, [name])
+    return out
+
+
 def past_quantile_regime(df: DataFrame, keys: Keys, order: str, col: str, n: int = 1512, least: int = 252, low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
     """Adds regime: low at or below the lower quantile of the last n rows, high at or above the upper one,
     else middle; null with fewer than ``least`` values. Nothing of a later row is used."""

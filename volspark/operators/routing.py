@@ -88,6 +88,51 @@ def constrained(df: DataFrame, keys: Keys, order: str, limits: Sequence[tuple[st
     return df.withColumn("blocked", out)
 
 
+#: Weights of Sharpe, drawdown, turnover, vol error and forecast loss in the constrained router's score.
+CONSTRAINED = (1.0, 0.5, 0.5, 0.5, 1.0)
+
+
+def constrained_score(sharpe: Column, drawdown: Column, turnover: Column, vol_error: Column, loss: Column, bias: Column | None = None, penalty: Column | None = None) -> Column:
+    """Performance and the regime's bias, less what the pair costs to control and a diagnostic penalty."""
+    a, b, c, e, k = CONSTRAINED
+    some = lambda x: F.coalesce(x, F.lit(0.0))
+    out = a * some(sharpe) - b * F.greatest(some(drawdown), F.lit(0.0)) - (c * some(turnover) + e * some(vol_error) + k * some(loss))
+    out = out if bias is None else out + some(bias)
+    return out if penalty is None else out - some(penalty)
+
+
+def constrained_choice(df: DataFrame, keys: Keys, order: str, default: str, sticky: int = 5, switch: float = 0.05) -> DataFrame:
+    """keys, order, selected, switched, n_feasible, held_by: the choice among pairs that no limit blocks.
+
+    Rows hold maps ``scores`` and ``blocked`` (a reason, or null) by pair, and ``default``, the pair to begin with. The
+    best feasible score takes over once the active pair has ``sticky`` rows; other pairs pay ``switch``. Where every
+    pair is blocked the active one is held. ``held_by`` says why nothing changed: blocked, sticky or best. Ties go to
+    the active pair, then to the lesser name. A fold per key.
+    """
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, order]) + ", selected string, switched boolean, n_feasible int, held_by string"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        active, since, rows = pdf[default].iloc[0], 0, []
+        for scores, blocked in zip(pdf["scores"], pdf["blocked"]):
+            blocked = dict(blocked)
+            free = {k: v - switch * (k != active) for k, v in dict(scores).items() if v is not None and v == v and blocked.get(k) is None}
+            best = min(free, key=lambda k: (-round(free[k], 9), k != active, k), default=active)
+            since += 1
+            switched = best != active and since >= sticky
+            held = None if switched else "blocked" if not free else "sticky" if best != active else "best"
+            if switched:
+                active, since = best, 0
+            rows.append((active, switched, len(free), held))
+        out = pdf[[*keys, order]].reset_index(drop=True)
+        return out.join(pd.DataFrame(rows, columns=["selected", "switched", "n_feasible", "held_by"]))
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 def softmax(df: DataFrame, by: Keys, score: str, temperature: float = 0.25) -> DataFrame:
     """Adds prob, entropy over the rows of each key."""
     w = Window.partitionBy(*by)

@@ -162,8 +162,8 @@ def e12(s, d):
 # --- Bandit
 
 
-def bandit_rows(s, d):
-    """asset, d, market features, obs, regime, and maps by pair of the row's return and of the last 63 rows' metrics."""
+def pair_metrics(s, d):
+    """asset, pair, d, ret and sharpe, drawdown, turnover, vol_error, loss of every pair's last 63 rows."""
     led = V.ledger(s, d)
     w = along(["asset", "pair"], "d")
     f = roll(w, 63)
@@ -172,9 +172,14 @@ def bandit_rows(s, d):
     rows = led.withColumns({"dw": F.abs(F.col("weight") - F.lag("weight").over(w)), "loss": loss})
     rows = rows.withColumns({"sharpe": F.when(sd > 0, m / sd * 252**0.5).otherwise(0.0), "vol_error": F.abs(sd * 252**0.5 - 0.10), "turnover": F.avg("dw").over(f), "loss": F.avg("loss").over(f), "peak": F.max("equity").over(f)})
     rows = rows.withColumn("down", 1 - F.col("equity") / F.col("peak")).withColumn("drawdown", F.max("down").over(f))
-    metrics = F.struct(*[F.round(c, 8).alias(c) for c in ("sharpe", "drawdown", "turnover", "vol_error", "loss")])
+    return rows.select("asset", "pair", "d", "ret", *[F.round(c, 8).alias(c) for c in ("sharpe", "drawdown", "turnover", "vol_error", "loss")])
+
+
+def bandit_rows(s, d):
+    """asset, d, market features, obs, regime, and maps by pair of the row's return and of the last 63 rows' metrics."""
+    metrics = F.struct("sharpe", "drawdown", "turnover", "vol_error", "loss").alias("metrics")
     entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair", c))))
-    maps = rows.select("asset", "d", "pair", "ret", metrics.alias("metrics")).groupBy("asset", "d").agg(entries("ret").alias("ret"), entries("metrics").alias("metrics"))
+    maps = pair_metrics(s, d).select("asset", "d", "pair", "ret", metrics).groupBy("asset", "d").agg(entries("ret").alias("ret"), entries("metrics").alias("metrics"))
     base = V.returns(s, d).where("r IS NOT NULL")
     market = W.market_label(base, K, "d", "r", 63).where("market_vol IS NOT NULL")
     obs = F.least(F.row_number().over(along(K, "d")), F.lit(63)).cast("double")

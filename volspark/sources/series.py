@@ -123,3 +123,10 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
 def missing_pairs(universe: DataFrame, ledger: DataFrame) -> DataFrame:
     """Pairs of the universe that the ledger lacks: what a resumed run has to make."""
     return universe.join(ledger.select("pair").distinct(), "pair", "left_anti")
+
+
+def first_column(df: DataFrame, candidates: Sequence[str], name: str) -> DataFrame | None:
+    """``df`` with its first column among ``candidates`` (in any case) as the double ``name``; None if it has none."""
+    have = {c.lower(): c for c in df.columns}
+    found = next((have[c.lower()] for c in candidates if c.lower() in have), None)
+    return None if found is None else df.withColumn(name, F.col(f"`{found}`").cast("double"))
