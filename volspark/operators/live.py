@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip
 from ..functions.frames import along, roll, std
+from ..sources.series import settled
 from . import metrics as M
 from .fold import fold_ledger
 from .protocol import champion_score, splits, train_metrics
@@ -55,7 +56,7 @@ def live_champions(ledgers: DataFrame, keys: Keys, order: str, r: str, target: f
 def live_walk_forward(df: DataFrame, keys: Keys, order: str, r: str, forecasts: Sequence[str], positions: Sequence[str], target: float = 0.10, train: int = 504, test: int = 126, step: int = 126) -> tuple[DataFrame, DataFrame]:
     """(scores of all pairs per split, the champion's rows in each split's test): what ``live_ledgers`` makes, and
     ``live_champions`` chooses, before the test begins."""
-    ledgers = live_ledgers(df, keys, order, r, forecasts, positions, train, test, step)
+    ledgers = settled(live_ledgers(df, keys, order, r, forecasts, positions, train, test, step), "live-ledgers")
     scored = live_champions(ledgers, keys, order, r, target)
     on = [*keys, "split", "pair"]
     return scored, ledgers.where("role = 'test'").join(scored.where("champion").select(*on), on)

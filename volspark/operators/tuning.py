@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import along
+from ..sources.series import settled
 from . import covariance as C
 from . import portfolio as B
 from .metrics import sharpe
@@ -49,7 +50,7 @@ def grid_scores(returns: DataFrame, keys: Keys, order: str, halflives: Sequence[
     panel = C.pair_panel(train, "asset", order, "r", keys)
     panel = panel.withColumn("halflife", F.explode(F.array(*[F.lit(float(h)) for h in halflives])))
     by, all_ = [*keys, "halflife"], [*keys, *PARAMS]
-    cov = C.ewma(panel, order, "halflife", window, keys=by).where("cov IS NOT NULL").select(*by, order, "i", "j", "cov")
+    cov = settled(C.ewma(panel, order, "halflife", window, keys=by).where("cov IS NOT NULL").select(*by, order, "i", "j", "cov"), "grid-cov")
     rows = target_weights(cov, order, caps, most, target, by)
     w = along([*keys, "asset"], order)
     ahead = train.select(*keys, order, "asset", F.lead("r").over(w).alias("__next")).where("__next IS NOT NULL")
@@ -68,9 +69,10 @@ def best_params(scores: DataFrame, keys: Keys) -> DataFrame:
 
 def tuned_ledger(returns: DataFrame, best: DataFrame, keys: Keys, order: str, target: float = 0.10, window: int = 126, bps: float = 5.0, rf: str | None = None) -> DataFrame:
     """The ledger of every portfolio under its own best parameters, over all dates of the ``complete`` panel."""
+    best = settled(best, "best-params")
     panel = C.pair_panel(returns, "asset", order, "r", keys).join(best.select(*keys, "halflife"), list(keys))
     by = [*keys, "halflife"]
-    cov = C.ewma(panel, order, "halflife", window, keys=by).where("cov IS NOT NULL").select(*by, order, "i", "j", "cov")
+    cov = settled(C.ewma(panel, order, "halflife", window, keys=by).where("cov IS NOT NULL").select(*by, order, "i", "j", "cov"), "tuned-cov")
     raw = B.inverse_vol(cov, order, by).join(best, by).select(*keys, *PARAMS, order, "asset", "weight")
     cut = B.capped_by_room(raw, order, "max_weight", [*keys, *PARAMS])
     weights = B.to_target(cut, cov, order, target, "max_gross", by, ["max_weight", "max_gross"])

@@ -9,6 +9,7 @@ from ..operators import live as L
 from ..operators import positions as P_
 from ..operators import registered as U
 from ..sources import views as V
+from ..sources.series import settled
 from .registry import R, query, rounded, rsql
 from .routes import TM2
 
@@ -45,7 +46,7 @@ def returns(s, d):
 def k4(s, d):
     """Two registered pairs in every split, each begun afresh for train and test, and the train window's champion."""
     _register()
-    led = L.live_ledgers(returns(s, d), K, "d", "r", ["rv20", "naive60"], ["clip"])
+    led = settled(L.live_ledgers(returns(s, d), K, "d", "r", ["rv20", "naive60"], ["clip"]), "live-ledgers")
     best = L.live_champions(led, K, "d", "r", TARGET)
     out = led.join(best.select("asset", "split", "pair", "champion"), ["asset", "split", "pair"])
     return rounded(out.select("asset", "split", "role", "pair", "d", "champion", "bias", "vol", "weight", "ret", "equity"), 7)

@@ -16,6 +16,7 @@ from ..operators import regimes as R_
 from ..operators import routing as Q
 from ..operators import windows as W
 from ..sources import views as V
+from ..sources.series import settled
 from .core import MARKET, WM
 from .models import MODELS, models, rets
 from .more import FRAME_DD
@@ -99,10 +100,10 @@ q AS (SELECT rd.route, rd.d, pf2.portfolio, gross, turnover, ret, EXP(SUM(ret) O
 
 def book_weights(s, d):
     """books(), and both portfolios' target weights."""
-    rows = books(s, d)
-    cov = C.sample(C.pair_panel(rows, "asset", "d", "r", BOOK), "d", keys=BOOK).where("cov IS NOT NULL").select(*BOOK, "d", "i", "j", "cov")
+    rows = settled(books(s, d), "books")
+    cov = settled(C.sample(C.pair_panel(rows, "asset", "d", "r", BOOK), "d", keys=BOOK).where("cov IS NOT NULL").select(*BOOK, "d", "i", "j", "cov"), "cov")
     w = B.capped_by_room(B.inverse_vol(cov, "d", BOOK).select(*BOOK, "d", "asset", "weight"), "d", 0.35, BOOK)
-    return rows, B.to_target(w, cov, "d", TARGET, 1.5, BOOK).select(*BOOK, "d", "asset", "weight")
+    return rows, settled(B.to_target(w, cov, "d", TARGET, 1.5, BOOK).select(*BOOK, "d", "asset", "weight"), "weights")
 
 
 @query("q22_portfolio_routing", rsql("RECURSIVE " + PORTFOLIOS, "gross", "turnover", "ret", "equity", digits=7, keys="route, d, portfolio"))
@@ -112,12 +113,12 @@ def q22(s, d):
     own = B.portfolio_ledger(weights, rows, "d", keys=BOOK)
     f = roll(along(BOOK, "d"), 63)
     sharpe = F.when((F.count("ret").over(f) >= 63) & (F.stddev_samp("ret").over(f) > 0), F.round(F.avg("ret").over(f) / F.stddev_samp("ret").over(f) * 252**0.5, 6))
-    scored = Q.score_map(own.select(*BOOK, "d", sharpe.alias("score")).where("score IS NOT NULL"), [], "d", "portfolio", "score")
+    scored = settled(Q.score_map(own.select(*BOOK, "d", sharpe.alias("score")).where("score IS NOT NULL"), [], "d", "portfolio", "score"), "scores")
     picks = None
     for route, sticky in ROUTES.items():
         one = Q.sticky_argmax(scored.withColumn("route", F.lit(route)), ["route"], "d", sticky)
         picks = one if picks is None else picks.unionByName(one)
-    held = Q.routed_weights(picks, weights, ["route"], "d")
+    held = settled(Q.routed_weights(picks, weights, ["route"], "d"), "held")
     market = rows.where("portfolio = 'all'").select("d", "asset", "r").withColumn("route", F.explode(F.array(*map(F.lit, ROUTES))))
     led = B.portfolio_ledger(held, market, "d", keys=["route"])
     names = held.select("route", "d", "portfolio").distinct()

@@ -8,6 +8,7 @@ from ..operators import covariance as C
 from ..operators import portfolio as B
 from ..operators import tuning as T
 from ..sources import views as V
+from ..sources.series import settled
 from .registry import R, query, rounded, rsql
 
 P = ["portfolio"]
@@ -69,7 +70,7 @@ def scores(s, d):
     "vol_error", "turnover", "sharpe", "score", keys="portfolio, halflife, max_weight, max_gross, n, best"))
 def m14(s, d):
     """27 combinations for each of two portfolios, and which is its best."""
-    found = scores(s, d)
+    found = settled(scores(s, d), "grid-scores")
     best = T.best_params(found, P).withColumn("best", F.lit(True))
     out = found.join(best, [*P, *T.PARAMS], "left").withColumn("best", F.coalesce("best", F.lit(False)))
     return rounded(out.select(*P, *T.PARAMS, "n", "vol_error", "turnover", "sharpe", "score", "best"), 8, halflife=2, max_weight=4, max_gross=4)
@@ -96,6 +97,6 @@ cv AS (SELECT portfolio, 0.0 AS halflife, d, i, j, cov FROM sp WHERE cov IS NOT
 @query("m0_target_weights", rsql(M0, "weight", keys="portfolio, d, asset"))
 def m0(s, d):
     """Inverse vols capped by room and scaled to the target vol, both portfolios by their key."""
-    cov = C.sample(C.pair_panel(books(s, d), "asset", "d", "r", P), "d", keys=P).where("cov IS NOT NULL").select(*P, "d", "i", "j", "cov")
+    cov = settled(C.sample(C.pair_panel(books(s, d), "asset", "d", "r", P), "d", keys=P).where("cov IS NOT NULL").select(*P, "d", "i", "j", "cov"), "cov")
     w = B.capped_by_room(B.inverse_vol(cov, "d", P).select(*P, "d", "asset", "weight"), "d", 0.35, P)
     return rounded(B.to_target(w, cov, "d", TARGET, 1.5, P).select(*P, "d", "asset", "weight"))

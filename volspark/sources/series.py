@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,3 +131,15 @@ def first_column(df: DataFrame, candidates: Sequence[str], name: str) -> DataFra
     have = {c.lower(): c for c in df.columns}
     found = next((have[c.lower()] for c in candidates if c.lower() in have), None)
     return None if found is None else df.withColumn(name, F.col(f"`{found}`").cast("double"))
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written under the folder that driver and executors share (``spark.checkpoint.dir``) and read back: what
+    several branches of a plan read is made once. Without that folder the table is only kept by the executors."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df.persist()
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
