@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +27,6 @@ SHARDS = T.StructType([
 ])
 
 
-CODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
-
-
 def _put(e: dict) -> bytes:
     return _SEQ.pack(e["n"], e["l"], len(e["low"]), len(e["high"]), len(e["samples"])) + e["low"] + e["high"] + e["samples"]
 
@@ -90,28 +86,21 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, shard_tokens: int = 1 << 21) -> DataFrame:
     """Encode every text and write shards in ascending ``doc_id`` order; returns the written table.
 
-    Texts are encoded where they are read; their ids (two bytes a token), not the texts, are range-partitioned by
-    ``doc_id`` and sorted, so a shard is a run of neighbours and (part, seq) is the order of the whole. A shard
-    closes at ``shard_tokens``; a longer document fills one alone. Null texts are empty (the end id alone), null
-    ids come first, repeated ids keep all their rows, in the order of a hash of their ids and spread by it over
-    tasks; an empty table gives no shard; other columns of ``docs`` take no part.
+    Texts are range-partitioned by ``doc_id`` and sorted, so a shard is a run of neighbours and
+    (part, seq) is the order of the whole. A shard closes at ``shard_tokens``; a longer document
+    fills one alone. Null texts are empty (the end id alone), null ids come first, repeated ids keep
+    all their rows, in the order of a hash of their texts and spread by it over tasks; an empty table gives
+    no shard; other columns of ``docs`` take no part.
     """
     path = tokenizer or default_path()
-    wanted, coded = arrow_schema(SHARDS), arrow_schema(CODED)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
-            for first, texts in text_slices(batch, "text", 4 << 20):
-                ids = enc.encode(texts)
-                own = batch.column(0).cast(pa.int64()).slice(first, len(ids))
-                yield pa.RecordBatch.from_arrays([own, pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=coded)
+    wanted = arrow_schema(SHARDS)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, width = TaskContext.get().partitionId(), 0, encoder(path).dtype.itemsize
-        end = np.array([end_id], encoder(path).dtype).tobytes()
+        part, seq, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        width = enc.dtype.itemsize
+        end = np.array([end_id], enc.dtype).tobytes()
         ids: list[bytes] = []
         names: list[int | None] = []
         size = 0
@@ -122,8 +111,8 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, part_ids in text_slices(batch, "ids", 4 << 20):
-                for k, x in zip(keys[first:], part_ids):
+            for first, texts in text_slices(batch, "text", 4 << 20):
+                for k, x in zip(keys[first:], enc.encode(texts)):
                     ids.append(x + end)
                     names.append(k)
                     size += len(x) + width
@@ -133,9 +122,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
         if ids:
             yield close()
 
-    rows = materialize(has_columns(docs, "doc_id", "text").mapInArrow(encode, CODED), "token-ids")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
-    return materialize(rows.mapInArrow(write, SHARDS), "token-shards")
+    rows = has_columns(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return materialize(rows.select("doc_id", "text").mapInArrow(write, SHARDS), "token-shards")
 
 
 def read_documents(shards: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
