@@ -19,7 +19,7 @@ PAST_ONLY = [
     "e0_carried_forecast", "e1_e2_e20_window_vols", "e3_ewma_window", "e4_ar1", "e5_ar2", "e6_har_ridge", "e8_regime_har", "e12_hybrid_blend", "e13_precision_ensemble", "e19_sequences", "e23_composite",
     "r6_r7_change_point", "r9_hmm_filter", "r10_persistence", "r13_bocpd", "r14_stress_score", "r15_metric_regime", "r17_past_quantile_regime", "t1_component_forecasts", "t2_equal_weight",
     "v1_sample_covariance", "v7_ledoit_wolf", "v10_regime_blend", "v13_dynamic_blend", "c8_expected_shortfall", "c11_priority_stack", "m11_drawdown_brake", "m9_mean_variance",
-    "e10_gjr_recalibrated", "e11_regime_gjr", "e12_hybrid_stress", "e22_range_vol", "t4_soft_regimes", "m0_target_weights", "m4_m7_optimised", "m10_risk_budget", "v11_vix_scaled", "q7_context_bandit", "q9_k7_gated_switches", "q14_checkpointed_router", "q21_review_gates",
+    "e10_gjr_recalibrated", "e11_regime_gjr", "e12_hybrid_stress", "t4_soft_regimes", "m0_target_weights", "m4_m7_optimised", "m10_risk_budget", "v11_vix_scaled", "q7_context_bandit", "q9_k7_gated_switches", "q14_checkpointed_router", "q21_review_gates",
     "q1_q2_scores", "q3_sticky_selection", "q6_mixture_of_experts", "q9_rule_switches", "q16_event_triggers", "q18_diversity_guard", "q20_portfolio_scores", "j10_recorded_regime", "o4_regime_block_ranks",
 ]
 
