@@ -34,7 +34,7 @@ k2 AS (SELECT asset, pair, d, k, ROUND(CASE WHEN sd > 0 THEN m / sd * SQRT(252)
 ts AS (SELECT asset, pair, d, k, loss, turnover, vol_error, ROUND(sharpe - 0.5 * GREATEST(drawdown, 0) - (0.5 * turnover + 0.5 * vol_error + COALESCE(loss, 0)), 8) AS score FROM k2), df AS (SELECT asset, arg_min(pair, {{'s': -score, 'p': pair}}) AS dflt FROM ts WHERE k = 504 GROUP BY 1),
 lg AS (SELECT asset, pair, d, k, LAG(score) OVER w AS score, LAG(loss) OVER w AS loss, LAG(turnover) OVER w AS turnover, LAG(vol_error) OVER w AS vol_error FROM ts WINDOW w AS (PARTITION BY asset, pair ORDER BY d)),
 bl AS (SELECT lg.*, CASE WHEN NOT COALESCE(loss <= ql, FALSE) THEN 'loss' WHEN NOT COALESCE(turnover <= qt, FALSE) THEN 'turnover' WHEN NOT COALESCE(vol_error <= qv, FALSE) THEN 'vol_error' END AS blocked FROM lg JOIN tq USING (asset) WHERE k > 504),
-x AS (SELECT asset, d, k - 504 AS i, MAP(list(pair ORDER BY pair), list(score ORDER BY pair)) AS s, list(pair ORDER BY pair) FILTER (blocked IS NULL AND score IS NOT NULL) AS free FROM bl GROUP BY 1, 2, 3),
+x AS MATERIALIZED (SELECT asset, d, k - 504 AS i, MAP(list(pair ORDER BY pair), list(score ORDER BY pair)) AS s, list(pair ORDER BY pair) FILTER (blocked IS NULL AND score IS NOT NULL) AS free FROM bl GROUP BY 1, 2, 3),
 f AS (SELECT asset, 0::BIGINT AS i, NULL::DATE AS d, dflt AS active, 0 AS since, FALSE AS switched, 0 AS n_feasible, NULL::VARCHAR AS held_by FROM df UNION ALL
 SELECT asset, i, d, CASE WHEN sw THEN best ELSE active END, CASE WHEN sw THEN 0 ELSE since END, sw, n, CASE WHEN sw THEN NULL WHEN n = 0 THEN 'blocked' WHEN best <> active THEN 'sticky' ELSE 'best' END FROM (
 SELECT *, best <> active AND since >= 5 AS sw FROM (SELECT x.asset, x.i, x.d, f.active, f.since + 1 AS since, COALESCE(LEN(x.free), 0) AS n,
