@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from volspark.llm import html_extract, packing, shingle_join, simhash_dedup, text_stats, va_search
 
@@ -80,6 +81,23 @@ def test_rows_that_share_an_id(spark):
     assert len(sample) == len({r.doc_id for r in sample}) > 0
 
 
+def test_kept_row_is_one_whatever_the_order_of_rows(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "A b  c d e f", "y"), (1, "A b  c d e f", "x"), (2, "words of its own kind here", "x"), (None, "nobody has named this text", "x"), (None, "nobody has named THIS text", "y")]
+    for keep in (simhash_dedup.keep_one, shingle_join.keep_one):
+        found = [sorted(map(str, keep(spark.createDataFrame(r, "doc_id long, text string, lang string").coalesce(1)).collect())) for r in (rows, rows[::-1])]
+        assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "A b c d e f"), (2, "words of its own kind here")], "doc_id long, text string")
+    docs = docs.select(F.lit(1).alias("a.b"), "doc_id", "text", F.create_map(F.lit("k"), F.lit(2)).alias("a`b"))
+    for name, stage in cp.STAGES[:3]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+    assert sorted((r["a.b"], r["doc_id"], r["a`b"]["k"]) for r in cp.near_duplicates(spark, docs, sf_dir).collect()) == [(1, 1, 2), (1, 2, 2)]
+
+
 # --- Packing
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,7 +79,12 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def has_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, in this order: others, whatever their names, take no part."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*quoted(*names))
+
+
+def quoted(*names: str) -> list[Column]:
+    """The columns of these very names, whatever dots or backticks they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def partitions(spark: SparkSession) -> int:

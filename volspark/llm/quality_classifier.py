@@ -135,4 +135,4 @@ def classify(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame
 def keep(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with their columns, of score ``threshold`` or more; no row is shuffled."""
     own = free_name(docs, "__p")
-    return docs.withColumn(own, score(trees)).where(F.col(own) >= threshold).select(docs.columns)
+    return docs.withColumn(own, score(trees)).where(F.col(own) >= threshold).drop(own)

@@ -166,4 +166,4 @@ def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs``, with their columns, that the rules keep; no row is shuffled."""
     own = free_name(docs, "__s")
     marked = docs.withColumn(own, stats())
-    return marked.where(~base_failed(own) & (rejects(rules, own) == 0)).select(docs.columns)
+    return marked.where(~base_failed(own) & (rejects(rules, own) == 0)).drop(own)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, free_name, has_columns, materialize, small, text_slices
+from .common import arrow_schema, free_name, has_columns, materialize, quoted, small, text_slices
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -142,7 +142,8 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def keep_first(docs: DataFrame, found: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``docs`` with one row of each root of ``found`` (doc_id, key, root): that of the least (doc_id,
-    key), a null id last; of equal rows one. ``keys`` gives doc_id, key of a table.
+    key), a null id last; of rows with one id and key that of the least digest of all its columns, so the
+    rows' order has no say; of equal rows one. ``keys`` gives doc_id, key of a table.
 
     A row whose id is its own stays unless the id goes, so texts are not shuffled: the ids that go are
     broadcast where they are few. Rows whose id is null or stands on several rows are told apart by
@@ -155,17 +156,18 @@ def keep_first(docs: DataFrame, found: DataFrame, keys: Callable[[DataFrame], Da
     shared = small(materialize(shared, "shared-ids"))
     gone = found.join(stay, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("doc_id").union(shared.where("doc_id IS NOT NULL"))
     gone = small(materialize(gone.distinct(), "gone-ids"))
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.where("doc_id IS NOT NULL").join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     if shared.isEmpty():
         return kept
     same = docs["doc_id"].eqNullSafe(shared["doc_id"])
     own = free_name(docs, "__row")
     texts = materialize(docs.join(shared, same, "left_semi").withColumn(own, F.monotonically_increasing_id()), "shared-rows")
     rows = keys(texts.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "key")
-    rows = rows.join(texts.select(F.col(own).alias("row"), "doc_id"), "row")
+    mark = F.sha2(F.to_json(F.struct(*quoted(*docs.columns))), 256).alias("mark")
+    rows = rows.join(texts.select(F.col(own).alias("row"), "doc_id", mark), "row")
     staying = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["key"] == stay["key"])
-    rows = rows.join(stay, staying, "left_semi").groupBy("doc_id", "key").agg(F.min("row").alias(own))
-    return kept.unionByName(texts.join(rows.select(own), own, "left_semi").select(docs.columns))
+    rows = rows.join(stay, staying, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct("mark", "row"))["row"].alias(own))
+    return kept.union(texts.join(rows.select(own), own, "left_semi").drop(own))
 
 
 def keep_one(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
