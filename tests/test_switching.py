@@ -228,3 +228,12 @@ def test_curve_forecast_has_refits_and_no_future(spark, sf_dir):
     both = whole.merge(cut, on=["asset", "d"], suffixes=("", "_cut")).dropna()
     assert len(both) == len(cut.dropna()) > 300 and np.isclose(both["boosted_curve"], both["boosted_curve_cut"], rtol=1e-6).mean() > 0.98
     assert both.groupby(both["d"] >= dt.date(1997, 7, 1)).size().min() > 100
+
+
+def test_refits_read_rows_that_are_made_once(spark):
+    days = spark.range(90).select(F.col("id").cast("int").alias("i"), F.expr("date_add(DATE'2000-01-01', CAST(id AS INT))").alias("d"))
+    rows = days.join(days.select("i", (F.col("i") % 7 / 7.0).alias("x")), "i").select(F.lit("k").alias("asset"), "d", "x", (2 * F.col("x")).alias("target"))
+    out = E.learned(rows, ["asset"], "d", ["x"], "target", ["2000-02-01", "2000-03-01"], "lasso")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Range" not in plan and out.count() == 59
+    assert all(abs(r.forecast - r.target) < 0.01 for r in out.collect())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import qlike
 from ..functions.frames import along, ffill, mean, roll, std
+from ..sources.series import settled
 
 Keys = Sequence[str]
 ANN = 252.0
@@ -311,11 +312,13 @@ def rate_har(features: DataFrame, keys: Keys, order: str, n: int = 252, warm: in
 
 def learned(df: DataFrame, keys: Keys, order: str, features: Sequence[str], target: str, cuts: Sequence[str], kind: str = "gbt", decay: float | None = None, seed: int = 7) -> DataFrame:
     """keys, order, forecast: for each refit date, a Spark ML model on rows before it predicts the rows
-    up to the next one. Series are pooled; ``decay`` weights a row by its age in days."""
+    up to the next one. Series are pooled; ``decay`` weights a row by its age in days. A fit reads its rows many
+    times, so the rows are written once before the first."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="__x").transform(df)
+    rows = settled(df.select(*dict.fromkeys([*keys, order, *features, target])), "learned")
+    rows = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows)
     common = {"featuresCol": "__x", "labelCol": target, "predictionCol": "forecast"}
     out = None
     for i, cut in enumerate(cuts):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import along, cum, roll, std
+from ..sources.series import settled
 from .forecast import CURVE, ewma_window, learned
 
 Keys = Sequence[str]
@@ -200,6 +201,7 @@ def curve_boosted(features: DataFrame, keys: Keys, order: str, warm: int = 24, m
     the rows before it (weights ``decay`` to their age in days) and used until the next. A row's features give the next row's
     log variance, so the value stands on the row whose variance it is."""
     w = along(keys, order)
+    features = settled(features, "curve")
     rows = features.na.drop(subset=CURVE).withColumn("target", F.log(F.lead("rv_d").over(w) + 1e-8))
     cuts = refit_dates(features, order, warm, months)
     if not cuts:
